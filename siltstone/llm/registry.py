@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, mixing, pii
+from siltstone.llm import chat, mixing, pii, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_tokens": tokens.op1_tokens,
+        "op3_simhash": simhash.op3_simhash,
         "op5_pii": pii.op5_pii,
         "op7_chat": chat.op7_chat,
         "op10_mixing": mixing.op10_mixing,
