@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, mixing, pii, simhash, tokens
+from siltstone.llm import chat, lm, mixing, pii, simhash, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_tokens": tokens.op1_tokens,
         "op3_simhash": simhash.op3_simhash,
         "op5_pii": pii.op5_pii,
+        "op6_lm": lm.op6_lm,
         "op7_chat": chat.op7_chat,
         "op10_mixing": mixing.op10_mixing,
     }
