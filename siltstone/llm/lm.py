@@ -72,7 +72,7 @@ def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte counts -> counts of bit 0 and bit 1 at each inner node of the byte tree (numbers 1 to 255; 0 is unused)."""
     zeros, ones = np.zeros((2, *counts.shape))
     for level in range(8):
-        split = counts.reshape(len(counts), 1 << level, 2, -1).sum(3)
+        split = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(3)
         zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = split[:, :, 0], split[:, :, 1]
     return zeros, ones
 
@@ -82,7 +82,7 @@ def _code_lengths(p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(p), 1))
     for level in range(8):
         q = p[:, 1 << level : 2 << level]
-        out = np.stack((out - np.log10(1 - q), out - np.log10(q)), 2).reshape(len(p), -1)
+        out = np.stack((out - np.log10(1 - q), out - np.log10(q)), 2).reshape(len(p), 2 << level)
     return out
 
 
