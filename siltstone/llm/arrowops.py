@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 #: Rows a step works on at once; keeps its arrays to some MB whatever the size of Spark's batches.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -110,3 +110,42 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keys, counts = keys[order], counts[order]
     at = bounds(keys)[:-1]
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+class Rolling:
+    """Polynomial hashes, modulo 2**64, of all spans of a sequence from one prefix sum; spans of equal content have equal hashes."""
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        if len(Rolling._up) <= n:
+            size = 1 << int(n).bit_length()
+            inverse = pow(Rolling.BASE, -1, 1 << 64)
+            powers = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64))))
+            Rolling._up, Rolling._down = powers(Rolling.BASE), powers(inverse)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64, copy=False) * Rolling._up[:n])))
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[ends] - self.sums[starts]) * Rolling._down[starts] + (ends - starts).astype(np.uint64))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and how many words each text has."""
+    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    word = np.concatenate(([False], ~_SPACE[joined], [False]))
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    cuts = np.cumsum([len(t) + 1 for t in texts])
+    return Rolling(joined).spans(starts, ends), np.diff(np.searchsorted(starts, cuts), prepend=0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, lm, mixing, pii, simhash, tokens
+from siltstone.llm import chat, lm, mixing, pii, simhash, substrings, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_pii": pii.op5_pii,
         "op6_lm": lm.op6_lm,
         "op7_chat": chat.op7_chat,
+        "op9_substrings": substrings.op9_substrings,
         "op10_mixing": mixing.op10_mixing,
     }
 
