@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, lm, mixing, pii, simhash, substrings, tokens
+from siltstone.llm import chat, lm, mixing, pii, quality, simhash, substrings, tokens
 
 
 def queries() -> dict:
     return {
         "op1_tokens": tokens.op1_tokens,
         "op3_simhash": simhash.op3_simhash,
+        "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
         "op6_lm": lm.op6_lm,
         "op7_chat": chat.op7_chat,
