@@ -10,7 +10,7 @@ small prefix sums over counts alone.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,51 +33,126 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Entries that a worker's table of encoded words holds before it starts anew; bounds memory, changes no result.
-CACHE = 300_000
+#: Words that a worker keeps with their ids before it drops those met once; bounds memory, changes no result.
+CACHE = 500_000
+#: A first word stands in the table under this mark, other words without the space before them. No UTF-8 text holds it.
+_FIRST = "\ud800"
+_encoders: dict = {}
 
-_tokenizer = {}
 
+class _Numbers(dict):
+    """Numbers keys in order of appearance."""
 
-def _load(vocabulary: str):
-    if vocabulary not in _tokenizer:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
-        if not os.path.isabs(vocabulary):
-            import public_tokenizers
 
-            vocabulary_path = public_tokenizers.path(vocabulary)
-        else:
-            vocabulary_path = vocabulary
-        t = Tokenizer.from_file(vocabulary_path)
-        t.encode_special_tokens = True
-        _tokenizer[vocabulary] = (t, {})
-    return _tokenizer[vocabulary]
+class Encoder:
+    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a table of the words met before.
 
+    Texts are cut where the pre-tokenizer cuts too: before each single space between two texts without white space,
+    and before one mark of `MARKS` after a letter. Words of letters alone go straight to the BPE model.
+    """
 
-def _parts(text: str) -> list[str]:
-    """Cuts before each single space between two texts without white space: byte-level pre-tokenizers cut there too, so parts encode apart."""
-    if "  " in text:
-        import re
+    MARKS = ",.;:!?"
 
-        return re.split(r"(?<=\S)(?= \S)", text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    def __init__(self, vocabulary: str):
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
-def encode(texts: list[str], vocabulary: str) -> list[np.ndarray]:
-    """Ids of each whole text; words met before are looked up, the others are encoded in one call."""
-    tokenizer, known = _load(vocabulary)
-    if len(known) > CACHE:
-        known.clear()
-    parts = [_parts(t) if t else [] for t in texts]
-    new = [p for p in set(chain.from_iterable(parts)) if p not in known]
-    for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        known[p] = e.ids
-    return [np.fromiter(chain.from_iterable(map(known.__getitem__, p)), np.int32) for p in parts]
+        self.tokenizer = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        shown = dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.letters = str.maketrans({chr(b): chr(c) for b, c in shown.items()})  # bytes as the model's alphabet has them
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.marks, self.newline = {m: ids(m) for m in self.MARKS}, ids("\n")
+        self.number = _Numbers()
+        self.reset([], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def reset(self, words: list[str], pool: np.ndarray, ends: np.ndarray) -> None:
+        self.number.clear()
+        self.number.update(zip(words, range(len(words))))
+        self.pool, self.ends, self.seen = pool, ends, np.zeros(len(words), np.int64)
+
+    def keys(self, text: str) -> list[str]:
+        if "  " in text:
+            import re
+
+            return [p[1:] if i else _FIRST + p for i, p in enumerate(re.split(r"(?<=\S)(?= \S)", text))]
+        parts = text.split(" ")
+        parts[0] = _FIRST + parts[0]
+        return parts
+
+    def ids_of(self, key: str) -> list[int]:
+        text = key[1:] if key.startswith(_FIRST) else " " + key
+        lines = text.split("\n")
+        if len(lines) > 1 and not any(x == "" or x[-1].isspace() or i and x[0].isspace() for i, x in enumerate(lines)):
+            out = self.part(lines[0])
+            for x in lines[1:]:
+                out = out + self.newline + self.part(x)
+            return out
+        return self.part(text)
+
+    def part(self, text: str) -> list[int]:
+        """Ids of a text without line feeds, or of any text that the two shorter ways do not fit."""
+        mark = text[-1:] if text[-1:] in self.marks and text[-2:-1].isalpha() else ""
+        word = text[:-1] if mark else text
+        if (word[1:] if word[:1] == " " else word).isalpha():
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            return ids + self.marks[mark] if mark else ids
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and how many each text has."""
+        number, keys, sizes = self.number, [], []
+        for t in texts:
+            part = self.keys(t) if t else []
+            keys += part
+            sizes.append(len(part))
+        before = len(number)
+        at = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+        new, tokenize, marks = [], self.model.tokenize, self.marks
+        for k in islice(number, before, None):  # letters alone, or letters and a mark, without a call of their own
+            word, mark = (k[:-1], marks[k[-1]]) if k[-1:] in marks else (k, None)
+            if word.isalpha() and k[0] != _FIRST:
+                ids = [t.id for t in tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))]
+                new.append(ids + mark if mark else ids)
+            else:
+                new.append(self.ids_of(k))
+        if new:
+            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), np.int32)))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in new])))
+            self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        lengths = np.diff(self.ends)[at]
+        out = self.pool[gathered(self.ends[at], lengths)]
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        if len(number) > CACHE:
+            kept = np.flatnonzero(self.seen > 1)[: CACHE // 2]
+            sizes_kept = np.diff(self.ends)[kept]
+            words = list(number)
+            self.reset([words[i] for i in kept], self.pool[gathered(self.ends[kept], sizes_kept)], np.concatenate(([0], np.cumsum(sizes_kept))))
+        return out, np.diff(total[cuts])
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] of them), then the same of the next."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One for each worker and vocabulary."""
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
+    return _encoders[vocabulary]
 
 
 def write(docs: DataFrame, path: str, *, vocabulary: str = "byte_bpe_50k.json", end_id: int = END_ID, keep: tuple[str, ...] = ()) -> None:
@@ -93,9 +168,10 @@ def write(docs: DataFrame, path: str, *, vocabulary: str = "byte_bpe_50k.json",
 
     def encoded(batches):
         for b, texts in steps(batches, t):
-            ids = [np.append(x, np.int32(end_id)) for x in encode([x.decode("utf-8", "replace") for x in texts], vocabulary)]
-            sizes = np.array([len(x) for x in ids], np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate(ids)))
+            ids, sizes = encoder(vocabulary)([x.decode("utf-8", "replace") for x in texts])
+            ids = np.insert(ids, np.cumsum(sizes), np.int32(end_id))
+            sizes = (sizes + 1).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", *extra)], pa.array(sizes), lists], ["doc_id", *extra, "n_tokens", "ids"])
 
     out = rows.mapInArrow(encoded, schema).withColumn("bucket", F.spark_partition_id())
