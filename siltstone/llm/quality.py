@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import steps
+from siltstone.llm.arrowops import Rolling, steps
 from siltstone.llm.common import fresh, table
 
 SAMPLE, LINES, ROUNDS, RIDGE, THRESHOLD = 6000, 200, 250, 1e-4, 0.3
@@ -42,6 +42,8 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     w1 = np.flatnonzero(blank[1:] & ~blank[:-1])
     words = np.bincount(line[w0], minlength=n).astype(np.float64)
     short = np.bincount(line[w0[w1 - w0 <= 3]], minlength=n)
+    h = Rolling(joined).spans(w0, w1)
+    same = np.bincount(line[w0[1:][(h[1:] == h[:-1]) & (line[w0[1:]] == line[w0[:-1]])]], minlength=n)
     letters = c[:, 1] + c[:, 2] + c[:, 12]
     per_word = lambda x: np.minimum(x / np.maximum(words, 1), 4)
     first = joined[starts]
@@ -49,7 +51,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own = np.stack(
         [
             c[:, 2] / np.maximum(letters, 1), c[:, 3] / np.maximum(length, 1), per_word(c[:, 5]), per_word(c[:, 6]), per_word(c[:, 7]), per_word(c[:, 8]), per_word(c[:, 9]), per_word(c[:, 10]),
-            c[:, 12] / np.maximum(letters, 1), short / np.maximum(words, 1), per_word(letters + 0.0) / 10, np.log1p(words), np.log1p(length) / 2, words == 0, words < 3, (last == 46) | (last == 63) | (last == 33), (first >= 65) & (first <= 90), np.log1p(per_word(c[:, 9] + c[:, 6] + c[:, 8])),
+            c[:, 12] / np.maximum(letters, 1), short / np.maximum(words, 1), per_word(letters + 0.0) / 10, np.log1p(words), np.log1p(length) / 2, words == 0, words < 3, (last == 46) | (last == 63) | (last == 33), (first >= 65) & (first <= 90), np.log1p(per_word(c[:, 9] + c[:, 6] + c[:, 8])), same / np.maximum(words, 1),
         ],
         1,
     ).astype(np.float64)
