@@ -10,7 +10,7 @@ small prefix sums over counts alone.
 from __future__ import annotations
 
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import steps
+from siltstone.llm.arrowops import Rolling, steps
 from siltstone.llm.common import fresh, new_path, table
 
 END_ID = 2
@@ -33,29 +33,81 @@ LAYOUT = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (lengths[0] of them), then the same of the next."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
 #: Words that a worker keeps with their ids before it drops those met once; bounds memory, changes no result.
-CACHE = 500_000
-#: A first word stands in the table under this mark, other words without the space before them. No UTF-8 text holds it.
-_FIRST = "\ud800"
+CACHE = 600_000
 _encoders: dict = {}
+#: Bytes beside which a space may stand in white space: ASCII space and controls, and the first bytes of all wider spaces.
+_UNSAFE = np.zeros(256, bool)
+_UNSAFE[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-class _Numbers(dict):
-    """Numbers keys in order of appearance."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one byte array; start and end of each word, a word having the space or line feed before it; and how many words each text has.
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+    Cuts are before each single space or line feed that stands between two texts without white space. A byte-level
+    pre-tokenizer cuts there too, so words encode apart.
+    """
+    joined = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
+    edges = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    at = np.flatnonzero((joined == 32) | (joined == 10))
+    at = at[(at > 2) & ~_UNSAFE[joined[np.minimum(at + 1, len(joined) - 1)]]]
+    one, two, three = joined[at - 1], joined[at - 2], joined[at - 3]
+    wide = (one >= 0x80) & (one < 0xC0) & ((two == 0xC2) | ((two < 0xC0) & (three >= 0xE1) & (three <= 0xE3)))
+    starts = np.sort(np.concatenate((at[~wide & ~_UNSAFE[one]], edges[:-1])), kind="stable")
+    ends = np.append(starts[1:], len(joined))
+    last = np.searchsorted(starts, edges[1:]) - 1
+    ends[last] = edges[1:] - 1
+    counts = np.diff(last, prepend=-1)
+    full = ends > starts
+    counts -= np.bincount(np.repeat(np.arange(len(texts)), counts)[~full], minlength=len(texts))
+    return joined, starts[full], ends[full], counts
+
+
+class Numbers:
+    """64-bit hash -> number, an open-addressing table in NumPy."""
+
+    def __init__(self, bits: int = 21):
+        self.mask, self.keys, self.values, self.n = np.uint64((1 << bits) - 1), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
+
+    def get(self, h: np.ndarray) -> np.ndarray:
+        """Numbers, or -1."""
+        out, left, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), h & self.mask
+        while len(left):
+            there = self.keys[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def put(self, h: np.ndarray) -> None:
+        """Numbers distinct new hashes in their order."""
+        left, slot = np.arange(len(h)), h & self.mask
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.values[slot[won]] = h[left[won]], self.n + left[won]
+            on = np.ones(len(left), bool)
+            on[won] = False
+            left, slot = left[on], (slot[on] + np.uint64(1)) & self.mask
+        self.n += len(h)
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a table of the words met before.
+    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a table of the words met before (by 64-bit hashes).
 
-    Texts are cut where the pre-tokenizer cuts too: before each single space between two texts without white space,
-    and before one mark of `MARKS` after a letter. Words of letters alone go straight to the BPE model.
+    A word of letters alone, with one mark of `MARKS` or without, goes straight to the library's BPE model; the
+    pre-tokenizer would cut it into just these parts. All other words go through the whole tokenizer.
     """
 
-    MARKS = ",.;:!?"
+    MARKS = b",.;:!?"
 
     def __init__(self, vocabulary: str):
         import os
@@ -70,82 +122,60 @@ class Encoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         shown = dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.letters = str.maketrans({chr(b): chr(c) for b, c in shown.items()})  # bytes as the model's alphabet has them
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        self.marks, self.newline = {m: ids(m) for m in self.MARKS}, ids("\n")
-        self.number = _Numbers()
-        self.reset([], np.zeros(0, np.int32), np.zeros(1, np.int64))
-
-    def reset(self, words: list[str], pool: np.ndarray, ends: np.ndarray) -> None:
-        self.number.clear()
-        self.number.update(zip(words, range(len(words))))
-        self.pool, self.ends, self.seen = pool, ends, np.zeros(len(words), np.int64)
-
-    def keys(self, text: str) -> list[str]:
-        if "  " in text:
-            import re
-
-            return [p[1:] if i else _FIRST + p for i, p in enumerate(re.split(r"(?<=\S)(?= \S)", text))]
-        parts = text.split(" ")
-        parts[0] = _FIRST + parts[0]
-        return parts
-
-    def ids_of(self, key: str) -> list[int]:
-        text = key[1:] if key.startswith(_FIRST) else " " + key
-        lines = text.split("\n")
-        if len(lines) > 1 and not any(x == "" or x[-1].isspace() or i and x[0].isspace() for i, x in enumerate(lines)):
-            out = self.part(lines[0])
-            for x in lines[1:]:
-                out = out + self.newline + self.part(x)
-            return out
-        return self.part(text)
-
-    def part(self, text: str) -> list[int]:
-        """Ids of a text without line feeds, or of any text that the two shorter ways do not fit."""
-        mark = text[-1:] if text[-1:] in self.marks and text[-2:-1].isalpha() else ""
-        word = text[:-1] if mark else text
-        if (word[1:] if word[:1] == " " else word).isalpha():
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            return ids + self.marks[mark] if mark else ids
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.marks = {m: self.tokenizer.encode(chr(m), add_special_tokens=False).ids for m in self.MARKS}
+        self.newline, self.none = self.tokenizer.encode("\n", add_special_tokens=False).ids, []
+        self.hashes = np.zeros(0, np.uint64)
+        self.reset(np.zeros(0, np.int64))
+
+    def reset(self, kept: np.ndarray) -> None:
+        """Keeps the words of these numbers only."""
+        if len(self.hashes):
+            lengths = np.diff(self.ends)[kept]
+            self.pool, self.ends = self.pool[gathered(self.ends[kept], lengths)], np.concatenate(([0], np.cumsum(lengths)))
+        else:
+            self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.hashes, self.seen, self.numbers = self.hashes[kept], np.zeros(len(kept), np.int64), Numbers()
+        self.numbers.put(self.hashes)
+
+    def ids_of(self, word: bytes) -> list[int]:
+        tail = self.marks.get(word[-1], self.none)
+        core = word if tail is self.none else word[:-1]
+        head = self.none
+        if core[:1] == b"\n":
+            head, core = self.newline, core[1:]
+        letters = core[1:] if core[:1] == b" " else core
+        if letters.isalpha():
+            core = core.decode().replace(" ", "\u0120")
+        elif letters.decode("utf-8", "replace").isalpha():
+            core = core.decode("latin-1").translate(self.letters)
+        else:
+            return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return [*head, *[t.id for t in self.model.tokenize(core)], *tail]
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
-        number, keys, sizes = self.number, [], []
-        for t in texts:
-            part = self.keys(t) if t else []
-            keys += part
-            sizes.append(len(part))
-        before = len(number)
-        at = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
-        new, tokenize, marks = [], self.model.tokenize, self.marks
-        for k in islice(number, before, None):  # letters alone, or letters and a mark, without a call of their own
-            word, mark = (k[:-1], marks[k[-1]]) if k[-1:] in marks else (k, None)
-            if word.isalpha() and k[0] != _FIRST:
-                ids = [t.id for t in tokenize("\u0120" + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)))]
-                new.append(ids + mark if mark else ids)
-            else:
-                new.append(self.ids_of(k))
-        if new:
+        joined, starts, ends, counts = words_of(texts)
+        h = np.maximum(Rolling(joined).spans(starts, ends), np.uint64(1))
+        at = self.numbers.get(h)
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            fresh_hashes, first, which = np.unique(h[unknown], return_index=True, return_inverse=True)
+            raw, of = joined.tobytes(), unknown[first]
+            new = [self.ids_of(raw[s:e]) for s, e in zip(starts[of].tolist(), ends[of].tolist())]
+            at[unknown] = self.numbers.n + which
+            self.numbers.put(fresh_hashes)
+            self.hashes = np.concatenate((self.hashes, fresh_hashes))
             self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), np.int32)))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in new])))
             self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        lengths = np.diff(self.ends)[at]
+        np.add.at(self.seen, at, 1)
+        lengths = self.ends[at + 1] - self.ends[at]
         out = self.pool[gathered(self.ends[at], lengths)]
         total = np.concatenate(([0], np.cumsum(lengths)))
-        cuts = np.concatenate(([0], np.cumsum(sizes)))
-        if len(number) > CACHE:
-            kept = np.flatnonzero(self.seen > 1)[: CACHE // 2]
-            sizes_kept = np.diff(self.ends)[kept]
-            words = list(number)
-            self.reset([words[i] for i in kept], self.pool[gathered(self.ends[kept], sizes_kept)], np.concatenate(([0], np.cumsum(sizes_kept))))
-        return out, np.diff(total[cuts])
-
-
-def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (lengths[0] of them), then the same of the next."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+        sizes = np.diff(total[np.concatenate(([0], np.cumsum(counts)))])
+        if self.numbers.n > CACHE:
+            self.reset(np.flatnonzero(self.seen > 1)[: CACHE // 2])
+        return out, sizes
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -168,7 +198,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str = "byte_bpe_50k.json",
 
     def encoded(batches):
         for b, texts in steps(batches, t):
-            ids, sizes = encoder(vocabulary)([x.decode("utf-8", "replace") for x in texts])
+            ids, sizes = encoder(vocabulary)(texts)
             ids = np.insert(ids, np.cumsum(sizes), np.int32(end_id))
             sizes = (sizes + 1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(ids))

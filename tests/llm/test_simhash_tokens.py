@@ -119,3 +119,18 @@ def test_token_edges_and_layout(spark, tmp_path):
     again = spark.createDataFrame([(1, "a b", "", "", 0)] * 3 + [(None, "c", "", "", 0)], DOCS)
     tokens.write(again, str(tmp_path / "r"))
     assert [r.start for r in tokens.digests(spark, str(tmp_path / "r")).orderBy(F.col("doc_id").asc_nulls_first(), "start").collect()] == [0, 2, 5, 8]
+
+
+def test_encoder_on_random_texts(monkeypatch):
+    """Any mix of spaces of all kinds, marks, digits and letters; with a table that is full all the time too."""
+    import random
+
+    monkeypatch.setattr(tokens, "CACHE", 40)
+    rng, e = random.Random(5), tokens.Encoder("byte_bpe_50k.json")
+    alphabet = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x00", "\x1c", " ", " ", "　", "\u0085", "a", "b", "The", "é", "ß", "’", "'s", "'", ".", ",", "!", "1", "²", "中", "😀", "word", "<|endoftext|>", "́"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        ids, sizes = e([t.encode() for t in texts])
+        want = [x[:-1] for x in plain_tokens(texts)]
+        assert sizes.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
