@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, lm, mixing, pii, quality, simhash, substrings, tokens
+from siltstone.llm import chat, embeddings, lm, mixing, pii, quality, simhash, substrings, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_pii": pii.op5_pii,
         "op6_lm": lm.op6_lm,
         "op7_chat": chat.op7_chat,
+        "op8_embeddings": embeddings.op8_embeddings,
         "op9_substrings": substrings.op9_substrings,
         "op10_mixing": mixing.op10_mixing,
     }
