@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, embeddings, lm, mixing, pii, quality, simhash, substrings, tokens
+from siltstone.llm import chat, contamination, embeddings, lm, mixing, pii, quality, simhash, substrings, tokens
 
 
 def queries() -> dict:
     return {
         "op1_tokens": tokens.op1_tokens,
+        "op2_decontamination": contamination.op2_decontamination,
         "op3_simhash": simhash.op3_simhash,
         "op4_quality": quality.op4_quality,
         "op5_pii": pii.op5_pii,
