@@ -46,40 +46,52 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_ratio=TOTAL_RATIO, c
     return x.select("source", "source_size", "src", "weight", "target")
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, total_ratio=TOTAL_RATIO, cap=CAP, seed=SEED) -> DataFrame:
-    """documents (doc_id, text, source; other columns are ignored) -> doc_id, size, source_size, target, taken, copies; a row a document.
-
-    Null text is empty: size 0, taken 0. Null source is a source of its own, the last. Null or repeated ids are
-    rows like any other; rows that agree in source, size and id are interchangeable. An empty table gives no rows.
-    """
+def _copies(docs: DataFrame, carry: bool, weights, total_ratio, cap, seed) -> DataFrame:
+    """doc_id, size, source_size, target, copies of each row, and with `carry` the whole row as `row`."""
     hexed = lambda s, a, n: F.substring(F.md5(F.concat_ws("|", F.lit(seed), s)), a, n)
     digits = F.col("size").cast("string")
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).select(
-        "*",
+    whole = [F.struct("*").alias("row")] if carry else []
+    sized = docs.select(*whole, "doc_id", "source", n_words(F.col("text")).alias("size")).select(
+        *(["row"] if carry else []),
+        "doc_id",
+        "source",
+        "size",
         (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).alias("class"),
         hexed(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 1, 2).alias("salt"),
     )
-    sized = written(sized, "mix-sizes")
+    sized = sized if carry else written(sized, "mix-sizes")
     groups = sized.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    groups = written(groups, "mix-groups")
     targets = source_targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_ratio, cap)
     up_to = W.partitionBy("src").orderBy("class", "salt").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.conv(hexed(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     groups = (
         groups.withColumnRenamed("source", "s")
         .join(targets, F.col("s").eqNullSafe(F.col("source")))
-        .select("source", "class", "salt", "source_size", "target", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("start"))
+        .select("s", F.col("class").alias("c"), F.col("salt").alias("x"), "source_size", "target", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("start"), offset.alias("offset"), rate.alias("rate"))
     )
     inside = W.partitionBy("source", "class", "salt").orderBy("size", "doc_id")
     ranked = sized.withColumn("at", F.row_number().over(inside) - 1)
-    offset = F.conv(hexed(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cut = lambda i: F.floor(F.col("offset") + F.col("rate") * i.cast("double"))
-    g = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("salt").alias("x"), "source_size", "target", "start", offset.alias("offset"), rate.alias("rate"))
     i = F.col("start") + F.col("at")
-    return (
-        ranked.join(g, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("salt") == F.col("x")))
-        .withColumn("copies", cut(i + 1) - cut(i))
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-    )
+    return ranked.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("salt") == F.col("x"))).withColumn("copies", cut(i + 1) - cut(i))
+
+
+def mix(docs: DataFrame, *, weights=WEIGHTS, total_ratio=TOTAL_RATIO, cap=CAP, seed=SEED) -> DataFrame:
+    """documents (doc_id, text, source; other columns are ignored) -> doc_id, size, source_size, target, taken, copies; a row a document.
+
+    Null text is empty: size 0, taken 0. Null source is a source of its own, the last. Null or repeated ids are
+    rows like any other; rows that agree in source, size and id are interchangeable. An empty table gives no rows.
+    """
+    rows = _copies(docs, False, weights, total_ratio, cap, seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, *, weights=WEIGHTS, total_ratio=TOTAL_RATIO, cap=CAP, seed=SEED) -> DataFrame:
+    """The mix itself: all columns of each document, as many times as it is taken. Cases as in `mix`."""
+    rows = _copies(docs, True, weights, total_ratio, cap, seed).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op10_mixing(spark, sf_dir):

@@ -6,7 +6,10 @@ from siltstone.llm import chat, contamination, embeddings, lm, mixing, pii, qual
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_tokens": tokens.op1_tokens,
         "op2_decontamination": contamination.op2_decontamination,
         "op3_simhash": simhash.op3_simhash,
