@@ -545,7 +545,7 @@ def bica_target(f):
 
 @query(f"SELECT cycle, row_id, neg_no, row_number() OVER (PARTITION BY cycle, row_id ORDER BY md5('{fx.SEED}|' || cycle || '|' || row_id || '|' || neg_no), neg_no) AS slot FROM (SELECT r.row_id, unnest(range(0, (t.target - 1 - r.at) // t.usable + 1)) AS cycle FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS at FROM (SELECT DISTINCT row_id FROM vetoed WHERE kept)) r, ttarget t WHERE t.target > r.at) c JOIN (SELECT row_id, neg_no FROM vetoed WHERE kept AND survives) v USING (row_id) QUALIFY slot <= {fx.NEGATIVES}")
 def bica_rows(f):
-    vetoed = f.vetoed.persist()
+    vetoed = sinks.staged(f.vetoed, "vetoed")
     return mixture.upsampled_triples(vetoed, mixture.triple_target(vetoed), fx.NEGATIVES, fx.SEED)
 
 

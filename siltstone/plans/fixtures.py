@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import vectors
 from siltstone.operators import judging, labels, lists, mining, mixture
 from siltstone.operators.topk import similarity_topk
+from siltstone.sources.sinks import staged
 
 #: Parameters of the fixtures; the production defaults stand in the operators.
 GOLD_CAP, TOP_N, LEAST, NEGATIVES, BAND, BUDGET, SEED, SKIP, TOP_K, WIDTH, DEPTH = 12, 64, 5, 7, 0.97, 1000, 42, 5, 50, 32, 2048
@@ -62,8 +63,7 @@ class Fixtures:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """Read several times by each plan, small next to what makes it: kept. Recomputed if an executor is lost."""
-        return self.search(MINER).persist()
+        return staged(self.search(MINER), "candidates")
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -90,7 +90,7 @@ class Fixtures:
 
     @cached_property
     def pool(self) -> DataFrame:
-        return judging.judged_pool(self.judge_eligible, self.judge_gold, self.judge_candidates, lambda r: self.scored(r, JUDGE, "judge_score"), LEAST).persist()
+        return staged(judging.judged_pool(self.judge_eligible, self.judge_gold, self.judge_candidates, lambda r: self.scored(r, JUDGE, "judge_score"), LEAST), "pool")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -98,7 +98,7 @@ class Fixtures:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return judging.pair_candidates(self.pairs, self.pool).persist()
+        return staged(judging.pair_candidates(self.pairs, self.pool), "judged")
 
     @cached_property
     def risk(self) -> DataFrame:
@@ -106,19 +106,19 @@ class Fixtures:
 
     @cached_property
     def band(self) -> DataFrame:
-        return judging.band_pool(self.judged, NEGATIVES, BAND).persist()
+        return staged(judging.band_pool(self.judged, NEGATIVES, BAND), "band")
 
     @cached_property
     def usable(self) -> DataFrame:
-        return judging.usable_pairs(self.band).persist()
+        return staged(judging.usable_pairs(self.band), "usable")
 
     @cached_property
     def targets(self) -> DataFrame:
-        return mixture.targets(self.usable, self.risk, BUDGET)
+        return staged(mixture.targets(self.usable, self.risk, BUDGET), "targets")
 
     @cached_property
     def sampled(self) -> DataFrame:
-        return mixture.sampled(self.usable, self.targets, SEED).persist()
+        return staged(mixture.sampled(self.usable, self.targets, SEED), "sampled")
 
     @cached_property
     def sft(self) -> DataFrame:
@@ -126,7 +126,7 @@ class Fixtures:
 
     @cached_property
     def lists(self) -> DataFrame:
-        return lists.candidate_lists(self.pool, self.split_index, WIDTH).persist()
+        return staged(lists.candidate_lists(self.pool, self.split_index, WIDTH), "lists")
 
     @cached_property
     def list_scores(self) -> DataFrame:
@@ -139,7 +139,7 @@ class Fixtures:
     def score_rows(self) -> DataFrame:
         """query_id, teacher, student: one list each, in order of pos."""
         x = self.list_scores.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "teacher", "student"))).alias("x"))
-        return x.select("query_id", F.transform("x", lambda r: r["teacher"]).alias("teacher"), F.transform("x", lambda r: r["student"]).alias("student")).persist()
+        return staged(x.select("query_id", F.transform("x", lambda r: r["teacher"]).alias("teacher"), F.transform("x", lambda r: r["student"]).alias("student")), "score_rows")
 
     @cached_property
     def ablation(self) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,20 @@ def write_lists(queries: DataFrame, documents: DataFrame, train: DataFrame, fold
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes a stage's output into the shared folder (spark.checkpoint.dir) and reads it again.
+
+    Later stages then plan over a table, not over all that made it, and a lost executor costs no recomputation. A
+    temporary folder is set only where the session names none.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_rows(df: DataFrame, *columns: str):
     """One JSON object a row."""
     return df.select(F.to_json(F.struct(*columns)).alias("json"))
