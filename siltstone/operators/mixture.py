@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.draws import integer, order_key
 from siltstone.operators.judging import PAIR
+from siltstone.operators.shards import numbered
 
 #: Fixed values of the published calibration: usable pairs, risk and target of the source it is scaled from.
 CALIBRATION = (3672, 0.2075, 31979)
@@ -35,9 +36,8 @@ def sampled(usable: DataFrame, goal: DataFrame, seed: int = 42) -> DataFrame:
     Target within the rows: a draw without replacement (copy 0). Over it: every row once, and the rest drawn with
     replacement (copies numbered by draw).
     """
-    by = W.partitionBy("split")
-    rows = usable.select(*PAIR).withColumn("at", F.row_number().over(by.orderBy("query_id", "positive_id")) - 1)
-    rows = rows.withColumn("drawn", F.row_number().over(by.orderBy(order_key(seed, *PAIR), "query_id", "positive_id")))
+    rows = numbered(usable.select(*PAIR), "query_id", "positive_id").drop("n")
+    rows = numbered(rows.withColumn("key", order_key(seed, *PAIR)), "key", "query_id", "positive_id", place="drawn").drop("n", "key").withColumn("drawn", F.col("drawn") + 1)
     sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
     goals = goal.select("split", "target").join(sizes, "split")
     base = rows.join(goals, "split").where("drawn <= target").select(*PAIR, F.lit(0).cast("bigint").alias("copy_no"))
@@ -89,7 +89,7 @@ def triple_target(vetoed: DataFrame) -> DataFrame:
 def upsampled_triples(vetoed: DataFrame, target: DataFrame, negatives: int = 7, seed: int = 42) -> DataFrame:
     """cycle, row_id, slot, neg_no: kept rows in order, again and again up to the target; `negatives` survivors each. No kept rows: nothing."""
     kept = vetoed.where("kept and survives")
-    rows = kept.select("row_id").distinct().withColumn("at", F.row_number().over(W.orderBy("row_id")) - 1)
+    rows = numbered(kept.select("row_id").distinct(), "row_id", by=()).drop("n")
     cycles = rows.crossJoin(F.broadcast(target.select("target", "usable")))
     cycles = cycles.where("usable > 0 and target > at").select("row_id", F.explode(F.expr("sequence(0L, (target - 1 - at) div usable)")).alias("cycle"))
     slot = F.row_number().over(W.partitionBy("cycle", "row_id").orderBy(order_key(seed, "cycle", "row_id", "neg_no"), "neg_no"))
@@ -98,7 +98,7 @@ def upsampled_triples(vetoed: DataFrame, target: DataFrame, negatives: int = 7,
 
 def batch_plan(rows: DataFrame, source: str, order: list[str], size: int, seed: int = 42) -> DataFrame:
     """Adds batch_in_source and batch_order: whole single-source batches in a shuffled order, each source in proportion to its rows."""
-    x = rows.withColumn("batch_in_source", F.floor((F.row_number().over(W.partitionBy(source).orderBy(*order)) - 1) / size).cast("int"))
-    batches = x.select(source, "batch_in_source").distinct()
-    batches = batches.withColumn("batch_order", F.row_number().over(W.orderBy(order_key(seed, source, "batch_in_source"), source)) - 1)
+    x = numbered(rows, *order, by=(source,)).withColumn("batch_in_source", F.floor(F.col("at") / size).cast("int")).drop("at", "n")
+    batches = x.select(source, "batch_in_source").distinct().withColumn("key", order_key(seed, source, "batch_in_source"))
+    batches = numbered(batches, "key", source, by=(), place="batch_order").drop("n", "key")
     return x.join(batches, [source, "batch_in_source"])

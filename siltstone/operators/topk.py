@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERY = ("split", "query_id")
-#: Bytes of query vectors that are broadcast at once; more queries are more passes over the documents.
+#: Bytes of query vectors that go to every task.
 QUERY_BYTES = 64_000_000
 
 
@@ -50,56 +52,103 @@ def exactly(df: DataFrame, n: int, by=QUERY) -> DataFrame:
     return df.withColumn("__n", F.count("*").over(W.partitionBy(*by))).where(F.col("__n") >= n).drop("__n")
 
 
-def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1, within_split: bool = True) -> DataFrame:
+def rescored(rows: DataFrame, q: str, d: str, tokens: int, name: str) -> DataFrame:
+    """Pointwise MaxSim of two flat vectors (`tokens` token vectors each) in Arrow batches; replaces q and d by `name`. Null vectors: null."""
+    kept = [f for f in rows.schema if f.name not in (q, d)]
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
+
+    def run(batches):
+        for b in batches:
+            there = pc.and_(b.column(q).is_valid(), b.column(d).is_valid())
+            out = np.full(b.num_rows, np.nan)
+            part = b.filter(there)
+            if part.num_rows:
+                x, y = (part.column(c).flatten().to_numpy().reshape(part.num_rows, tokens, -1).astype(np.float64) for c in (q, d))
+                out[there.to_numpy(zero_copy_only=False)] = np.concatenate([np.einsum("naw,nbw->nab", x[i : i + 4096], y[i : i + 4096], optimize=True).max(2).sum(1) for i in range(0, len(x), 4096)])
+            score = pa.array(out, mask=~there.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], score], [*[f.name for f in kept], name])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _block_topk(q: np.ndarray, ids: np.ndarray, names, doc: np.ndarray, d: np.ndarray, tokens: int, k: int) -> pa.RecordBatch:
+    """The k best documents of a batch (and ties at the edge: the final rank decides) for each query of a block."""
+    width = d.shape[1] // tokens
+    s = (q.reshape(-1, width) @ d.reshape(-1, width).T).reshape(len(q), tokens, len(doc), tokens).max(3).sum(1)
+    keep = np.ones(s.shape, bool) if len(doc) <= k else s >= -np.partition(-s, k - 1, 1)[:, k - 1 : k] - 1e-9
+    qi, di = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi], pa.string()), pa.array(ids[qi]), pa.array(doc[di]), pa.array(s[qi, di])], ["split", "query_id", "document_id", "score"])
+
+
+def _dense(lists) -> np.ndarray:
+    flat = lists.flatten().to_numpy()
+    return flat.reshape(len(lists), -1).astype(np.float64)
+
+
+_SCORES = "split string, query_id bigint, document_id bigint, score double"
+
+
+def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1, within_split: bool = True, most: int = QUERY_BYTES) -> DataFrame:
     """queries (split, query_id, v), documents (split, document_id, v) -> split, query_id, document_id, score, rank <= k.
 
     v: flat vectors of `tokens` token vectors; the score is MaxSim, for one token the dot product, in double precision.
-    Blocks of queries of bounded size meet every document batch in one matrix product; each batch passes on its k best
-    for each query only, so what is shuffled is bounded by k x queries x batches, not by pairs.
+    Query blocks meet document batches in one matrix product each, and each product passes on its k best for each query
+    only, so what is shuffled is bounded by k x queries x batches, not by pairs. Up to `most` bytes of query vectors
+    (their size is counted first) go to the tasks as they are; more are packed into blocks, which meet packed document
+    blocks in a distributed product of blocks. Rows without vector have no part.
     """
-    blocks, size = [[]], 0
-    for r in queries.select("split", "query_id", "v").where("v is not null").toLocalIterator():
-        if size > QUERY_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r.split if within_split else None, r.split, r.query_id, r.v))
-        size += 8 * len(r.v)
-    kind = "split string, query_id bigint, document_id bigint, score double"
-
-    def scorer(block):
-        groups = {}
-        for key, split, i, v in block:
-            groups.setdefault(key, []).append((split, i, v))
-        sides = {key: ([x[0] for x in g], np.array([x[1] for x in g]), np.array([x[2] for x in g], np.float64)) for key, g in groups.items()}
-
+    asked, rows = queries.select("split", "query_id", "v").where("v is not null"), docs.select("split", "document_id", "v").where("v is not null")
+    size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    if size * 8 > most:
+        return ranked(_packed_topk(asked, rows, k, tokens, within_split), k)
+    held = asked.toArrow()
+    sides = {}
+    names = np.array(held.column("split").to_pylist(), object)
+    for key in sorted(set(names), key=str) if within_split else [None]:
+        of = np.flatnonzero(names == key) if within_split else np.arange(len(names))
+        if len(of):
+            mine = held.take(pa.array(of))
+            sides[key] = (_dense(mine.column("v").combine_chunks()), mine.column("query_id").to_numpy(), names[of])
+
+    def run(batches):
+        for b in batches:
+            splits = np.array(b.column("split").to_pylist(), object)
+            for key, (q, ids, own) in sides.items():
+                at = np.flatnonzero(splits == key) if within_split else np.arange(b.num_rows)
+                if len(at):
+                    part = b.take(pa.array(at))
+                    d, doc = _dense(part.column("v")), part.column("document_id").to_numpy()
+                    for i in range(0, len(q), 256):
+                        yield _block_topk(q[i : i + 256], ids[i : i + 256], own[i : i + 256], doc, d, tokens, k)
+
+    return ranked(rows.mapInArrow(run, _SCORES), k)
+
+
+def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, within_split: bool, rows: int = 2000) -> DataFrame:
+    """Blocks of up to `rows` rows each, one row a block; every pair of blocks (of one split) is one matrix product."""
+
+    def packed(df: DataFrame, id_: str, prefix: str) -> DataFrame:
         def run(batches):
             for b in batches:
                 splits = np.array(b.column("split").to_pylist(), object)
-                for key, (names, ids, q) in sides.items():
-                    rows = np.flatnonzero(splits == key) if within_split else np.arange(b.num_rows)
-                    if not len(rows):
-                        continue
-                    part = b.take(pa.array(rows))
-                    doc = part.column("document_id").to_numpy()
-                    d = part.column("v").flatten().to_numpy().reshape(len(doc), tokens, -1).astype(np.float64)
-                    width = d.shape[2]
-                    for at in range(0, len(q), 256):
-                        qs = q[at : at + 256].reshape(-1, width)
-                        s = (qs @ d.reshape(-1, width).T).reshape(-1, tokens, len(doc), tokens).max(3).sum(1)
-                        if len(doc) > k:
-                            top = np.argpartition(-s, k - 1, 1)
-                            edge = np.take_along_axis(s, top[:, k - 1 : k], 1)
-                            keep = s >= edge - 1e-9  # ties at the edge stay: the final rank decides
-                        else:
-                            keep = np.ones(s.shape, bool)
-                        qi, di = np.nonzero(keep)
-                        yield pa.RecordBatch.from_arrays([pa.array([names[at + i] for i in qi], pa.string()), pa.array(ids[at + qi]), pa.array(doc[di]), pa.array(s[qi, di])], ["split", "query_id", "document_id", "score"])
-
-        return run
-
-    rows = docs.select("split", "document_id", "v").where("v is not null")
-    out = None
-    for block in blocks:
-        part = rows.mapInArrow(scorer(block), kind)
-        out = part if out is None else out.union(part)
-    return ranked(out, k)
+                for key in sorted(set(splits), key=str):
+                    at = np.flatnonzero(splits == key)
+                    for i in range(0, len(at), rows):
+                        part = b.take(pa.array(at[i : i + rows]))
+                        n = part.num_rows
+                        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), one(part.column(id_)), one(pa.array(_dense(part.column("v")).ravel())), pa.array([n], pa.int32())], [f"{prefix}s", f"{prefix}i", f"{prefix}v", f"{prefix}n"])
+
+        return df.mapInArrow(run, f"{prefix}s string, {prefix}i array<bigint>, {prefix}v array<double>, {prefix}n int")
+
+    q, d = packed(queries, "query_id", "q"), packed(docs, "document_id", "d")
+    pairs = q.join(d, F.col("qs").eqNullSafe(F.col("ds"))) if within_split else q.crossJoin(d)
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                cell = lambda c: b.column(c)[r].values.to_numpy()  # noqa: B023, E731
+                qi, di = cell("qi"), cell("di")
+                yield _block_topk(cell("qv").reshape(len(qi), -1), qi, [b.column("qs")[r].as_py()] * len(qi), di, cell("dv").reshape(len(di), -1), tokens, k)
+
+    return pairs.select("qs", "qi", "qv", "di", "dv").mapInArrow(run, _SCORES)

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions import vectors
 from siltstone.operators import judging, labels, lists, mining, mixture
-from siltstone.operators.topk import similarity_topk
+from siltstone.operators.shards import numbered
+from siltstone.operators.topk import rescored, similarity_topk
 from siltstone.sources.sinks import staged
 
 #: Parameters of the fixtures; the production defaults stand in the operators.
@@ -73,8 +73,7 @@ class Fixtures:
         """Adds the MaxSim of each row's query and document."""
         q = self.queries.select("split", "query_id", F.col("v").alias("qv"))
         d = self.documents.select("split", "document_id", F.col("v").alias("dv"))
-        s: Column = vectors.maxsim(vectors.chunks(F.col("qv"), *kind), vectors.chunks(F.col("dv"), *kind))
-        return rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"]).withColumn(name, s).drop("qv", "dv")
+        return rescored(rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"]), "qv", "dv", kind[0], name)
 
     @cached_property
     def judge_eligible(self) -> DataFrame:
@@ -150,7 +149,7 @@ class Fixtures:
         """row_id, query, positive, neg_no, negative: first turns of a conversation, and the assistants of the next 12, in a circle."""
         turn = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"]
         c = self.table("conversations").groupBy("conv_id").agg(turn("user").alias("query"), turn("assistant").alias("positive")).where("query is not null and positive is not null")
-        c = c.withColumn("at", F.row_number().over(W.orderBy("conv_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy(F.lit(0))))
+        c = numbered(c, "conv_id", by=())
         x = c.withColumn("neg_no", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("to", (F.col("at") + F.col("neg_no")) % F.col("n"))
         other = c.select(F.col("at").alias("to"), F.col("positive").alias("negative"))
         return x.join(other, "to").select(F.col("conv_id").alias("row_id"), "query", "positive", "neg_no", "negative")
