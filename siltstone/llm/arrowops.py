@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 #: Rows a step works on at once; keeps its arrays to some MB whatever the size of Spark's batches.
 STEP_BYTES = 2_000_000
@@ -76,34 +75,6 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     return out
 
 
-class Vocabulary(dict):
-    """Word -> number in order of appearance, with the 64-bit hash of each; a worker starts anew beyond `limit` words, which changes no result."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.hashes, self._array = limit, [], np.zeros(0, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self.hashes)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        return n
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def array(self) -> np.ndarray:
-        """Hashes by number."""
-        if len(self._array) != len(self.hashes):
-            self._array = np.concatenate((self._array, np.array(self.hashes[len(self._array) :], np.uint64)))
-        return self._array
-
-    def trim(self) -> bool:
-        """Starts anew if full; then numbers given before are void."""
-        if full := len(self.hashes) > self.limit:
-            self.clear()
-            self.hashes, self._array = [], np.zeros(0, np.uint64)
-        return full
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")

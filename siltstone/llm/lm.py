@@ -14,25 +14,24 @@ such nodes whatever the size of the corpus, and that bound makes the tables broa
 
 Word counts grow with the corpus and are never broadcast as a whole. Words that are at least one in 2**COMMON of all
 tokens (at most 2**COMMON words) are broadcast; all others meet their counts in a shuffle join, in which no word can
-be hot. Words are compared by their XXH64.
+be hot. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrowops import Vocabulary, steps, summed
+from siltstone.llm.arrowops import bounds, hashed_words, steps, summed
 from siltstone.llm.common import fresh, table, written
 
 DEPTH, SPREAD, COMMON, END = 5, 14, 16, 0xFF
 #: Distinct keys a task holds before it hands them over.
 FLUSH = 300_000
-#: The end token as a word: no word is empty.
-STOP = b""
+#: The end token's key: the hash of no bytes.
+STOP = np.uint64(0)
 
 
 def coded(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,18 +151,14 @@ def _counted(text: str, depth: int):
     """Partial counts of words (kind 0, by hash) and grams (kind 1, packed)."""
 
     def run(batches):
-        vocabulary, hold = Vocabulary(), {0: ([], []), 1: ([], [])}
+        hold = {0: ([], []), 1: ([], [])}
         for _, texts in steps(batches, text):
-            words = [w for t in texts for w in t.lower().split()]
-            seen = np.bincount(vocabulary.numbers(words)) if words else np.zeros(0, np.int64)
-            there = np.flatnonzero(seen)
-            ends = (np.array([xxhash.xxh64_intdigest(STOP)], np.uint64), np.array([len(texts)]))
-            g = np.sort(grams(texts, depth))
-            at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            for kind, (k, n) in ((0, (vocabulary.array()[there], seen[there])), (0, ends), (1, (g[at], np.diff(np.append(at, len(g)))))):
-                hold[kind][0].append(k)
-                hold[kind][1].append(n)
-            vocabulary.trim()
+            words, _ = hashed_words([t.lower() for t in texts])
+            for kind, x in ((0, np.append(words, np.full(len(texts), STOP))), (1, grams(texts, depth))):
+                x = np.sort(x)
+                at = bounds(x)
+                hold[kind][0].append(x[at[:-1]])
+                hold[kind][1].append(np.diff(at))
             for kind in hold:
                 if sum(map(len, hold[kind][0])) > 3 * FLUSH:
                     k, n = summed(np.concatenate(hold[kind][0]), np.concatenate(hold[kind][1]))
@@ -210,22 +205,21 @@ def score(docs: DataFrame, held_out, *, depth: int = DEPTH, spread: int = SPREAD
 
     def scored(batches):
         model, keys, counts = shared.value
-        vocabulary = Vocabulary()
         logs, known = np.log10(np.append(counts, 0) + 0.5), np.append(keys, 0)
-        log_of, is_common = np.zeros(0), np.zeros(0, bool)
         for b, texts in steps(batches, t):
-            words = [[*x.lower().split(), STOP] for x in texts]
-            sizes = np.array([len(w) for w in words])
-            number = vocabulary.numbers([w for ws in words for w in ws])
-            fresh_hashes = vocabulary.array()[len(log_of) :]
-            at = np.searchsorted(keys, fresh_hashes)
-            log_of, is_common = np.append(log_of, logs[at]), np.append(is_common, (known[at] == fresh_hashes) & (at < len(keys)))
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            common_here = is_common[number]
-            weight = lambda w: np.bincount(owner[common_here], w, len(texts))  # noqa: B023, E731
-            base, n_known = weight(log_of[number[common_here]]), weight(None)
-            rare, times = np.unique(owner[~common_here] * len(log_of) + number[~common_here], return_counts=True)
-            of, which = np.divmod(rare, max(1, len(log_of)))
+            words, sizes = hashed_words([x.lower() for x in texts])
+            every = np.arange(len(texts))
+            words, owner = np.append(words, np.full(len(texts), STOP)), np.append(np.repeat(every, sizes), every)
+            sizes = sizes + 1
+            at = np.searchsorted(keys, words)
+            often_here = (known[at] == words) & (at < len(keys))
+            n_known = np.bincount(owner[often_here], minlength=len(texts))
+            base = np.bincount(owner[often_here], logs[at[often_here]], len(texts))
+            words, owner = words[~often_here], owner[~often_here]
+            order = np.lexsort((words, owner))
+            words, owner = words[order], owner[order]
+            cut = bounds(owner, words)
+            rare, of, times = words[cut[:-1]], owner[cut[:-1]], np.diff(cut)
             n, m = len(texts), len(rare)
             rows = b.column(row).to_numpy()
             heads = lambda x, kind: np.concatenate((x, np.zeros(m, kind)))  # noqa: B023, E731
@@ -239,13 +233,11 @@ def score(docs: DataFrame, held_out, *, depth: int = DEPTH, spread: int = SPREAD
                     pa.array(heads(n_known.astype(np.int64), np.int64)),
                     pa.array(heads(base, np.float64)),
                     pa.array(heads(model.score(texts), np.float64)),
-                    pa.array(np.concatenate((rows * np.int64(-7046029254386353131), vocabulary.array()[which].view(np.int64)))),
+                    pa.array(np.concatenate((rows * np.int64(-7046029254386353131), rare.view(np.int64)))),
                     pa.array(np.concatenate((np.zeros(n, np.int64), times))),
                 ],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times"],
             )
-            if vocabulary.trim():
-                log_of, is_common = np.zeros(0), np.zeros(0, bool)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", flag.alias("held_out"), F.col("text").alias(t), F.monotonically_increasing_id().alias(row))
