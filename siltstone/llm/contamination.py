@@ -200,3 +200,24 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def op2_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The same in DuckDB for items of SHINGLE words or more: all windows that share a shingle with an item, counted out.
+SQL = rf"""
+WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+iw AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM benchmark),
+ds AS (SELECT doc_id, len(ws) AS n, s - 1 AS p, array_to_string(ws[s:s + {SHINGLE - 1}], ' ') AS g FROM dw, unnest(range(1, len(ws) - {SHINGLE - 2})) t(s) WHERE len(ws) >= {SHINGLE}),
+ins AS (SELECT item_id, n, g, count(*) AS c FROM (SELECT item_id, len(ws) AS n, array_to_string(ws[s:s + {SHINGLE - 1}], ' ') AS g FROM iw, unnest(range(1, len(ws) - {SHINGLE - 2})) t(s) WHERE len(ws) >= {SHINGLE}) GROUP BY ALL),
+met AS (SELECT ds.doc_id, ds.n AS dn, ds.p, ds.g, ins.item_id, ins.n AS n, ins.c FROM ds JOIN ins ON ins.g = ds.g),
+spans AS (
+  SELECT DISTINCT doc_id, item_id, dn, n, s AS start, least(n, dn) - {SHINGLE - 1} AS m
+  FROM met, unnest(range(greatest(0, p - least(n, dn) + {SHINGLE}), least(p, dn - least(n, dn)) + 1)) t(s)
+),
+shared AS (
+  SELECT s.doc_id, s.item_id, s.start, s.m, s.n, s.dn, met.g, least(count(*), any_value(met.c)) AS k
+  FROM spans s JOIN met ON met.doc_id = s.doc_id AND met.item_id = s.item_id AND met.p >= s.start AND met.p < s.start + s.m GROUP BY ALL
+),
+scored AS (SELECT doc_id, item_id, start, least(n, dn) AS n_words, sum(k)::DOUBLE / (m + n - {SHINGLE - 1} - sum(k))::DOUBLE AS similarity FROM (SELECT doc_id, item_id, start, m, n, dn, k FROM shared) GROUP BY doc_id, item_id, start, m, n, dn)
+SELECT doc_id, item_id, similarity, start, n_words FROM scored WHERE similarity >= {LEAST}::DOUBLE
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""

@@ -318,3 +318,17 @@ def near_duplicates(vectors: DataFrame, *, least: float = LEAST, overlap: int =
 
 def op8_embeddings(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: The same in DuckDB, by all pairs; the graph's recall is audited, so results agree where it finds every link.
+SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS r, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings
+), links AS (
+  SELECT a.r AS x, b.r AS y FROM v a, v b
+  WHERE a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {LEAST}::DOUBLE
+), reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.x = v.r)::BIGINT AS n_links, m.c AS component_id, v.vec_id = m.c AS kept
+FROM v JOIN (SELECT reach.x, min(w.vec_id) AS c FROM reach JOIN v w ON w.r = reach.y GROUP BY reach.x) m ON m.x = v.r
+"""

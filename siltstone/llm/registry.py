@@ -25,6 +25,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontamination": contamination.SQL,
         "op7_chat": chat.SQL,
+        "op8_embeddings": embeddings.SQL,
+        "op9_substrings": substrings.SQL,
         "op10_mixing": mixing.SQL,
     }

@@ -244,3 +244,19 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM,
 
 def op9_substrings(spark, sf_dir):
     return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: The same in DuckDB, with every window spelled out.
+SQL = rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT rid, s, array_to_string(ws[s:s + {WINDOW - 1}], ' ') AS g FROM docs, unnest(range(1, len(ws) - {WINDOW - 2})) t(s) WHERE len(ws) >= {WINDOW}),
+twice AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, s + k AS p FROM twice, range(0, {WINDOW}) r(k)),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+kept AS (
+  SELECT w.rid, count(g.p) AS n_removed, string_agg(w.word, ' ' ORDER BY w.p) FILTER (WHERE g.p IS NULL) AS said
+  FROM words w LEFT JOIN gone g ON g.rid = w.rid AND g.p = w.p GROUP BY w.rid
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.said, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.rid = d.rid
+"""
