@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siltstone.plans import catalog
@@ -23,7 +24,7 @@ def duck(sf):
 
 
 def rows(df, columns):
-    cell = lambda v: repr(float(v)) if isinstance(v, float) else str(v)
+    cell = lambda v: "null" if pd.isna(v) else repr(float(v)) if not isinstance(v, (str, bool)) else str(v)
     return sorted(tuple(cell(v) for v in r) for r in df[columns].itertuples(index=False, name=None))
 
 
