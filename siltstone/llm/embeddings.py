@@ -87,8 +87,12 @@ def with_back_edges(lists: np.ndarray) -> list[np.ndarray]:
     return np.split(code % n, np.searchsorted(code // n, np.arange(1, n)))
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, least: float, beam: int = BEAM, entry: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each vector as a query the others at `least` cosine: (query, found). lists: padded with -1.
+#: Neighbours that one step of a search looks up at once; bounds its memory in dense groups.
+STEP = 500_000
+
+
+def range_search(x: np.ndarray, at: np.ndarray, near: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector as a query the others at `least` cosine: (query, found). near[at[v] : at[v + 1]]: the neighbours of v.
 
     All queries walk in step. Beam search from the medoid and each query's own node, then range expansion.
     """
@@ -105,18 +109,27 @@ def range_search(x: np.ndarray, lists: np.ndarray, least: float, beam: int = BEA
     seen[q, q] = seen[:, medoid] = True
     hits = [np.stack((q, q), 1)[:0], np.stack((q[other], np.full(int(other.sum()), medoid)), 1)[sims[other, 1 % beam] >= least - 1e-9]]
 
+    degree = np.diff(at)
+
     def step(q, v):
-        """Unseen neighbours of v for q, with their cosines."""
-        near = lists[v]
-        qs = np.repeat(q, near.shape[1])
-        vs = near.ravel()
-        ok = vs >= 0
-        code = np.unique(qs[ok] * n + vs[ok])
-        code = code[~seen.ravel()[code]]
-        seen.ravel()[code] = True
-        qs, vs = np.divmod(code, n)
-        s = np.concatenate([np.einsum("nd,nd->n", x[qs[i : i + 50_000]], x[vs[i : i + 50_000]]) for i in range(0, len(qs), 50_000)] or [np.zeros(0)])
-        return qs, vs, s
+        """Unseen neighbours of v for q, with their cosines; by query."""
+        cuts = np.searchsorted(np.cumsum(degree[v]), np.arange(STEP, int(degree[v].sum()) + STEP, STEP), "right")
+        out, begin = [], 0
+        for end in [*np.unique(cuts[cuts > 0]).tolist(), len(v)]:
+            if end <= begin:
+                continue
+            d = degree[v[begin:end]]
+            place = np.arange(int(d.sum())) - np.repeat(np.cumsum(d) - d, d)
+            code = np.unique(np.repeat(q[begin:end], d) * n + near[np.repeat(at[v[begin:end]], d) + place])
+            code = code[~seen.ravel()[code]]
+            seen.ravel()[code] = True
+            qs, vs = np.divmod(code, n)
+            s = np.concatenate([np.einsum("nd,nd->n", x[qs[i : i + 50_000]], x[vs[i : i + 50_000]]) for i in range(0, len(qs), 50_000)] or [np.zeros(0)])
+            out.append((qs, vs, s))
+            begin = end
+        qs, vs, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(qs, kind="stable")
+        return qs[order], vs[order], s[order]
 
     live = q
     while len(live):
@@ -206,16 +219,15 @@ def _linked(least: float):
                 at = np.minimum(np.searchsorted(node[order], flat), len(node) - 1)
                 here = node[order][at] == flat  # neighbours that are in this shard too
                 of, to = np.repeat(np.arange(len(node)), sizes)[here], order[at[here]]
-                place = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(node)))))[:-1], np.bincount(of, minlength=len(node)))
-                lists = np.full((len(node), int(place.max(initial=0)) + 1), -1, np.int64)
-                lists[of, place] = to
-                q, v = range_search(x, lists, least)
+                begin = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(node)))))
+                q, v = range_search(x, begin, to, least)
                 pair = np.unique(np.minimum(q, v) * len(node) + np.maximum(q, v))
                 u, v = np.divmod(pair, len(node))
                 size = np.sqrt((raw * raw).sum(1))
                 cosine = np.concatenate([np.einsum("nd,nd->n", raw[u[i : i + 50_000]], raw[v[i : i + 50_000]]) for i in range(0, len(u), 50_000)] or [np.zeros(0)]) / (size[u] * size[v])
                 homes = np.array(g.column("homes").to_pylist())
-                common = np.where((homes[u][:, :, None] == homes[v][:, None, :]).any(2), homes[u], np.iinfo(np.int64).max).min(1)
+                first_common = lambda a, b: np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
+                common = np.concatenate([first_common(homes[u[i : i + 50_000]], homes[v[i : i + 50_000]]) for i in range(0, len(u), 50_000)] or [np.zeros(0, np.int64)])
                 ok = (u != v) & (cosine >= least) & (common == shard) & ((lo == hi) | (own[u] != own[v]))
                 u, v = u[ok], v[ok]
                 links = np.bincount(u, mult[v], len(node)) + np.bincount(v, mult[u], len(node))
