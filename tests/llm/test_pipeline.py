@@ -99,3 +99,21 @@ def test_stages(spark, sf):
     assert len(last) == docs.count() and sorted(r.start for r in last)[0] == 0
     assert max(r.start + r.n_tokens for r in last) == sum(r.n_tokens for r in last)
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, last))
+
+
+def test_stages_on_hostile_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, score string, root string, copies int, size string, row string"
+    extra = (None, "r", 3, "s", "w")
+    rows = [(None, None, None, None, None, *extra)] * 2 + [(1, "", "en", None, 0, *extra), (2, "a b c d e f", None, "s", 11, *extra), (2, "a b c d e f", None, "s", 11, *extra)]
+    rows += [(3, "word " * 60_000, "en", "s", 1, *extra), (4, "x" * 200_000, "en", "t", 1, *extra), (None, "only text here", "en", "t", 1, *extra)]
+    df = spark.createDataFrame(rows, names)
+    spark.createDataFrame([(1, 1, 0), (2, 0, None), (3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "not there at all in any text"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (df, df.where("false")):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/in{i}")
+            docs = stage(spark, spark.read.parquet(f"{tmp_path}/in{i}"), str(tmp_path))
+            if name != "tokenize":
+                assert docs.columns == df.columns
+        docs.collect()
