@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Rows a step works on at once; keeps its arrays to some MB whatever the size of Spark's batches.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
