@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrowops import Rolling, bounds, hashed_words, mixed, runs, steps
-from siltstone.llm.common import fresh, table, written
+from siltstone.llm.common import fresh, removed, table, written
 
 WINDOW, GRAM, HOT, SHARD = 35, 10, 1000, 100_000
 
@@ -182,6 +182,7 @@ def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int
     often = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("frags")).where("total > 1").select(F.col("anchor").alias("a"), "frags")
     met = distinct.join(often, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("frag").alias("f"), "n", "frags")
     found = written(placed.join(met, (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).drop("a", "f"), "repeated")
+    removed(docs.sparkSession, placed)
     whole = found.where("n > 1").select("key", "s", "e")
 
     # One occurrence of each distinct fragment beside different ones; the words come from its text.
