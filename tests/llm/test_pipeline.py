@@ -60,6 +60,24 @@ def test_groups(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(mine)
 
 
+def test_lone_pairs_at_the_threshold(spark):
+    """Every lone pair is grouped, from exactly 0.8 on; all share a common passage. Below 0.8 none is."""
+    rng = random.Random(8)
+    passage, docs, want = [f"p{i}" for i in range(40)], [], []
+    for n in range(240):
+        words = [*(f"w{rng.randrange(10**6)}" for _ in range(229 - 40 * (n % 2))), *passage[: 40 * (n % 2)]]
+        other, edits = list(words), 3 + n % 4
+        for i in range(edits):
+            other[10 + 25 * i] = "edit"
+        docs += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other))]
+        a, b = shingles(docs[-2][1]), shingles(docs[-1][1])
+        want.append(5 * len(a & b) >= 4 * len(a | b))
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "r") for i, t in docs], DOCS)
+    got = {r.doc_id: r.root for r in neardup.groups(df)[0].collect()}
+    assert [got[2 * n] == got[2 * n + 1] for n in range(240)] == want and want.count(True) == 180
+    assert len(set(got.values())) == 480 - 180
+
+
 def test_repeats_and_nulls(spark):
     rows = [(None, "a b c", "x", None, 1, "r"), (7, "a b c", "x", "s", 1, "r"), (7, "a b c", "y", "s", 2, "r"), (8, None, "x", "s", 1, "r"), (8, "z y x w v u", None, "s", None, None)]
     got = {(r.doc_id, r.text) for r in neardup.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
