@@ -6,17 +6,17 @@ hash among its k-word grams (the last of equal ones), so equal windows have equa
 anchor form a fragment; each window of the corpus is in exactly one fragment.
 
 1. Anchors that stand at one place only have no repeated window: nearly all of the corpus leaves here.
-2. Fragments that occur twice as a whole are covered without further work, by their hashes.
-3. What is left are fragments that share their anchor with different ones: the borders of repeats. One occurrence of each
-   distinct fragment goes to its anchor's shard. A task builds the suffix automaton of a reference shard (bounded in words),
-   with occurrence counts, streams the shard's fragments through it, and takes the matching statistics: the longest suffix
-   at each word that occurs twice. Where that is WINDOW words or more, they are covered.
-4. Anchors with over HOT distinct fragments are dealt out again by the hash of each single window, counted with partial
-   aggregation; no task holds such a group.
-
-Words, grams and fragments are compared by 64-bit hashes, fragments by two. Texts are identified by the hash of the whole
-text; equal texts share their outcome. Automata are built where their shard's fragments are, not sent to every executor:
-a broadcast of all shards would read the whole corpus once for each of them.
+2. Of all other anchors each distinct fragment goes once, as words, with its number of occurrences, to its anchor's shard. A
+   task builds the suffix automaton of a reference shard (bounded in words), streams the shard's fragments through it, and takes
+   the matching statistics: the longest suffix at each word that occurs twice. Where that is WINDOW words or more, they are
+   covered. What is covered of a fragment is joined to all of its occurrences.
+3. Anchors with over MOST distinct fragments (a passage that many texts share, among different words) are dealt out again: their
+   fragments are cut by longer anchors (GRAMS), in the end by whole windows, and go the same way. So no group outgrows a shard.
+
+The automata decide, over the words themselves. Hashes of 64 bits name texts, anchors and fragments; fragments are the same if
+both their hash and their anchor's are. A text's name is salted by its doc_id, so that copies of one page are spread. Automata are
+built where their shard's fragments are, not sent to every executor: a broadcast of all shards would read the whole corpus once
+for each of them.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import Rolling, bounds, hashed_words, mixed, runs, steps
+from siltstone.llm.arrowops import after, bounds, hashed_words, hashed_windows, runs, steps
 from siltstone.llm.common import fresh, removed, table, written
 
-WINDOW, GRAM, HOT, SHARD = 35, 10, 1000, 100_000
+WINDOW, GRAMS, MOST, SHARD, SALTS = 35, (10, 20, 30), 1000, 100_000, 64
 
 
 def _last_smallest(x: np.ndarray, w: int) -> np.ndarray:
@@ -46,15 +46,14 @@ def _last_smallest(x: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def fragments(words: np.ndarray, sizes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """anchor, fragment (hashes), owner (which text), start, end (words in the text) of each fragment of texts whose words stand in a row."""
     gram = min(gram, window)
     none = np.zeros(0, np.int64)
     if len(words) < window:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
-    rolling = Rolling(words)
-    i = np.arange(len(words) - gram + 1)
-    anchor_at = _last_smallest(rolling.spans(i, i + gram), window - gram + 1)
+    grams, windows = hashed_windows(words, gram), hashed_windows(words, window)
+    anchor_at = _last_smallest(grams, window - gram + 1)
     first = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor_at)]
     s = np.flatnonzero(np.arange(len(anchor_at)) + window <= (first + sizes)[owner])
@@ -62,7 +61,9 @@ def fragments(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, gram:
     cut = bounds(anchor_at, owner)
     starts, ends = s[cut[:-1]], s[cut[1:] - 1] + window
     at, owner = anchor_at[cut[:-1]], owner[cut[:-1]]
-    return rolling.spans(at, at + gram), rolling.spans(starts, ends), owner, starts - first[owner], ends - first[owner]
+    # A fragment has under two windows' words: its first and last window and its length say all of it.
+    frag = after(after(windows[starts], windows[ends - window]), (ends - starts).astype(np.uint64))
+    return grams[at], frag, owner, starts - first[owner], ends - first[owner]
 
 
 class SuffixAutomaton:
@@ -127,101 +128,127 @@ class SuffixAutomaton:
 
 
 def _covered(window: int, shard: int):
-    """Fragments by anchor -> key, s, e of the covered spans."""
+    """Distinct fragments by anchor (anchor, frag, n, words) -> anchor, frag, begin, stop of the spans that repeated windows cover."""
 
     def shard_spans(rows):
-        automaton = SuffixAutomaton()
-        for _, _, n, _, _, words in rows:
+        automaton, numbers = SuffixAutomaton(), {}
+        told = [(a, f, n, [numbers.setdefault(w, len(numbers)) for w in words.split(b" ")]) for a, f, n, words in rows]
+        for _, _, n, words in told:
             automaton.add(words, n)
         automaton.finish()
-        for _, _, n, key, s, words in rows:
-            if n == 1:
-                begin = end = -1
-                for i, m in enumerate(automaton.statistics(words)):
-                    if m >= window:
-                        if end < i - m + 1:
-                            if end > 0:
-                                yield key, s + begin, s + end
-                            begin = i - m + 1
-                        end = i + 1
-                if end > 0:
-                    yield key, s + begin, s + end
+        for a, f, _, words in told:
+            begin = end = -1
+            for i, m in enumerate(automaton.statistics(words)):
+                if m >= window:
+                    if end < i - m + 1:
+                        if end > 0:
+                            yield a, f, begin, end
+                        begin = i - m + 1
+                    end = i + 1
+            if end > 0:
+                yield a, f, begin, end
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((), (), (), ()), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "frag", "begin", "stop"])
 
     def run(batches):
-        held, size, out = [], 0, []
+        held, size, before = [], 0, None
         for t in runs(batches, ["anchor"]):
-            cols = [t.column(c).to_pylist() for c in ("anchor", "frag", "n", "key", "s", "words")]
-            before = None
-            for row in zip(*cols):
+            for row in zip(*[t.column(c).to_pylist() for c in ("anchor", "frag", "n", "words")]):
                 if size > shard and row[0] != before[0]:
-                    out += shard_spans(held)
+                    yield batch(list(shard_spans(held)))
                     held, size = [], 0
                 if before is None or row[:2] != before[:2]:  # copies of a text bring the same fragment
                     held.append(row)
-                    size += len(row[5])
+                    size += row[3].count(b" ") + 1
                 before = row
-        out += shard_spans(held)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int32(), pa.int32()))], ["key", "s", "e"])
+        yield batch(list(shard_spans(held)))
 
     return run
 
 
-def repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """documents (text) -> key (xxhash64 of the text), spans (array of word spans s, e): what repeated windows cover; texts without any have no row."""
-    t, k = fresh(docs.columns, "text", "key")
-    texts = docs.select(F.col("text").alias(t), F.xxhash64("text").alias(k)).where(F.col(t).isNotNull())
+def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc_id, the text and its name."""
+    return docs.select("doc_id", F.col("text").alias(text), F.xxhash64("text", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).alias(key))
 
-    def anchored(batches):
-        for b, x in steps(batches, t):
-            anchor, frag, owner, s, e = fragments(*hashed_words(x), window, gram)
-            keys = b.column(k).to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(keys), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["anchor", "frag", "key", "s", "e"])
-
-    placed = written(texts.mapInArrow(anchored, "anchor long, frag long, key long, s int, e int"), "fragments")
-    distinct = placed.groupBy("anchor", "frag").agg(F.count("*").alias("n"))
-    often = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("frags")).where("total > 1").select(F.col("anchor").alias("a"), "frags")
-    met = distinct.join(often, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("frag").alias("f"), "n", "frags")
-    found = written(placed.join(met, (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).drop("a", "f"), "repeated")
-    removed(docs.sparkSession, placed)
-    whole = found.where("n > 1").select("key", "s", "e")
-
-    # One occurrence of each distinct fragment beside different ones; the words come from its text.
-    asked = found.where("frags > 1").groupBy("anchor", "frag", "n", "frags").agg(F.min(F.struct("key", "s", "e")).alias("at"))
-    asked = asked.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", F.least("n", F.lit(2)).alias("n"), (F.col("frags") > hot).alias("hot"), "at.s", "at.e")).alias("asked"))
-    rows = texts.join(asked, F.col(k) == F.col("key")).select(t, "key", "asked")
+
+def repeats(docs: DataFrame, *, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, most: int = MOST, shard: int = SHARD) -> DataFrame:
+    """documents (doc_id, text) -> key (the name of a text), spans (array of word spans s, e): what repeated windows cover; texts without any have no row."""
+    spark, (t, k) = docs.sparkSession, fresh(["doc_id", *docs.columns], "text", "key")
+    texts = _named(docs, t, k).drop("doc_id").where(F.col(t).isNotNull())
+
+    def batch(anchor, frag, key, s, e):
+        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(key), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["anchor", "frag", "key", "s", "e"])
+
+    def anchored(gram):
+        def run(batches):
+            for b, x in steps(batches, t):
+                anchor, frag, owner, s, e = fragments(*hashed_words(x), window, gram)
+                yield batch(anchor, frag, b.column(k).to_numpy()[owner], s, e)
+
+        return run
+
+    def again(gram):
+        def run(batches):
+            for b, x in steps(batches, t):
+                words, sizes = hashed_words(x)
+                first = np.cumsum(sizes) - sizes
+                lists = b.column("asked")
+                of = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+                s, e = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
+                place = np.concatenate([np.arange(i, j) for i, j in zip(first[of] + s, first[of] + e)] or [first[:0]])
+                anchor, frag, owner, begin, end = fragments(words[place], e - s, window, gram)
+                yield batch(anchor, frag, b.column("key").to_numpy()[of[owner]], s[owner] + begin, s[owner] + end)
+
+        return run
 
     def worded(batches):
         for b, x in steps(batches, t):
-            words, sizes = hashed_words(x)
-            first, out = np.cumsum(sizes) - sizes, [[] for _ in range(6)]
-            rolling = Rolling(words)
-            add = lambda *row: [c.append(v) for c, v in zip(out, row)]  # noqa: B023, E731
-            for key, wanted, at in zip(b.column("key").to_pylist(), b.column("asked").to_pylist(), first.tolist()):
+            out = [[] for _ in range(4)]
+            for text, wanted in zip(x, b.column("asked").to_pylist()):
+                words = text.split()
                 for w in wanted:
-                    if w["hot"]:
-                        starts = np.arange(at + w["s"], at + w["e"] - window + 1)
-                        for s, h in zip(starts.tolist(), rolling.spans(starts, starts + window).view(np.int64).tolist()):
-                            add(h, w["frag"], w["n"], key, s - at, None)
-                    else:
-                        add(w["anchor"], w["frag"], w["n"], key, w["s"], words[at + w["s"] : at + w["e"]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["anchor", "frag", "n", "key", "s", "words"])
-
-    parts = written(rows.mapInArrow(worded, "anchor long, frag long, n int, key long, s int, words array<long>"), "borders")
-    borders = parts.where("words is not null").repartition("anchor").sortWithinPartitions("anchor", "frag").mapInArrow(_covered(window, shard), "key long, s int, e int")
-    single = parts.where("words is null").select("anchor", "n", "key", "s").distinct()
-    twice = single.groupBy(F.col("anchor").alias("a")).agg(F.sum("n").alias("times")).where("times > 1")
-    dealt = single.join(twice, F.col("anchor") == F.col("a")).select("key", "s", (F.col("s") + window).alias("e"))
-    return whole.union(borders).union(dealt).distinct().groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-
-
-def without_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, **limits) -> DataFrame:
+                    for c, v in zip(out, (w["anchor"], w["frag"], w["n"], b" ".join(words[w["s"] : w["e"]]))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "frag", "n", "words"])
+
+    kinds, covered = "anchor long, frag long, key long, s int, e int", None
+    placed = written(texts.mapInArrow(anchored(grams[0]), kinds), "fragments")
+    for gram in [*grams[1:], window, None]:
+        distinct = placed.groupBy("anchor", "frag").agg(F.count("*").alias("n"))
+        often = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("frags")).where("total > 1").select(F.col("anchor").alias("a"), "frags")
+        met = distinct.join(often, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("frag").alias("f"), "n", "frags")
+        found = written(placed.join(met, (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).drop("a", "f"), "repeated")
+        removed(spark, placed)
+        now = found if gram is None else found.where(F.col("frags") <= most)
+
+        # One occurrence of each distinct fragment; the words come from its text.
+        asked = now.groupBy("anchor", "frag", "n").agg(F.min(F.struct("key", "s", "e")).alias("at"))
+        asked = asked.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", F.least("n", F.lit(2)).cast("int").alias("n"), "at.s", "at.e")).alias("asked"))
+        parts = texts.join(asked, F.col(k) == F.col("key")).select(t, "asked").mapInArrow(worded, "anchor long, frag long, n int, words binary")
+        spans = parts.repartition("anchor").sortWithinPartitions("anchor", "frag").mapInArrow(_covered(window, shard), "anchor long, frag long, begin int, stop int")
+        spans = now.join(spans.withColumnsRenamed({"anchor": "a", "frag": "f"}), (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).select("key", (F.col("s") + F.col("begin")).alias("s"), (F.col("s") + F.col("stop")).alias("e")).distinct()
+        spans = written(spans, "covered")
+        covered = spans if covered is None else covered.union(spans)
+        rest = found.where(F.col("frags") > most)
+        if gram is not None and rest.limit(1).count():
+            rest = rest.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
+            placed = written(texts.join(rest, F.col(k) == F.col("key")).select(t, "key", "asked").mapInArrow(again(gram), kinds), "fragments")
+            removed(spark, found)
+        else:
+            removed(spark, found)
+            break
+    return covered.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
+def without_repeats(docs: DataFrame, *, window: int = WINDOW, **limits) -> DataFrame:
     """documents (doc_id, text; other columns are ignored) -> doc_id, n_words, n_removed, kept_sha256, kept (words joined by one space); a row a document.
 
     Null text has no words. Texts shorter than the window keep all words. Repeated rows are repeats of each other.
     Null ids are rows like any other; an empty table gives none.
     """
     t, k = fresh(docs.columns, "text", "key")
-    rows = docs.select("doc_id", F.col("text").alias(t), F.xxhash64("text").alias(k)).join(repeats(docs, window=window, gram=gram, **limits), F.col(k) == F.col("key"), "left").select("doc_id", t, "spans")
+    rows = _named(docs, t, k).join(repeats(docs, window=window, **limits), F.col(k) == F.col("key"), "left").select("doc_id", t, "spans")
 
     def cut(batches):
         for b, x in steps(batches, t):
