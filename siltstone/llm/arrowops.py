@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Rows a step works on at once; keeps its arrays to some MB whatever the size of Spark's batches.
 STEP_BYTES = 1_000_000
@@ -83,40 +84,74 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-class Rolling:
-    """Polynomial hashes, modulo 2**64, of all spans of a sequence from one prefix sum; spans of equal content have equal hashes."""
-
-    BASE = 0x9E3779B97F4A7C15 | 1
-    _up = _down = np.ones(1, np.uint64)
-
-    def __init__(self, values: np.ndarray):
-        n = len(values)
-        if len(Rolling._up) <= n:
-            size = 1 << int(n).bit_length()
-            inverse = pow(Rolling.BASE, -1, 1 << 64)
-            powers = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64))))
-            Rolling._up, Rolling._down = powers(Rolling.BASE), powers(inverse)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values.astype(np.uint64, copy=False) * Rolling._up[:n])))
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * Rolling._down[starts] + (ends - starts).astype(np.uint64))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64 bits (the finaliser of splitmix64)."""
+    """Spreads 64 bits (the finaliser of splitmix64); one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a followed by b; one to one in each while the other stands."""
+    return mixed(mixed(a + np.uint64(0x9E3779B97F4A7C15)) + b)
+
+
+#: Longer spans are hashed one by one.
+LONG = 64
+
+
+def hashed_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: the length, then eight bytes a round, all mixed. Spans of one length up to 8 bytes have one hash only if equal."""
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    live = np.flatnonzero(size <= LONG)
+    for done in range(0, LONG, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        x = eight[starts[live] + done]
+        over = np.maximum(8 - (size[live] - done), 0).astype(np.uint64) * np.uint64(8)
+        h[live] = after(h[live], (x << over) >> over)
+    whole = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(whole[starts[i] : ends[i]], 7)
+    return h
+
+
+def hashed_windows(values: np.ndarray, w: int) -> np.ndarray:
+    """Hashes of all runs of w neighbours (len - w + 1 of them): a tree of ordered, mixed pairs over runs of 1, 2, 4 ..."""
+    n = len(values) - w + 1
+    if n <= 0:
+        return values[:0]
+    out, at, size = None, 0, 1
+    while w:
+        if w & 1:
+            part = values[at : at + n]
+            out = part if out is None else after(out, part)
+            at += size
+        w >>= 1
+        if w:
+            values = after(values[:-size], values[size:])
+            size *= 2
+    return out
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and how many words each text has."""
+def placed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one byte array, where their words begin and end in it, and how many words each text has."""
     joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     word = np.concatenate(([False], ~_SPACE[joined], [False]))
     starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
     cuts = np.cumsum([len(t) + 1 for t in texts])
-    return Rolling(joined).spans(starts, ends), np.diff(np.searchsorted(starts, cuts), prepend=0)
+    return joined, starts, ends, np.diff(np.searchsorted(starts, cuts), prepend=0)
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and how many words each text has."""
+    joined, starts, ends, sizes = placed_words(texts)
+    return hashed_spans(joined, starts, ends), sizes

@@ -5,12 +5,13 @@ if it is shorter) has a weighted similarity of at least `least` with it: shared
 over all of both. Every window gets a 128-bit SimHash of its weighted shingles, unless a lossless bound already excludes
 it: two multisets of m and n shingles at similarity s share at least (m + n) s / (1 + s), so a window with fewer shingles
 of any item of its size cannot pass. The 8 blocks of 16 bits of a fingerprint are looked up within RADIUS // 8 bits in
-the items' block tables, which finds all items within RADIUS; those are compared exactly.
+the items' block tables, which finds all items within RADIUS; those are compared exactly, word by word: hashes propose only.
 
 Shingles at similarity 0.8 differ in about 15 % of the bits, 19 of 128 with a spread of 4; unrelated ones in 64 with a
 spread of 6. RADIUS 40 is five spreads from either.
 
-The benchmark goes to the workers in parts of at most PART bytes of text, one pass each, so no broadcast grows with it.
+The benchmark goes to the workers in parts of at most PART bytes of text, so no broadcast grows with it. Of several parts each is
+one pass whose hits are written before the next part is read; the driver holds one at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import Rolling, hashed_words, mixed, steps
-from siltstone.llm.common import fresh, table
+from siltstone.llm.arrowops import hashed_spans, hashed_windows, mixed, placed_words, steps
+from siltstone.llm.common import fresh, table, written
 
 SHINGLE, LEAST, RADIUS, PART = 5, 0.8, 40, 16_000_000
 _NEAR = {b: np.array([sum(1 << i for i in c) for n in range(b + 1) for c in combinations(range(16), n)], np.int64) for b in range(6)}
@@ -43,6 +44,11 @@ def simhash128(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u8")
 
 
+def worded(words: list[bytes], w: int) -> Counter:
+    """The shingles of w words and how often each occurs."""
+    return Counter(zip(*[words[i:] for i in range(w)]))
+
+
 def similarity(a: Counter, b: Counter) -> float:
     shared = sum(min(n, b[x]) for x, n in a.items() if x in b)
     return shared / (sum(a.values()) + sum(b.values()) - shared)
@@ -53,22 +59,23 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str | None]], k: int = SHINGLE, least: float = LEAST, radius: int = RADIUS):
         self.k, self.least, self.radius = k, least, radius
-        words, sizes = hashed_words([(t or "").encode().lower() for _, t in items])
-        rolling, first = Rolling(words), np.cumsum(sizes) - sizes
-        self.items, prints = [], []
-        for (i, _), at, n in zip(items, first.tolist(), sizes.tolist()):
+        texts = [(t or "").encode().lower() for _, t in items]
+        joined, starts, ends, sizes = placed_words(texts)
+        hashes, first = hashed_spans(joined, starts, ends), np.cumsum(sizes) - sizes
+        self.items, prints, shingles = [], [], []
+        for (i, _), text, at, n in zip(items, texts, first.tolist(), sizes.tolist()):
             if n:
                 w = min(k, n)
-                s = np.arange(at, at + n - w + 1)
-                h = rolling.spans(s, s + w)
+                h = hashed_windows(hashes[at : at + n], w)
                 prints.append(simhash128(h, np.array([len(h)]))[0])
-                self.items.append((i, n, Counter(h.tolist())))
+                shingles.append(h)
+                self.items.append((i, n, worded(text.split(), w)))
         self.prints = np.array(prints, np.uint64).reshape(-1, 2)
         #: number of words -> (shingle width, distinct shingles of the items of that size, their numbers)
         self.by_size = {}
         for n in sorted({n for _, n, _ in self.items}):
             own = [x for x, (_, m, _) in enumerate(self.items) if m == n]
-            self.by_size[n] = (min(k, n), np.unique(np.array([h for x in own for h in self.items[x][2]], np.uint64)), own)
+            self.by_size[n] = (min(k, n), np.unique(np.concatenate([shingles[x] for x in own])), own)
         self.blocks = []
         for b in range(8):
             value = (self.prints[:, b // 4] >> np.uint64(16 * (b % 4))).astype(np.int64) & 0xFFFF
@@ -90,13 +97,13 @@ class Index:
         out: list[dict] = [{} for _ in texts]
         if not self.items:
             return out
-        words, sizes = hashed_words([t.lower() for t in texts])
-        first, rolling = np.cumsum(sizes) - sizes, Rolling(words)
+        placed = joined, starts, ends, sizes = placed_words([t.lower() for t in texts])
+        words, first = hashed_spans(joined, starts, ends), np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(sizes)), sizes)
         shingles, members, memory = {}, {}, {}
         for n, (w, known, own) in self.by_size.items():
             if w not in shingles:
-                shingles[w] = rolling.spans(s := np.arange(max(0, len(words) - w + 1)), s + w)
+                shingles[w] = hashed_windows(words, w)
                 every = np.unique(np.concatenate([x for v, x, _ in self.by_size.values() if v == w]))
                 table = np.zeros(1 << 20, bool)
                 table[every & np.uint64((1 << 20) - 1)] = True
@@ -115,45 +122,46 @@ class Index:
                 a, b = p[: len(p) - need + 1], p[need - 1 :]
                 ok = (b - a < m) & (owner[a] == owner[b])
                 lo, hi = np.maximum(b[ok] - m + 1, first[owner[a[ok]]]), np.minimum(a[ok], (first + sizes)[owner[a[ok]]] - n)
-                starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist())] or [np.zeros(0, np.int64)]))
-                self._verify(out, shingles[w], starts, np.full(len(starts), m), own, owner, first, w, memory)
+                begin = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo.tolist(), hi.tolist())] or [np.zeros(0, np.int64)]))
+                self._verify(out, shingles[w], begin, np.full(len(begin), m), own, owner, placed, w, memory)
             short = np.unique(of[~full])
             short = short[sizes[short] >= w]
             if len(short):
-                self._verify(out, shingles[w], first[short], sizes[short] - w + 1, own, owner, first, w, memory)
+                self._verify(out, shingles[w], first[short], sizes[short] - w + 1, own, owner, placed, w, memory)
         return out
 
-    def _verify(self, out, shingles, starts, counts, own, owner, first, w, memory) -> None:
-        mine = set(own)
-        for i in range(0, len(starts), 256):
-            s, c = starts[i : i + 256], counts[i : i + 256]
+    def _verify(self, out, shingles, begin, counts, own, owner, placed, w, memory) -> None:
+        joined, starts, ends, sizes = placed
+        mine, first = set(own), np.cumsum(sizes) - sizes
+        for i in range(0, len(begin), 256):
+            s, c = begin[i : i + 256], counts[i : i + 256]
             runs = [shingles[x : x + n] for x, n in zip(s.tolist(), c.tolist())]
-            for x, run, fp in zip(s.tolist(), runs, simhash128(np.concatenate(runs), c)):
+            for x, n, fp in zip(s.tolist(), c.tolist(), simhash128(np.concatenate(runs), c)):
                 key = fp.tobytes()
                 if key not in memory:
-                    memory[key] = self.within(fp)
-                for item in memory[key]:
-                    if item in mine:
-                        score = similarity(Counter(run.tolist()), self.items[item][2])
-                        doc = int(owner[x])
-                        name = self.items[item][0]
+                    memory[key] = [item for item in self.within(fp).tolist() if item in mine]
+                if memory[key]:
+                    window = worded(joined[starts[x] : ends[x + n + w - 2]].tobytes().split(), w)
+                    doc = int(owner[x])
+                    for item in memory[key]:
+                        score, name = similarity(window, self.items[item][2]), self.items[item][0]
                         if score >= self.least and score > out[doc].get(name, (0,))[0]:
-                            out[doc][name] = (score, x - int(first[doc]), len(run) + w - 1)
+                            out[doc][name] = (score, x - int(first[doc]), n + w - 1)
 
 
-def _parts(benchmark: DataFrame) -> list[list[tuple]]:
-    """Items in parts of bounded size, in order of id."""
-    parts, size = [[]], 0
+def _parts(benchmark: DataFrame, size: int):
+    """Items in parts of bounded size, in order of id, one after the other."""
+    part, held = [], 0
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if size and size + len(r.text or "") > PART:
-            parts.append([])
-            size = 0
-        parts[-1].append((r.item_id, r.text))
-        size += len(r.text or "") + 64
-    return parts
+        if held and held + len(r.text or "") > size:
+            yield part
+            part, held = [], 0
+        part.append((r.item_id, r.text))
+        held += len(r.text or "") + 64
+    yield part
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **how) -> DataFrame:
     """documents (doc_id, text), benchmark (item_id, text); other columns are ignored -> doc_id, item_id, similarity, start, n_words; a row a pair.
 
     start and n_words give the best window, the first of equal ones. Null and empty texts and items have no window; an
@@ -165,9 +173,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     item = benchmark.schema["item_id"].dataType
     schema = docs.select("doc_id").schema.add("item_id", item).add("similarity", T.DoubleType()).add("start", T.LongType()).add("n_words", T.LongType())
 
-    def found(part):
+    def found(items):
         def run(batches):
-            index = Index(part, **how)
+            index = Index(items, **how)
             for b, texts in steps(batches, t):
                 got = [(d, i, *x) for d, hit in enumerate(index.hits(texts)) for i, x in hit.items()]
                 if got:
@@ -176,20 +184,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
         return rows.mapInArrow(run, schema)
 
-    out, *more = [found(p) for p in _parts(benchmark)]
-    for x in more:
-        out = out.union(x)
-    return out
+    out = before = None
+    for items in _parts(benchmark, part):
+        if before is not None:
+            before = written(before, "hits")
+            out = before if out is None else out.union(before)
+        before = found(items)
+    return before if out is None else out.union(before)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **how) -> DataFrame:
     """The documents that no item contaminates, all their columns."""
     t = fresh(docs.columns, "text")[0]
-    names = docs.columns
-    for part in _parts(benchmark):
-
-        def run(batches, part=part):
-            index = Index(part, **how)
+    names, passed = docs.columns, 0
+    for items in _parts(benchmark, part):
+        if passed:
+            docs = written(docs, "clean")
+        passed += 1
+
+        def run(batches, items=items):
+            index = Index(items, **how)
             for b, texts in steps(batches, t):
                 clean = pa.array([not h for h in index.hits(texts)])
                 yield pa.RecordBatch.from_arrays([b.column(n).filter(clean) for n in names], names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import Rolling, steps
+from siltstone.llm.arrowops import hashed_spans, steps
 from siltstone.llm.common import fresh, table
 
 SAMPLE, LINES, ROUNDS, RIDGE, THRESHOLD = 6000, 200, 250, 1e-4, 0.3
@@ -42,7 +42,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     w1 = np.flatnonzero(blank[1:] & ~blank[:-1])
     words = np.bincount(line[w0], minlength=n).astype(np.float64)
     short = np.bincount(line[w0[w1 - w0 <= 3]], minlength=n)
-    h = Rolling(joined).spans(w0, w1)
+    h = hashed_spans(joined, w0, w1)
     same = np.bincount(line[w0[1:][(h[1:] == h[:-1]) & (line[w0[1:]] == line[w0[:-1]])]], minlength=n)
     letters = c[:, 1] + c[:, 2] + c[:, 12]
     per_word = lambda x: np.minimum(x / np.maximum(words, 1), 4)

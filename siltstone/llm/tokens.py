@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import Rolling, steps
+from siltstone.llm.arrowops import hashed_spans, steps
 from siltstone.llm.common import fresh, new_path, table
 
 END_ID = 2
@@ -101,7 +101,10 @@ class Numbers:
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a table of the words met before (by 64-bit hashes).
+    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a table of the words met before.
+
+    Words are looked up by 64-bit hashes and compared with the table's bytes; a step with a word that has another's hash goes
+    through the library as it is. Special tokens in a text are ids of their own, as the library has them.
 
     A word of letters alone, with one mark of `MARKS` or without, goes straight to the library's BPE model; the
     pre-tokenizer would cut it into just these parts. All other words go through the whole tokenizer.
@@ -117,7 +120,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         shown = dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -132,11 +134,18 @@ class Encoder:
         if len(self.hashes):
             lengths = np.diff(self.ends)[kept]
             self.pool, self.ends = self.pool[gathered(self.ends[kept], lengths)], np.concatenate(([0], np.cumsum(lengths)))
+            lengths = np.diff(self.raw_ends)[kept]
+            self.raw, self.raw_ends = self.raw[gathered(self.raw_ends[kept], lengths)], np.concatenate(([0], np.cumsum(lengths)))
         else:
             self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self.raw, self.raw_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.hashes, self.seen, self.numbers = self.hashes[kept], np.zeros(len(kept), np.int64), Numbers()
         self.numbers.put(self.hashes)
 
+    def plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in texts]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.array([len(x) for x in ids])
+
     def ids_of(self, word: bytes) -> list[int]:
         tail = self.marks.get(word[-1], self.none)
         core = word if tail is self.none else word[:-1]
@@ -155,7 +164,7 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
         joined, starts, ends, counts = words_of(texts)
-        h = np.maximum(Rolling(joined).spans(starts, ends), np.uint64(1))
+        h = np.maximum(hashed_spans(joined, starts, ends), np.uint64(1))
         at = self.numbers.get(h)
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
@@ -168,6 +177,11 @@ class Encoder:
             self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), np.int32)))
             self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in new])))
             self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+            self.raw = np.concatenate((self.raw, joined[gathered(starts[of], ends[of] - starts[of])]))
+            self.raw_ends = np.concatenate((self.raw_ends, self.raw_ends[-1] + np.cumsum(ends[of] - starts[of])))
+        same = self.raw_ends[at + 1] - self.raw_ends[at] == ends - starts
+        if not same.all() or (self.raw[gathered(self.raw_ends[at], ends - starts)] != joined[gathered(starts, ends - starts)]).any():
+            return self.plain(texts)
         np.add.at(self.seen, at, 1)
         lengths = self.ends[at + 1] - self.ends[at]
         out = self.pool[gathered(self.ends[at], lengths)]
