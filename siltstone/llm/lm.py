@@ -3,258 +3,331 @@
 Model. Texts in ASCII lower case, closed by the byte END, which UTF-8 never uses; before a text stand DEPTH
 line feeds. Each byte is eight binary decisions (the 255 inner nodes of the byte tree). For each decision there is
 a context tree over the last 0..DEPTH bytes, whose nodes hold Krichevsky-Trofimov estimates, and the estimates of
-all depths are mixed by the context-tree weights P_w = 1/2 P_kt + 1/2 (product of the children's P_w). Counts are
-final when texts are scored, so each bit has the mixture along its context's path, and each (context, byte) has one
-code length, computed once. A text's score is the sum of those, as log10.
-
-Training. Each task counts its (DEPTH + 1)-grams with NumPy and its words by number, and hands over partial counts;
-Spark sums them, over all training documents. A context has a node of its own if at least one in 2**SPREAD of all
-training bytes follow it; the others of a node share one child, "any other byte". So a depth has at most 2**SPREAD
-such nodes whatever the size of the corpus, and that bound makes the tables broadcastable (under 150 MB at most).
-
-Word counts grow with the corpus and are never broadcast as a whole. Words that are at least one in 2**COMMON of all
-tokens (at most 2**COMMON words) are broadcast; all others meet their counts in a shuffle join, in which no word can
-be hot. Words are compared by 64-bit hashes.
+all depths are mixed by the context-tree weights P_w = 1/2 P_kt + 1/2 (product of the children's P_w). Every context
+met is a node, however rare. Counts are final when texts are scored, so each bit has the mixture along its
+context's path, and each (context, byte) has one code length, computed once. A text's score is the sum of those, as log10.
+
+Training. Each task counts its (DEPTH + 1)-grams with NumPy and its words by 64-bit hashes (equal for two of n words with
+a chance of n * n / 2**65), and hands over partial counts; Spark sums them, over all documents: n in the training rows, m in
+all. The tree is weighted in two passes over the distinct grams, dealt by their last TOP + 1 bytes, so that each subtree
+under depth TOP is in one task: upwards, where the subtrees' weights are summed into the contexts of TOP bytes; and
+downwards from those, to a code length for each gram. The top of the tree (2**16 contexts at most) is on the driver.
+
+Scoring. Keys that are at least one in 2**COMMON of all (so 2**COMMON grams and as many words at most) are broadcast
+with their values; all others meet theirs in a shuffle join, one row for each text and key, in which no key can be hot.
+Which keys go which way changes no result.
 """
 
 from __future__ import annotations
 
+from math import lgamma
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.arrowops import bounds, hashed_words, steps, summed
+from siltstone.llm.arrowops import bounds, hashed_words, runs, steps
 from siltstone.llm.common import fresh, table, written
 
-DEPTH, SPREAD, COMMON, END = 5, 14, 16, 0xFF
+DEPTH, TOP, COMMON, END = 5, 2, 21, 0xFF
 #: Distinct keys a task holds before it hands them over.
-FLUSH = 300_000
+FLUSH = 500_000
 #: The end token's key: the hash of no bytes.
 STOP = np.uint64(0)
+WORD, GRAM, HEAD = 0, 1, 2
 
 
-def coded(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one byte array, each between `depth` line feeds and END; and where each one's own bytes begin and end."""
+def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of each text and its END: its predecessors and itself in one number, the nearest predecessor in front, the byte last; and the text's place."""
     pad, end = b"\n" * depth, bytes([END])
     joined = np.frombuffer(b"".join(x for t in texts for x in (pad, t.lower(), end)), np.uint8)
-    ends = np.cumsum([len(t) + 1 + depth for t in texts])
-    return joined, ends - [len(t) + 1 for t in texts], ends
+    sizes = np.array([len(t) + 1 for t in texts])
+    own = np.ones(len(joined), bool)
+    first = np.cumsum(sizes + depth) - sizes
+    for d in range(1, depth + 1):
+        own[first - d] = False
+    at = np.flatnonzero(own)
+    packed = joined[at].astype(np.uint64)
+    for d in range(1, depth + 1):
+        packed |= joined[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
+    return packed, np.repeat(np.arange(len(texts)), sizes)
+
+
+_TABLE = 1 << 14
+_HALVES, _WHOLES = (np.array([lgamma(i + x) for i in range(_TABLE)]) for x in (0.5, 1))
+
+
+def _lgamma(n: np.ndarray, x: float) -> np.ndarray:
+    """Log gamma of n + x for whole n; x is a half or one."""
+    out = (_HALVES if x == 0.5 else _WHOLES)[np.minimum(n, _TABLE - 1)]
+    big = n >= _TABLE
+    if big.any():
+        y = n[big] + x
+        out[big] = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y)
+    return out
 
 
-def grams(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """For each own byte its `depth` predecessors, the oldest first, and the byte, packed into 64 bits."""
-    joined, first, _ = coded(texts, depth)
-    packed = np.zeros(len(joined) - depth, np.uint64)
-    for d in range(depth + 1):
-        packed = (packed << np.uint64(8)) | joined[d : d + len(packed)]
-    own = np.ones(len(packed), bool)
-    for d in range(1, depth + 1):  # the line feeds before a text are no text
-        own[first[1:] - d - depth] = False
-    return packed[own]
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    return _lgamma(zeros, 0.5) + _lgamma(ones, 0.5) - np.log(np.pi) - _lgamma(zeros + ones, 1)
 
 
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    low = np.zeros_like(x)
-    for i in range(8):
-        low += np.log(x + i)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+class Nodes:
+    """Nodes of one decision and depth: keys (context << 8 | decision) ascending, counts of bit 0 and bit 1, log of the weighted probability, share of the node's own estimate in it."""
 
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None = None):
+        self.keys, self.zeros, self.ones = keys, zeros, ones
+        own = _log_kt(zeros, ones)
+        self.log = own if below is None else np.logaddexp(own, below) - np.log(2)
+        self.stop = np.exp(own - np.log(2) - self.log)
 
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - np.log(np.pi) - _lgamma(zeros + ones + 1)
+    def up(self) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Keys of the contexts shorter by the oldest byte, which of them each node has, and what their nodes sum up."""
+        keys, of = np.unique(self.keys >> 16 << 8 | self.keys & 255, return_inverse=True)
+        add = lambda x: np.bincount(of, x, len(keys))
+        return keys, of, (add(self.zeros).astype(np.int64), add(self.ones).astype(np.int64), add(self.log))
 
+    @property
+    def estimate(self) -> np.ndarray:
+        return (self.ones + 0.5) / (self.zeros + self.ones + 1)
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts -> counts of bit 0 and bit 1 at each inner node of the byte tree (numbers 1 to 255; 0 is unused)."""
-    zeros, ones = np.zeros((2, *counts.shape))
+
+def _subtrees(packed: np.ndarray, n: np.ndarray, depth: int, top: int):
+    """For each of the eight levels of decisions: which node each gram (ascending) is in and its bit, the nodes from depth `depth` up to `top` + 1 with their parents' places, and the keys and sums at `top`."""
+    packed = packed.astype(np.int64)
     for level in range(8):
-        split = counts.reshape(len(counts), 1 << level, 2, 128 >> level).sum(3)
-        zeros[:, 1 << level : 2 << level], ones[:, 1 << level : 2 << level] = split[:, :, 0], split[:, :, 1]
-    return zeros, ones
+        key = packed >> 8 << 8 | 1 << level | (packed & 255) >> (8 - level)
+        at, bit = bounds(key), packed >> (7 - level) & 1
+        ones = np.add.reduceat(n * bit, at[:-1])
+        nodes = Nodes(key[at[:-1]], np.add.reduceat(n, at[:-1]) - ones, ones)
+        path = []
+        for d in range(depth, top, -1):
+            keys, of, sums = nodes.up()
+            path.append((nodes, of))
+            if d > top + 1:
+                nodes = Nodes(keys, *sums)
+        yield np.repeat(np.arange(len(at) - 1), np.diff(at)), bit, path, keys, sums
+
+
+def _upward(depth: int, top: int):
+    """Sums of the subtrees at the contexts of `top` bytes; partial ones, a row for each run and node."""
 
+    def run(batches):
+        for t in runs(batches, ["stem"]):
+            parts = [(keys, *sums) for *_, keys, sums in _subtrees(t.column("key").to_numpy(), t.column("n").to_numpy(), depth, top)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["node", "zeros", "ones", "below"])
 
-def _code_lengths(p: np.ndarray) -> np.ndarray:
-    """Probability of bit 1 at each inner node -> -log10 probability of each byte."""
-    out = np.zeros((len(p), 1))
-    for level in range(8):
-        q = p[:, 1 << level : 2 << level]
-        out = np.stack((out - np.log10(1 - q), out - np.log10(q)), 2).reshape(len(p), 2 << level)
-    return out
+    return run
 
 
-class Model:
-    """child[node * 256 + byte] walks to the context longer by an older byte (negative: a leaf ~n), cost[leaf * 256 + byte] is -log10 p."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """levels[d]: (context, byte, count) of the contexts of d bytes that have nodes, packed with the oldest byte first; if a context has a node, so has its suffix."""
-        self.depth = depth = len(levels) - 1
-        names = [np.unique(c) if d else np.zeros(1, np.uint64) for d, (c, _, _) in enumerate(levels)]
-        n = [len(x) for x in names]
-        counts = []
-        for d, (c, b, k) in enumerate(levels):
-            counts.append(np.zeros((n[d], 256)))
-            np.add.at(counts[d], (np.searchsorted(names[d], c), b.astype(np.int64)), k)
-        up = [np.searchsorted(names[d - 1], names[d] & np.uint64((1 << 8 * (d - 1)) - 1)) if d else None for d in range(depth + 1)]
-        # Leaves: all nodes of the last depth, then for each inner node the child "any other byte".
-        rest = [counts[d].copy() for d in range(depth)]
-        for d in range(1, depth + 1):
-            np.subtract.at(rest[d - 1], up[d], counts[d])
-        stops: list[np.ndarray] = [np.zeros(0)] * depth
-        above = _log_kt(*_decisions(counts[depth]))
-        for d in range(depth - 1, -1, -1):
-            below = _log_kt(*_decisions(rest[d]))
-            np.add.at(below, up[d + 1], above)
-            own = _log_kt(*_decisions(counts[d]))
-            above = np.logaddexp(own, below) - np.log(2)
-            stops[d] = np.exp(own - np.log(2) - above)
-        # From the root down: what the depths so far contribute, and the weight that is left for longer contexts.
-        kt = lambda c: (lambda z, o: (o + 0.5) / (z + o + 1))(*_decisions(c))
-        given, left, costs = np.zeros((1, 256)), np.ones((1, 256)), []
-        for d in range(depth):
-            given = given + left * stops[d] * kt(counts[d])
-            left = left * (1 - stops[d])
-            costs.append(_code_lengths(np.clip(given + left * kt(rest[d]), 1e-12, 1 - 1e-12)).astype(np.float32))
-            given, left = given[up[d + 1]], left[up[d + 1]]
-        costs.append(_code_lengths(np.clip(given + left * kt(counts[depth]), 1e-12, 1 - 1e-12)).astype(np.float32))
-        self.cost = np.concatenate(costs).ravel()
-        base = np.concatenate(([0], np.cumsum(n)))  # an inner node's own number is also that of its rest leaf
-        self.child = np.repeat(~np.arange(base[depth], dtype=np.int32), 256)
-        for d in range(1, depth + 1):
-            oldest = (names[d] >> np.uint64(8 * (d - 1))).astype(np.int64)
-            number = base[d] + np.arange(n[d])
-            self.child[(base[d - 1] + up[d]) * 256 + oldest] = ~number if d == depth else number
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text with its END."""
-        joined, first, ends = coded(texts, self.depth)
-        at = np.arange(self.depth, len(joined))  # all but the line feeds before the first text; the others' cost is not summed
-        node = np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
-        for d in range(1, self.depth + 1):
-            node[live] = self.child[node[live] * 256 + joined[at[live] - d]]
-            live = live[node[live] >= 0]
-        leaf = np.where(node < 0, ~node, node)
-        total = np.concatenate((np.zeros(self.depth + 1), np.cumsum(self.cost[leaf * 256 + joined[at]], dtype=np.float64)))
-        return total[first] - total[ends]
-
-
-def _flushed(hold: dict, kind: int):
-    k, n = summed(np.concatenate(hold[kind][0]), np.concatenate(hold[kind][1]))
-    hold[kind] = ([], [])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+def _crown(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the sums at depth `top`: keys (ascending), what depths 0 to `top` give to the probability of bit 1, and the weight left for longer contexts."""
+    order = np.argsort(node)
+    nodes, path = Nodes(node[order], zeros[order], ones[order], below[order]), []
+    for _ in range(top):
+        keys, of, sums = nodes.up()
+        path.append((nodes, of))
+        nodes = Nodes(keys, *sums)
+    given, left = nodes.stop * nodes.estimate, 1 - nodes.stop
+    for nodes, of in reversed(path):
+        given, left = given[of] + left[of] * nodes.stop * nodes.estimate, left[of] * (1 - nodes.stop)
+    return nodes.keys, given, left
 
 
-def _counted(text: str, depth: int):
-    """Partial counts of words (kind 0, by hash) and grams (kind 1, packed)."""
+def _downward(depth: int, top: int, crown):
+    """key, cost: -log10 of the probability of the gram's last byte after the others."""
 
     def run(batches):
-        hold = {0: ([], []), 1: ([], [])}
-        for _, texts in steps(batches, text):
-            words, _ = hashed_words([t.lower() for t in texts])
-            for kind, x in ((0, np.append(words, np.full(len(texts), STOP))), (1, grams(texts, depth))):
-                x = np.sort(x)
-                at = bounds(x)
-                hold[kind][0].append(x[at[:-1]])
-                hold[kind][1].append(np.diff(at))
-            for kind in hold:
-                if sum(map(len, hold[kind][0])) > 3 * FLUSH:
-                    k, n = summed(np.concatenate(hold[kind][0]), np.concatenate(hold[kind][1]))
-                    hold[kind] = ([k], [n])
-                    if len(k) > FLUSH:
-                        yield _flushed(hold, kind)
-        for kind in hold:
-            if hold[kind][0]:
-                yield _flushed(hold, kind)
+        keys, given_top, left_top = crown.value
+        for t in runs(batches, ["stem"]):
+            key = t.column("key").to_numpy()
+            cost = np.zeros(len(key))
+            for in_node, bit, path, up, _ in _subtrees(key, t.column("n").to_numpy(), depth, top):
+                at = np.searchsorted(keys, up)
+                given, left = given_top[at], left_top[at]
+                for nodes, of in path[:0:-1]:
+                    given, left = given[of] + left[of] * nodes.stop * nodes.estimate, left[of] * (1 - nodes.stop)
+                nodes, of = path[0]
+                p = np.clip(given[of] + left[of] * nodes.estimate, 1e-12, 1 - 1e-12)
+                cost -= np.log10(np.where(bit == 1, p[in_node], 1 - p[in_node]))
+            yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(cost)], ["key", "cost"])
 
     return run
 
 
-def train(docs: DataFrame, *, depth: int = DEPTH, spread: int = SPREAD) -> tuple[Model, DataFrame]:
-    """documents (text) -> the byte model, and word counts (key, n). All rows are counted; null text is empty, an end token only."""
-    t = fresh(docs.columns, "text")[0]
-    counts = written(docs.select(F.col("text").alias(t)).mapInArrow(_counted(t, depth), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-counts")
-    total = counts.where("kind = 1").agg(F.sum("n")).first()[0] or 0
-    level = counts.where("kind = 1").select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n")
-    kept = []
-    for d in range(depth, -1, -1):
-        level = level.select(F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"), "byte", "n").groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        often = level.groupBy(F.col("context").alias("c")).agg(F.sum("n").alias("all")).where(F.col("all") * (1 << spread) >= F.lit(total))
-        x = level.join(often, F.col("context") == F.col("c"), "left_semi").toArrow()
-        kept.append(tuple(x.column(c).to_numpy() for c in ("context", "byte", "n")))
-    return Model([(c.astype(np.uint64), b, k) for c, b, k in reversed(kept)]), counts.where("kind = 0").select("key", "n")
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    at = bounds(keys)[:-1]
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def _counted(text: str, depth: int):
+    """Partial counts of words (by hash) and grams: kind, key, n (in training rows), m (in all rows)."""
 
+    def batch(kind, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts[:, 0].copy()), pa.array(counts[:, 1].copy())], ["kind", "key", "n", "m"])
 
-def score(docs: DataFrame, held_out, *, depth: int = DEPTH, spread: int = SPREAD, common: int = COMMON) -> DataFrame:
-    """documents (doc_id, text; other columns are ignored) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row a document.
+    def run(batches):
+        hold = {WORD: [], GRAM: []}
+        for b, texts in steps(batches, text):
+            train = b.column("train").to_numpy(zero_copy_only=False)
+            for flag in (True, False):
+                part = [x for x, f in zip(texts, train) if f == flag]
+                if part:
+                    words, _ = hashed_words([x.lower() for x in part])
+                    for kind, x in ((WORD, np.append(words, np.full(len(part), STOP))), (GRAM, grams(part, depth)[0])):
+                        x = np.sort(x)
+                        at = bounds(x)
+                        times = np.diff(at)
+                        hold[kind].append((x[at[:-1]], np.stack((times * flag, times), 1)))
+            for kind, parts in hold.items():
+                if sum(len(k) for k, _ in parts) > 3 * FLUSH:
+                    parts[:] = [_summed(parts)]
+                    if len(parts[0][0]) > FLUSH:
+                        yield batch(kind, *parts.pop())
+        for kind, parts in hold.items():
+            if parts:
+                yield batch(kind, *_summed(parts))
 
-    Trains on the rows where the condition `held_out` is false or null and scores all. Null text is empty: one end
-    token. Without training rows every byte has the uniform probability and the base score is 0. Null and
-    repeated ids are rows like any other; an empty table gives none.
+    return run
+
+
+def train(rows: DataFrame, text: str, *, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """rows (text, train) -> costs (key, m, cost: code length of each gram met, in decimal digits) and words (key, n, m). Null text is an end token only.
+
+    Both tables are written and grow with the corpus; grams and words of other than training rows are in them too, with n = 0.
+    """
+    spark, top = rows.sparkSession, min(TOP, depth - 1)
+    counts = rows.select(text, "train").mapInArrow(_counted(text, depth), "kind int, key long, n long, m long")
+    counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
+    stems = counts.where(F.col("kind") == GRAM).select("key", "n", F.shiftright("key", 8 * (depth - top)).alias("stem")).repartition("stem").sortWithinPartitions("key")
+    sums = stems.mapInArrow(_upward(depth, top), "node long, zeros long, ones long, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below")).toArrow()
+    columns = [sums.column(c).to_numpy() for c in ("node", "zeros", "ones", "below")]
+    crown = spark.sparkContext.broadcast(_crown(*columns, top) if len(columns[0]) else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+    costs = stems.mapInArrow(_downward(depth, top, crown), "key long, cost double")
+    costs = written(costs, "lm-costs").join(counts.where(F.col("kind") == GRAM).select("key", "m"), "key")
+    return costs, counts.where(F.col("kind") == WORD).select("key", "n", "m")
+
+
+def _often(df: DataFrame, value: str, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (ascending) that are at least one in 2**common of all, and their values."""
+    whole = df.agg(F.sum("m")).first()[0] or 0
+    got = df.where(F.col("m") * F.lit(1 << common) >= F.lit(whole)).select("key", value).toArrow()
+    keys = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], got.column(value).to_numpy()[order]
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked keys, and which are there."""
+    at = np.searchsorted(keys, asked)
+    there = at < len(keys)
+    there[there] = keys[at[there]] == asked[there]
+    return at, there
+
+
+def score(docs: DataFrame, held_out, *, depth: int = DEPTH, common: int = COMMON) -> DataFrame:
+    """documents (doc_id, text; other columns are ignored) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte; a row a document.
+
+    Trains on the rows where the condition `held_out` is false or null and scores all. n_bytes counts the END;
+    bits_per_byte is the model's code length over it. Null text is empty: one end token. Without training rows every
+    byte has the uniform probability and the base score is 0. Null and repeated ids are rows like any other; an empty
+    table gives none.
     """
     spark = docs.sparkSession
-    t, row = fresh(docs.columns, "text", "row")
+    t, row = fresh(["doc_id", "held_out", "train", *docs.columns], "text", "row")
     flag = F.coalesce(held_out, F.lit(False))
-    model, words = train(docs.where(~flag), depth=depth, spread=spread)
-    train_tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = words.where(F.col("n") * (1 << common) >= F.lit(train_tokens)).toArrow()
-    order = np.argsort(keys := often.column("key").to_numpy().view(np.uint64))
-    shared = spark.sparkContext.broadcast((model, keys[order], often.column("n").to_numpy()[order]))
+    costs, words = train(docs.select(F.col("text").alias(t), (~flag).alias("train")), t, depth=depth)
+    train_tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    shared = spark.sparkContext.broadcast((_often(costs, "cost", common), _often(words, "n", common)))
 
     def scored(batches):
-        model, keys, counts = shared.value
-        logs, known = np.log10(np.append(counts, 0) + 0.5), np.append(keys, 0)
+        (grams_often, prices), (words_often, counts) = shared.value
+        logs = np.log10(counts + 0.5)
         for b, texts in steps(batches, t):
+            n = len(texts)
             words, sizes = hashed_words([x.lower() for x in texts])
-            every = np.arange(len(texts))
-            words, owner = np.append(words, np.full(len(texts), STOP)), np.append(np.repeat(every, sizes), every)
-            sizes = sizes + 1
-            at = np.searchsorted(keys, words)
-            often_here = (known[at] == words) & (at < len(keys))
-            n_known = np.bincount(owner[often_here], minlength=len(texts))
-            base = np.bincount(owner[often_here], logs[at[often_here]], len(texts))
-            words, owner = words[~often_here], owner[~often_here]
+            every = np.arange(n)
+            words, owner = np.append(words, np.full(n, STOP)), np.append(np.repeat(every, sizes), every)
+            at, there = _found(words_often, words)
+            n_known = np.bincount(owner[there], counts[at[there]] > 0, n)
+            base = np.bincount(owner[there], logs[at[there]], n)
+            words, owner = words[~there], owner[~there]
             order = np.lexsort((words, owner))
             words, owner = words[order], owner[order]
             cut = bounds(owner, words)
-            rare, of, times = words[cut[:-1]], owner[cut[:-1]], np.diff(cut)
-            n, m = len(texts), len(rare)
+            rare, of, times = [words[cut[:-1]]], [owner[cut[:-1]]], [np.diff(cut)]
+            packed, place = grams(texts, depth)
+            if depth < 6 and n <= 1 << 16:  # gram and text in one number
+                both = np.sort(packed << np.uint64(16) | place.astype(np.uint64))
+                cut = bounds(both)
+                packed, place = both[cut[:-1]] >> np.uint64(16), (both[cut[:-1]] & np.uint64(0xFFFF)).astype(np.int64)
+            else:
+                order = np.lexsort((place, packed))
+                packed, place = packed[order], place[order]
+                cut = bounds(packed, place)
+                packed, place = packed[cut[:-1]], place[cut[:-1]]
+            often = np.diff(cut)
+            at, there = _found(grams_often, packed)
+            own = -np.bincount(place[there], prices[at[there]] * often[there], n)
+            rare.append(packed[~there])
+            of.append(place[~there])
+            times.append(often[~there])
+            kind = np.repeat([HEAD, WORD, GRAM], [n, len(rare[0]), len(rare[1])]).astype(np.int32)
+            rare, of, times = np.concatenate(rare), np.concatenate(of), np.concatenate(times)
+            m = len(rare)
             rows = b.column(row).to_numpy()
-            heads = lambda x, kind: np.concatenate((x, np.zeros(m, kind)))  # noqa: B023, E731
+            heads = lambda x, like: np.concatenate((x, np.zeros(m, like)))  # noqa: B023, E731
             ids = b.column("doc_id")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((rows, rows[of]))),
                     pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
                     pa.concat_arrays([b.column("held_out"), pa.nulls(m, pa.bool_())]),
-                    pa.array(heads(sizes, np.int64)),
+                    pa.array(heads(sizes + 1, np.int64)),
+                    pa.array(heads(np.array([len(x) + 1 for x in texts]), np.int64)),
                     pa.array(heads(n_known.astype(np.int64), np.int64)),
                     pa.array(heads(base, np.float64)),
-                    pa.array(heads(model.score(texts), np.float64)),
+                    pa.array(heads(own, np.float64)),
+                    pa.array(kind),
                     pa.array(np.concatenate((rows * np.int64(-7046029254386353131), rare.view(np.int64)))),
                     pa.array(np.concatenate((np.zeros(n, np.int64), times))),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "key", "times"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "kind", "key", "times"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    like = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", flag.alias("held_out"), F.col("text").alias(t), F.monotonically_increasing_id().alias(row))
-    # One row a document with what its common words give (times 0, key by chance), and one for each other word of it.
-    parts = rows.mapInArrow(scored, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times long")
-    joined = parts.join(words.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
-    n = F.coalesce("n", F.lit(0))
+    # One row a document with what its common keys give (kind HEAD, key by chance), and one for each other key of it.
+    parts = rows.mapInArrow(scored, f"row long, doc_id {like}, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, kind int, key long, times long")
+    none = F.lit(None)
+    terms = words.select(F.lit(WORD).alias("k"), F.col("key").alias("term"), "n", none.cast("double").alias("cost")).union(costs.select(F.lit(GRAM), "key", none.cast("long"), "cost"))
+    joined = parts.join(terms, (F.col("kind") == F.col("k")) & (F.col("key") == F.col("term")), "left")
+    word = F.col("kind") == WORD
     per_row = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * F.log10(n + F.lit(0.5))).alias("base"),
-        F.sum("score").alias("score"),
+        F.sum("n_bytes").alias("n_bytes"),
+        F.sum(F.col("n_known") + F.when(word & (F.col("n") > 0), F.col("times")).otherwise(F.lit(0))).alias("n_known"),
+        F.sum(F.col("base") + F.when(word, F.col("times") * F.log10(F.col("n") + F.lit(0.5))).otherwise(F.lit(0.0))).alias("base"),
+        F.sum(F.col("score") - F.when(F.col("kind") == GRAM, F.col("times") * F.col("cost")).otherwise(F.lit(0.0))).alias("score"),
     )
     whole = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
-    return per_row.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), "score")
+    return per_row.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(train_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        "score",
+        "n_bytes",
+        (-F.col("score") / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
+    )
 
 
 def fold(column, n: int):

@@ -12,17 +12,14 @@ from siltstone.llm import lm
 DOCS = "doc_id long, text string, row long, base string, held_out int"
 
 
-def plain_ctw(train, texts, depth, spread):
-    """Sequence probabilities by recursion over explicit context nodes."""
+def plain_ctw(train, texts, depth):
+    """Sequence probabilities by recursion over explicit context nodes; every context met is a node."""
     counts = defaultdict(Counter)
-    total = 0
     for t in train:
         s = b"\n" * depth + t.lower() + b"\xff"
         for i in range(depth, len(s)):
-            total += 1
             for d in range(depth + 1):
                 counts[s[i - d : i]][s[i]] += 1
-    kept = {c for c, k in counts.items() if sum(k.values()) * 2**spread >= total} | {b""}
     kt = lambda z, o: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
 
     def bits(c, level, prefix):
@@ -30,18 +27,11 @@ def plain_ctw(train, texts, depth, spread):
         o = sum(n for b, n in c.items() if b >> (8 - level) == prefix and b >> (7 - level) & 1)
         return z, o
 
-    def rest(c):
-        left = Counter(counts[c])
-        for x in kept:
-            if len(x) == len(c) + 1 and x.endswith(c) and (c or len(x) == 1):
-                left.subtract(counts[x])
-        return left
-
     def log_w(c, level, prefix):
         own = kt(*bits(counts[c], level, prefix))
         if len(c) == depth:
             return own
-        below = kt(*bits(rest(c), level, prefix)) + sum(log_w(x, level, prefix) for x in kept if len(x) == len(c) + 1 and x[1:] == c)
+        below = sum(log_w(x, level, prefix) for x in list(counts) if len(x) == len(c) + 1 and x[1:] == c)
         return np.logaddexp(own, below) - math.log(2)
 
     def predict(past, c, level, prefix):
@@ -51,12 +41,7 @@ def plain_ctw(train, texts, depth, spread):
             return own
         stop = math.exp(kt(z, o) - math.log(2) - log_w(c, level, prefix))
         longer = past[-len(c) - 1 :]
-        if longer in kept:
-            further = predict(past, longer, level, prefix)
-        else:
-            z, o = bits(rest(c), level, prefix)
-            further = (o + 0.5) / (z + o + 1)
-        return stop * own + (1 - stop) * further
+        return stop * own + (1 - stop) * predict(past, longer, level, prefix)
 
     out = []
     for t in texts:
@@ -69,12 +54,21 @@ def plain_ctw(train, texts, depth, spread):
     return out
 
 
-@pytest.mark.parametrize("depth,spread", [(1, 9), (2, 4), (2, 12), (3, 3)])
-def test_model_is_ctw(spark, depth, spread):
+@pytest.mark.parametrize("depth,common", [(1, 21), (2, 4), (3, 0), (5, 3), (6, 2)])
+def test_model_is_ctw(spark, depth, common):
+    """Against recursion, with every key broadcast, some, and none."""
     train = [b"abracadabra", b"Abra cad", b"", "éa b".encode(), b"ababab"]
-    model, _ = lm.train(spark.createDataFrame([(t.decode(),) for t in train], "text string"), depth=depth, spread=spread)
     texts = [b"abra", b"", b"zzz a", "é".encode(), b"ABAB"]
-    assert model.score(texts) == pytest.approx(plain_ctw(train, texts, depth, spread), rel=1e-5)
+    rows = [(i, x.decode(), 0, "b", int(i >= len(train))) for i, x in enumerate(train + texts)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, DOCS).repartition(3), lm.F.col("held_out") == 1, depth=depth, common=common).collect()}
+    assert [got[i].score for i in range(len(rows))] == pytest.approx(plain_ctw(train, train + texts, depth), rel=1e-9)
+    assert all(got[i].n_bytes == len(x) + 1 and got[i].bits_per_byte == pytest.approx(-got[i].score / math.log10(2) / (len(x) + 1)) for i, x in enumerate(train + texts))
+
+
+def test_words_that_bad_hashes_confuse(spark):
+    rows = [(1, "x dat", 0, "b", 0), (2, "x cat\0", 0, "b", 1)]
+    got = {r.doc_id: r.n_known for r in lm.score(spark.createDataFrame(rows, DOCS), lm.F.col("held_out") == 1).collect()}
+    assert got == {1: 3, 2: 2}
 
 
 def test_table(spark, sf):
