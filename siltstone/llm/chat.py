@@ -16,8 +16,9 @@ from siltstone.llm.common import table
 
 
 def render(role, text):
-    """One turn in the ChatML layout."""
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), text, F.lit("<|im_end|>\n"))
+    """One turn in the ChatML layout; a turn mark inside of role or text is parted by a space, so that no text opens or closes a turn."""
+    plain = lambda c: F.replace(c, F.lit("<|im_"), F.lit("< |im_"))
+    return F.concat(F.lit("<|im_start|>"), plain(role), F.lit("\n"), plain(text), F.lit("<|im_end|>\n"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
@@ -53,10 +54,11 @@ WITH posed AS (
   FROM conversations
 ), prefixes AS (
   SELECT conv_id, pos, n_turns,
-         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS said
+         string_agg('[' || len(role) || '|' || role || '|' || text || ']', '') OVER (PARTITION BY conv_id ORDER BY pos) AS said,
+         string_agg('<|im_start|>' || replace(role, '<|im_', '< |im_') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS rendered
   FROM posed
 ), proper AS (SELECT DISTINCT pos, said FROM prefixes WHERE pos < n_turns)
-SELECT min(conv_id) AS conv_id, n_turns, said AS text
+SELECT min(conv_id) AS conv_id, n_turns, any_value(rendered) AS text
 FROM prefixes p
 WHERE pos = n_turns AND NOT EXISTS (SELECT 1 FROM proper q WHERE q.pos = p.n_turns AND q.said = p.said)
 GROUP BY n_turns, said
