@@ -1,8 +1,11 @@
 """Connected components by alternating large-star and small-star rounds, all of it distributed.
 
 Each round is two aggregations and two joins over the edges; edges are written to the shared folder between
-rounds, so lineage stays short and a lost executor costs one round. Nothing but a count and a checksum of the
+rounds, so lineage stays short and a lost executor costs one round. Nothing but counts and a checksum of the
 edges goes to the driver. Rounds grow with the logarithm of the number of nodes.
+
+A node with many edges (a hub) would send all of them to one task. Nodes with at least one in HUBS of all edge ends (so at
+most HUBS of them) have their minima broadcast; the others' edges meet theirs in a shuffle join.
 """
 
 from __future__ import annotations
@@ -12,30 +15,45 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import removed, written
 
+HUBS = 2000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """edges (u, v) with u's value m of least (u, m, n)."""
+    if ends <= HUBS:
+        return edges.join(F.broadcast(least.select("u", "m")), "u")
+    hub = F.col("n") * HUBS >= F.lit(ends)
+    often = F.broadcast(least.where(hub).select(F.col("u").alias("h"), F.col("m").alias("of_hub")))
+    parted = edges.join(often, F.col("u") == F.col("h"), "left").drop("h")
+    others = parted.where("of_hub is null").drop("of_hub").join(least.where(~hub).select("u", "m"), "u")
+    return parted.where("of_hub is not null").withColumnRenamed("of_hub", "m").unionByName(others)
+
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    out = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small(edges: DataFrame, n: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    out = _with_least(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges (a, b; long) -> node, root: the smallest node that each node with an edge reaches. Loops and repeats are ignored."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    mark, n = None, now.count()
     for _ in range(rounds):
-        after = written(_small(_large(now)), "edges")
+        middle = written(_large(now, n), "edges")
+        after = written(_small(middle, n), "edges")
+        removed(now.sparkSession, middle)
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         removed(now.sparkSession, now)
         now = after
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, n = tuple(seen), seen["n"]
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -7,12 +7,13 @@ DEGREE each, and back). The lists of all shards are united by node: what one sha
 
 Search: every node is a query in its shards, over the united lists. A beam search starts from the shard's medoid and
 from the node itself; then the range expands: whatever reaches the threshold is expanded in turn until nothing new
-reaches it. Pairs found are verified by the cosine in double precision, and counted in the first shard that both
-have in common only. A task returns counts and a spanning forest, not pairs.
+reaches it. Pairs found are verified by the cosine in double precision. They connect in every shard that finds them, and are counted in the
+first shard that both have in common only. A task returns counts and a spanning forest, not pairs.
 
-Audit: AUDIT nodes in order of a hash are compared with all nodes by brute force, in blocks; while the links found are
-under GOAL of the true ones, the graph is built again with twice the overlap (at most three times; more shards in common
-is what lost pairs lack).
+Audit: AUDIT nodes in order of a hash, and as many of those with links found, are compared with all nodes by brute force, in
+blocks. The recall is the mean over audited nodes that have true links, each node alike. While it is under GOAL, the graph
+is built again with twice the overlap (more shards in common is what lost pairs lack), up to all shards for every node; a
+graph still under GOAL then is an error, not a result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.arrowops import bounds, runs
-from siltstone.llm.common import table, written
+from siltstone.llm.common import removed, table, written
 from siltstone.llm.components import components
 
 LEAST, OVERLAP, TARGET, CENTROIDS, SAMPLE, BLOCK = 0.9, 3, 1000, 2048, 20_000, 1024
@@ -228,9 +229,9 @@ def _linked(least: float):
                 homes = np.array(g.column("homes").to_pylist())
                 first_common = lambda a, b: np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
                 common = np.concatenate([first_common(homes[u[i : i + 50_000]], homes[v[i : i + 50_000]]) for i in range(0, len(u), 50_000)] or [np.zeros(0, np.int64)])
-                ok = (u != v) & (cosine >= least) & (common == shard) & ((lo == hi) | (own[u] != own[v]))
-                u, v = u[ok], v[ok]
-                links = np.bincount(u, mult[v], len(node)) + np.bincount(v, mult[u], len(node))
+                ok = (u != v) & (cosine >= least) & ((lo == hi) | (own[u] != own[v]))
+                u, v, first = u[ok], v[ok], common[ok] == shard
+                links = np.bincount(u[first], mult[v[first]], len(node)) + np.bincount(v[first], mult[u[first]], len(node))
                 label = np.arange(len(node))
                 while True:
                     new = label.copy()
@@ -240,7 +241,7 @@ def _linked(least: float):
                     if (new == label).all():
                         break
                     label = new
-                some = np.flatnonzero(links > 0)
+                some = np.flatnonzero((links > 0) | (label != np.arange(len(node))))
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(node[label[some]])], ["node", "links", "root"])
 
@@ -248,7 +249,7 @@ def _linked(least: float):
 
 
 def links(nodes: DataFrame, *, least: float = LEAST, overlap: int = OVERLAP, target: int = TARGET, block: int = BLOCK) -> DataFrame:
-    """nodes (node, v, dim, mult; distinct vectors) -> node, links, root; a row for each node and shard in which it has links."""
+    """nodes (node, v, dim, mult; distinct vectors) -> node, links, root; a row for each node and shard in which it has links or another root."""
     sample = nodes.orderBy("node").limit(SAMPLE).select("v", "dim").toArrow()
     sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(64).collect()}
     centers = {}
@@ -273,8 +274,13 @@ def links(nodes: DataFrame, *, least: float = LEAST, overlap: int = OVERLAP, tar
 
 
 def recall(nodes: DataFrame, counted: DataFrame, *, least: float = LEAST, audit: int = AUDIT) -> float:
-    """Links found of the true links of `audit` nodes, by brute force against all nodes; 1 without true links. counted: node, links."""
-    asked = nodes.orderBy(F.xxhash64("node")).limit(audit).select("node", "v", "dim").toArrow().to_pylist()
+    """Mean share of the true links that was found, over audited nodes with true links, by brute force against all nodes; 1 without true links. counted: node, links.
+
+    Audited are the first `audit` nodes in order of a hash, and the first `audit` of those with links found.
+    """
+    linked = counted.where("links > 0").select("node").distinct()
+    some = nodes.orderBy(F.xxhash64("node")).limit(audit).union(nodes.join(linked, "node", "left_semi").select(nodes.columns).orderBy(F.xxhash64("node")).limit(audit))
+    asked = some.select("node", "v", "dim").dropDuplicates(["node"]).toArrow().to_pylist()
 
     def true_links(batches):
         for b in batches:
@@ -294,8 +300,10 @@ def recall(nodes: DataFrame, counted: DataFrame, *, least: float = LEAST, audit:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64))], ["node", "truth"])
 
     truth = nodes.mapInArrow(true_links, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    t, f = truth.join(counted.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links")), F.col("node") == F.col("id"), "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not t else f / t
+    found = counted.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
+    share = F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")
+    mean = truth.where("truth > 0").join(found, F.col("node") == F.col("id"), "left").agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(vectors: DataFrame, *, least: float = LEAST, overlap: int = OVERLAP, target: int = TARGET, block: int = BLOCK, goal: float = GOAL) -> DataFrame:
@@ -309,10 +317,14 @@ def near_duplicates(vectors: DataFrame, *, least: float = LEAST, overlap: int =
     rows = vectors.select("vec_id", F.when(sound, v).alias("v"))
     nodes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
     nodes = written(nodes.select(F.xxhash64("v").alias("node"), "v", F.size("v").alias("dim"), "low", "mult"), "nodes")
-    for _ in range(3):
+    while True:
         found = written(links(nodes.drop("low"), least=least, overlap=overlap, target=target, block=block), "links")
-        if recall(nodes, found, least=least) >= goal:
+        reached = recall(nodes, found, least=least)
+        if reached >= goal:
             break
+        if overlap >= CENTROIDS:
+            raise RuntimeError(f"recall {reached:.4f} of links is under {goal}")
+        removed(vectors.sparkSession, found)
         overlap *= 2
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy(F.col("node").alias("c")).agg(F.sum("links").alias("links"))

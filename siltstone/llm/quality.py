@@ -1,12 +1,19 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a document.
 
 Each line is good or bad. Its features are ratios of character classes and words, the same of the line before and
-the line after, and whether it is the first or last. The chain's transitions tie neighbours together. Training takes
-a bounded sample of labelled documents (SAMPLE rows in order of a hash, at most LINES neighbouring lines of each, from a
-place drawn by the hash); every line carries its document's label, and the conditional likelihood is maximised by
-full-batch Adam in NumPy on the driver. Scoring runs on the executors over whole texts: forward-backward gives each
-line's probability of being good, the mean weighted by line length is the document's raw quality, and a two-parameter
-logistic curve fitted on the sample turns it into a probability.
+the line after, and whether it is the first or last. The chain's transitions tie neighbours together.
+
+Training takes a bounded sample of labelled documents, whole: SAMPLE rows in order of a hash, of which those count that fit
+into LINES lines in all (a document that no longer fits is passed over). Only documents have labels, so the lines' own are
+latent: at first every line carries its document's, and the weights of the features are fitted without steps (which
+would tie a whole document together); then, in turns, lines that are surely seen otherwise change their label and the
+chain is fitted to the lines' labels (conditional likelihood, full-batch Adam in NumPy on the driver). Lines change the
+surest first, as long as at least half of the document's length agrees with its label. So a document may hold lines of
+both kinds, and the chain learns the steps between them.
+
+Scoring runs on the executors over whole texts: forward-backward gives each line's probability of being good, the mean
+weighted by line length is the document's raw quality, and a two-parameter logistic curve fitted on the sample turns it
+into a probability.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import types as T
 from siltstone.llm.arrowops import hashed_spans, steps
 from siltstone.llm.common import fresh, table
 
-SAMPLE, LINES, ROUNDS, RIDGE, THRESHOLD = 6000, 200, 250, 1e-4, 0.3
+SAMPLE, LINES, ROUNDS, RIDGE, THRESHOLD = 6000, 200_000, (150, 60, 60), 1e-4, 0.3
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:", b"!", b"?", b"|", b"*#$%&@^~=+<>\\/_{}[]", b"'\"()-`", bytes(range(0x80, 0xC0)), bytes(range(0xC0, 0x100))), 1):
@@ -110,45 +117,80 @@ def _adam(gradient, x: np.ndarray, rounds: int, rate: float) -> np.ndarray:
     return x
 
 
+def relabelled(label: np.ndarray, logit: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Labels of the lines: their document's, but for lines of the other sign, the surest first, up to half of the document's length."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    agrees = np.where(label[doc] == 1, logit, -logit)
+    order = np.lexsort((agrees, doc))
+    run = np.cumsum(weight[order])
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate(([0], run))[first]
+    whole = np.add.reduceat(weight, first)
+    out = label[doc].copy()
+    flip = (agrees[order] < 0) & (2 * (run - before[doc]) <= whole[doc])
+    out[order[flip]] = 1 - out[order[flip]]
+    return out
+
+
 class Model:
     """Weights of the chain, and the curve from the raw quality to a probability. Without labels of both kinds everything is good."""
 
-    def __init__(self, x=None, weight=None, sizes=None, label=None, rounds: int = ROUNDS, ridge: float = RIDGE):
+    def __init__(self, x=None, weight=None, sizes=None, label=None, rounds: tuple[int, ...] = ROUNDS, ridge: float = RIDGE):
         self.ready = x is not None and len(sizes) > 1 and 0 < label.mean() < 1
         if not self.ready:
             return
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.mean[-1], self.scale[-1] = 0, 1
         z = (x - self.mean) / self.scale
-        good = np.repeat(label, sizes).astype(np.float64)
-        steps_in = sizes - 1
-        seen = np.array([[(steps_in * (label == 0)).sum(), 0], [0, (steps_in * (label == 1)).sum()]], np.float64)
+        inside = np.ones(len(z), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        step = np.flatnonzero(inside)
+
+        def gradient_for(lines, tied):
+            seen = np.bincount(2 * lines[step] + lines[step + 1], minlength=4).astype(np.float64)
 
-        def gradient(p):
-            logit, pairs, _ = marginals(z @ p[4:], p[:4].reshape(2, 2), sizes)
-            return np.concatenate(((pairs - seen).ravel(), z.T @ (_sigmoid(logit) - good))) / len(good) + ridge * p
+            def gradient(p):
+                logit, pairs, _ = marginals(z @ p[4:], p[:4].reshape(2, 2), sizes)
+                return np.concatenate(((pairs.ravel() - seen) * tied, z.T @ (_sigmoid(logit) - lines))) / len(lines) + ridge * p
 
-        p = _adam(gradient, np.zeros(4 + z.shape[1]), rounds, 0.05)
+            return gradient
+
+        p, lines = np.zeros(4 + z.shape[1]), np.repeat(label, sizes)
+        for i, n in enumerate(rounds):
+            p = _adam(gradient_for(lines, i > 0), p, n, 0.05)
+            lines = relabelled(label, marginals(z @ p[4:], p[:4].reshape(2, 2), sizes)[0], weight, sizes)
         self.move, self.w, self.curve = p[:4].reshape(2, 2), p[4:], np.array([1.0, 0.0])
         raw = self._raw(x, weight, sizes)
         fit = lambda q: np.array([((_sigmoid(q[0] * raw + q[1]) - label) * raw).mean(), (_sigmoid(q[0] * raw + q[1]) - label).mean()]) + 1e-3 * np.array([q[0] - 1, 0])
         self.curve = _adam(fit, self.curve, 500, 0.05)
 
-    def _raw(self, x, weight, sizes) -> np.ndarray:
-        logit, _, _ = marginals(((x - self.mean) / self.scale) @ self.w, self.move, sizes)
+    def line_logits(self, x) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.w
+
+    def _raw(self, x, weight, sizes, logit=None) -> np.ndarray:
+        logit = marginals(self.line_logits(x), self.move, sizes)[0] if logit is None else logit
         at = np.cumsum(sizes) - sizes
         q = np.add.reduceat(_sigmoid(logit) * weight, at) / np.add.reduceat(weight.astype(np.float64), at)
         q = np.clip(q, 1e-4, 1 - 1e-4)
         return np.log(q / (1 - q))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each text, its number of lines, and how many of them are good."""
+        x, weight, sizes = line_features(texts)
         if not self.ready:
-            return np.ones(len(texts))
-        return _sigmoid(self.curve[0] * self._raw(*line_features(texts)) + self.curve[1])
+            return np.ones(len(texts)), sizes, sizes
+        logit = marginals(self.line_logits(x), self.move, sizes)[0]
+        good = np.add.reduceat((logit >= 0).astype(np.int64), np.cumsum(sizes) - sizes)
+        return _sigmoid(self.curve[0] * self._raw(x, weight, sizes, logit) + self.curve[1]), sizes, good
+
+    def lines(self, text: bytes) -> np.ndarray:
+        """The probability of each line of being good."""
+        x, _, sizes = line_features([text])
+        return _sigmoid(marginals(self.line_logits(x), self.move, sizes)[0]) if self.ready else np.ones(len(x))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMPLE, lines: int = LINES) -> Model:
-    """documents (doc_id, text) and labels (doc_id, quality) -> model, from at most `sample` documents for which `usable` (a condition on doc_id) holds.
+    """documents (doc_id, text) and labels (doc_id, quality) -> model, from at most `sample` documents for which `usable` (a condition on doc_id) holds, whole ones of at most `lines` lines together.
 
     Several labels of a document: the mean, good from one half. Null labels and ids are passed over.
     """
@@ -156,19 +198,23 @@ def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMP
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "good")
     t = fresh(docs.columns, "text")[0]
-    rows = docs.select("doc_id", F.col("text").alias(t)).join(F.broadcast(taken), F.col("doc_id") == F.col("id")).select("id", "good", F.xxhash64("id").alias("h"), t)
+    rows = docs.select("doc_id", F.col("text").alias(t)).join(F.broadcast(taken), F.col("doc_id") == F.col("id")).select("id", "good", t)
+    n_lines = F.coalesce(F.length(t) - F.length(F.translate(t, "\n", "")), F.lit(0)) + 1
+    fits, total = [], 0
+    for r in rows.groupBy("id").agg(F.sum(n_lines).alias("n")).orderBy(F.xxhash64("id"), "id").collect():  # at most `sample` rows
+        if total + r.n <= lines:
+            fits.append((r.id,))
+            total += r.n
+    kept = docs.sparkSession.createDataFrame(fits, docs.select(F.col("doc_id").alias("kept")).schema)
+    rows = rows.join(F.broadcast(kept), F.col("id") == F.col("kept"), "left_semi")
 
     def featured(batches):
         for b, texts in steps(batches, t):
             x, weight, sizes = line_features(texts)
-            first = np.cumsum(sizes) - sizes
-            start = first + b.column("h").to_numpy().astype(np.uint64) % np.maximum(sizes - lines + 1, 1).astype(np.uint64)
-            n = np.minimum(sizes, lines)
-            keep = np.concatenate([np.arange(int(s), int(s) + k) for s, k in zip(start, n)])
-            own = np.repeat(np.arange(len(n)), n)
-            flat = pa.array(x[keep].astype(np.float32).ravel())
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").cast(pa.string()).take(pa.array(own)), b.column("good").take(pa.array(own)), pa.array((keep - first[own]).astype(np.int32)), pa.array(weight[keep].astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * x.shape[1]), flat)],
+                [b.column("id").cast(pa.string()).take(pa.array(own)), b.column("good").take(pa.array(own)), pa.array(place.astype(np.int32)), pa.array(weight.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))],
                 ["id", "good", "line", "weight", "x"],
             )
 
@@ -183,16 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMP
     return Model(x, got.column("weight").to_numpy(), sizes, got.column("good").to_numpy()[new])
 
 
-def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All columns of documents and the score of each whole text, 0 to 1; null text is empty, one empty line."""
+def scored(docs: DataFrame, model: Model, column: str = "score", counts: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of documents and the score of each whole text, 0 to 1; null text is empty, one empty line. counts: names for the numbers of lines and of good lines."""
     t = fresh(docs.columns, "text")[0]
     rows = docs.withColumn(t, F.col("text"))
-    out = T.StructType([f for f in docs.schema if f.name.lower() != column.lower()] + [T.StructField(column, T.DoubleType())])
-    names = [f.name for f in out][:-1]
+    more = [T.StructField(column, T.DoubleType()), *[T.StructField(c, T.LongType()) for c in counts]]
+    out = T.StructType([f for f in docs.schema if f.name.lower() not in {m.name.lower() for m in more}] + more)
+    names = [f.name for f in out][: -len(more)]
 
     def run(batches):
         for b, texts in steps(batches, t):
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(model.score(texts))], [*names, column])
+            made = model.score(texts)[: len(more)]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(m) for m in made]], out.names)
 
     return rows.mapInArrow(run, out)
 
@@ -201,4 +249,5 @@ def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     model = train(docs, table(spark, sf_dir, "labels"), usable=rest != 0)
-    return scored(docs, model).select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    held_out = F.coalesce(rest == 0, F.lit(False)).alias("held_out")
+    return scored(docs, model, counts=("n_lines", "n_good")).select("doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_lines", "n_good")

@@ -48,6 +48,44 @@ def test_recall_and_precision(spark, n, block, target):
     assert all(got[i].kept == (comp[i] == i) for i in range(n))
 
 
+def test_audit(spark, monkeypatch):
+    """A graph that loses links is built again with more overlap; where that never helps, there is an error and no result."""
+    x = clustered(600, 16, 5)
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, "s") for i, v in enumerate(x)], VEC)
+    whole, tried = embeddings.links, []
+
+    def lossy(nodes, *, overlap, **how):
+        tried.append(overlap)
+        found = whole(nodes, overlap=overlap, **how)
+        return found if overlap >= 12 else found.withColumn("links", embeddings.F.col("links") * 0)
+
+    monkeypatch.setattr(embeddings, "links", lossy)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, target=100).collect()}
+    links, _ = brute(x)
+    assert tried == [3, 6, 12] and sum(got.values()) >= 0.97 * links.sum()
+    monkeypatch.setattr(embeddings, "CENTROIDS", 6)
+    with pytest.raises(RuntimeError, match="recall"):
+        embeddings.near_duplicates(df, target=100)
+
+
+def test_links_in_every_band(spark):
+    """10**4 vectors, pairs at cosines from 0.86 to 0.99 by design: none missed in any band, none under 0.9 linked."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(10_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    bands = [0.86, 0.89, 0.899, 0.901, 0.91, 0.93, 0.96, 0.99]
+    for i in range(3000):
+        side = x[2 * i + 1] - (x[2 * i + 1] @ x[2 * i]) * x[2 * i]
+        side /= np.linalg.norm(side)
+        c = bands[i % 8]
+        x[2 * i + 1] = c * x[2 * i] + (1 - c * c) ** 0.5 * side
+    df = spark.createDataFrame([(i, v.tolist(), 0, 0, "s") for i, v in enumerate(x.astype(np.float32))], VEC)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    found = np.array([[got[2 * i].n_links == 1 and got[2 * i + 1].component_id == 2 * i for i in range(b, 3000, 8)] for b in range(8)])
+    assert not found[:3].any() and sum(r.n_links for r in got.values()) == 2 * found.sum()
+    assert (found[3:].mean(1) >= 0.97).all(), found.mean(1)
+
+
 def test_edges(spark):
     inf, nan = float("inf"), float("nan")
     vs = [None, [], [0.0, 0.0], [1.0, None], [inf, 1.0], [nan, 1.0], [1.0, 0.0], [2.0, 0.1], [1.0, 0.0, 0.0], [-1.0, 0.0]]

@@ -49,6 +49,48 @@ def test_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_scores_by_enumeration(spark, sf):
+    """The query's scores from its model's weights, by all labelings of a document's lines."""
+    rest = quality.F.crc32(quality.F.col("doc_id").cast("string")) % 5
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), usable=rest != 0)
+    got, seen = {r.doc_id: r for r in quality.op4_quality(spark, sf).collect()}, 0
+    for r in docs.collect():
+        x, weight, sizes = quality.line_features([(r.text or "").encode()])
+        if sizes[0] <= 8:
+            logit, seen = ((x - model.mean) / model.scale) @ model.w, seen + 1
+            paths = list(product((0, 1), repeat=int(sizes[0])))
+            w = np.exp([sum(s * y for s, y in zip(logit, p)) + sum(model.move[a, b] for a, b in zip(p, p[1:])) for p in paths])
+            good = w / w.sum() @ np.array(paths)
+            q = np.clip((good * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+            assert got[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-model.curve[0] * np.log(q / (1 - q)) - model.curve[1])), abs=1e-6)
+            assert (got[r.doc_id].n_lines, got[r.doc_id].n_good) == (sizes[0], (good >= 0.5).sum())
+    assert seen > 30
+
+
+def test_lines_of_both_kinds():
+    """Documents that hold lines of both kinds: the chain labels line by line, though only documents have labels."""
+    rng = np.random.default_rng(2)
+    good, bad = b"The quick brown fox went over to the old mill, and stayed there.", b"BUY $$$ NOW!!! buy *** more"
+    kinds = [np.where(rng.random(8) < (0.1 if i % 2 else 0.7), 0, 1) for i in range(300)]
+    kinds = [k for i, k in enumerate(kinds) if (k.mean() > 0.6) == bool(i % 2)]
+    label = np.array([int(k.mean() > 0.6) for k in kinds])
+    texts = [b"\n".join([bad * int(rng.integers(2, 4)), good][x] for x in k) for k in kinds]
+    model = quality.Model(*quality.line_features(texts), label)
+    same = [(model.lines(t) >= 0.5) == k for t, k in zip(texts, kinds)]
+    by_document = np.mean(np.repeat(label, 8) == np.concatenate(kinds))
+    assert np.mean(np.concatenate(same)) > by_document + 0.04 and np.mean(np.concatenate([s for s, y in zip(same, label) if not y])) > 0.75
+    score, n, of = model.score(texts)
+    assert (n == 8).all() and (of < 8).sum() > 50 and np.mean((score >= 0.5) == label) > 0.95
+
+
+def test_relabelled_keeps_half():
+    got = quality.relabelled(np.array([1, 0]), np.array([-3.0, -1.0, 2.0, 4.0, 3.0, -1.0]), np.array([2, 3, 5, 9, 1, 8]), np.array([3, 3]))
+    assert got.tolist() == [0, 0, 1, 0, 1, 0]  # 2 + 3 of 10 may turn; 9 of 18 could, but the surest is 9 itself
+    got = quality.relabelled(np.array([0]), np.array([4.0, 3.0, -1.0]), np.array([10, 1, 8]), np.array([3]))
+    assert got.tolist() == [0, 0, 0]
+
+
 def test_edges(spark):
     rows = [(1, None, "s", "i", 0), (None, "", "s", "i", 0), (2, "a\n" * 3000, "s", "i", 0), (2, "a\n" * 3000, "s", "i", 0), (3, "x" * 50_000, "s", "i", 0)]
     docs = spark.createDataFrame(rows, DOCS)
