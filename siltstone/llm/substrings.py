@@ -10,8 +10,9 @@ anchor form a fragment; each window of the corpus is in exactly one fragment.
    task builds the suffix automaton of a reference shard (bounded in words), streams the shard's fragments through it, and takes
    the matching statistics: the longest suffix at each word that occurs twice. Where that is WINDOW words or more, they are
    covered. What is covered of a fragment is joined to all of its occurrences.
-3. Anchors with over MOST distinct fragments (a passage that many texts share, among different words) are dealt out again: their
-   fragments are cut by longer anchors (GRAMS), in the end by whole windows, and go the same way. So no group outgrows a shard.
+3. Anchors with over MOST distinct fragments (a passage that many texts share, among different words) are dealt out again: the
+   distinct fragments are texts themselves, cut by longer anchors (GRAMS), in the end by whole windows, and go the same way. So
+   no group outgrows a shard.
 
 The automata decide, over the words themselves. Hashes of 64 bits name texts, anchors and fragments; fragments are the same if
 both their hash and their anchor's are. A text's name is salted by its doc_id, so that copies of one page are spread. Automata are
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from siltstone.llm.arrowops import after, bounds, hashed_words, hashed_windows, runs, steps
 from siltstone.llm.common import fresh, removed, table, written
 
-WINDOW, GRAMS, MOST, SHARD, SALTS = 35, (10, 20, 30), 1000, 100_000, 64
+WINDOW, GRAMS, MOST, SHARD, SALTS = 35, (10, 20, 30), 2000, 100_000, 64
 
 
 def _last_smallest(x: np.ndarray, w: int) -> np.ndarray:
@@ -128,7 +129,7 @@ class SuffixAutomaton:
 
 
 def _covered(window: int, shard: int):
-    """Distinct fragments by anchor (anchor, frag, n, words) -> anchor, frag, begin, stop of the spans that repeated windows cover."""
+    """Distinct fragments by anchor (anchor, frag, n, ..., words) -> anchor, frag, begin, stop of the spans that repeated windows cover."""
 
     def shard_spans(rows):
         automaton, numbers = SuffixAutomaton(), {}
@@ -172,73 +173,68 @@ def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias(text), F.xxhash64("text", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).alias(key))
 
 
-def repeats(docs: DataFrame, *, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, most: int = MOST, shard: int = SHARD) -> DataFrame:
-    """documents (doc_id, text) -> key (the name of a text), spans (array of word spans s, e): what repeated windows cover; texts without any have no row."""
-    spark, (t, k) = docs.sparkSession, fresh(["doc_id", *docs.columns], "text", "key")
-    texts = _named(docs, t, k).drop("doc_id").where(F.col(t).isNotNull())
-
-    def batch(anchor, frag, key, s, e):
-        return pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(frag.view(np.int64)), pa.array(key), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["anchor", "frag", "key", "s", "e"])
-
-    def anchored(gram):
-        def run(batches):
-            for b, x in steps(batches, t):
-                anchor, frag, owner, s, e = fragments(*hashed_words(x), window, gram)
-                yield batch(anchor, frag, b.column(k).to_numpy()[owner], s, e)
-
-        return run
-
-    def again(gram):
-        def run(batches):
-            for b, x in steps(batches, t):
-                words, sizes = hashed_words(x)
-                first = np.cumsum(sizes) - sizes
-                lists = b.column("asked")
-                of = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
-                s, e = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in ("s", "e"))
-                place = np.concatenate([np.arange(i, j) for i, j in zip(first[of] + s, first[of] + e)] or [first[:0]])
-                anchor, frag, owner, begin, end = fragments(words[place], e - s, window, gram)
-                yield batch(anchor, frag, b.column("key").to_numpy()[of[owner]], s[owner] + begin, s[owner] + end)
-
-        return run
+def _batch(columns, kinds: str) -> pa.RecordBatch:
+    """A batch of the columns named and typed in `kinds`."""
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [k.split() for k in kinds.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[kind]) for c, (_, kind) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _same(*columns: str):
+    """Equal to the columns of the same names with a 2 behind."""
+    return [F.col(c) == F.col(f"{c}2") for c in columns]
+
+
+def _spans(texts: DataFrame, grams: tuple[int, ...], window: int, most: int, shard: int) -> DataFrame:
+    """texts (key, n, text; n: how often the text occurs, 2 for more) -> key, s, e: word spans that repeated windows cover, distinct and written."""
+    spark, gram, last = texts.sparkSession, grams[0], len(grams) == 1
+    placed_as, worded_as = "anchor long, frag long, key long, n int, s int, e int", "anchor long, frag long, n int, many int, words binary"
+
+    def anchored(batches):
+        for b, x in steps(batches, "text"):
+            anchor, frag, owner, s, e = fragments(*hashed_words(x), window, gram)
+            yield _batch([anchor.view(np.int64), frag.view(np.int64), b.column("key").to_numpy()[owner], b.column("n").to_numpy()[owner], s.astype(np.int32), e.astype(np.int32)], placed_as)
 
     def worded(batches):
-        for b, x in steps(batches, t):
-            out = [[] for _ in range(4)]
+        for b, x in steps(batches, "text"):
+            out = []
             for text, wanted in zip(x, b.column("asked").to_pylist()):
                 words = text.split()
-                for w in wanted:
-                    for c, v in zip(out, (w["anchor"], w["frag"], w["n"], b" ".join(words[w["s"] : w["e"]]))):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "frag", "n", "words"])
-
-    kinds, covered = "anchor long, frag long, key long, s int, e int", None
-    placed = written(texts.mapInArrow(anchored(grams[0]), kinds), "fragments")
-    for gram in [*grams[1:], window, None]:
-        distinct = placed.groupBy("anchor", "frag").agg(F.count("*").alias("n"))
-        often = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("frags")).where("total > 1").select(F.col("anchor").alias("a"), "frags")
-        met = distinct.join(often, F.col("anchor") == F.col("a")).select(F.col("anchor").alias("a"), F.col("frag").alias("f"), "n", "frags")
-        found = written(placed.join(met, (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).drop("a", "f"), "repeated")
-        removed(spark, placed)
-        now = found if gram is None else found.where(F.col("frags") <= most)
-
-        # One occurrence of each distinct fragment; the words come from its text.
-        asked = now.groupBy("anchor", "frag", "n").agg(F.min(F.struct("key", "s", "e")).alias("at"))
-        asked = asked.groupBy(F.col("at.key").alias("key")).agg(F.collect_list(F.struct("anchor", "frag", F.least("n", F.lit(2)).cast("int").alias("n"), "at.s", "at.e")).alias("asked"))
-        parts = texts.join(asked, F.col(k) == F.col("key")).select(t, "asked").mapInArrow(worded, "anchor long, frag long, n int, words binary")
-        spans = parts.repartition("anchor").sortWithinPartitions("anchor", "frag").mapInArrow(_covered(window, shard), "anchor long, frag long, begin int, stop int")
-        spans = now.join(spans.withColumnsRenamed({"anchor": "a", "frag": "f"}), (F.col("anchor") == F.col("a")) & (F.col("frag") == F.col("f"))).select("key", (F.col("s") + F.col("begin")).alias("s"), (F.col("s") + F.col("stop")).alias("e")).distinct()
-        spans = written(spans, "covered")
-        covered = spans if covered is None else covered.union(spans)
-        rest = found.where(F.col("frags") > most)
-        if gram is not None and rest.limit(1).count():
-            rest = rest.groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("asked"))
-            placed = written(texts.join(rest, F.col(k) == F.col("key")).select(t, "key", "asked").mapInArrow(again(gram), kinds), "fragments")
-            removed(spark, found)
-        else:
-            removed(spark, found)
-            break
-    return covered.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+                out += [(w["anchor"], w["frag"], w["n"], w["many"], b" ".join(words[w["s"] : w["e"]])) for w in wanted]
+            yield _batch(zip(*out) if out else [()] * 5, worded_as)
+
+    placed = written(texts.mapInArrow(anchored, placed_as), "fragments")
+    distinct = placed.groupBy("anchor", "frag").agg(F.sum("n").alias("times"))
+    often = distinct.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("frags")).where("total > 1").select(F.col("anchor").alias("anchor2"), "frags")
+    met = distinct.join(often, _same("anchor")).select("anchor2", F.col("frag").alias("frag2"), F.least("times", F.lit(2)).cast("int").alias("times"), "frags")
+    found = written(placed.join(met, _same("anchor", "frag")).select("anchor", "frag", "key", "s", "e", "times", "frags"), "repeated")
+    removed(spark, placed)
+
+    # One occurrence of each distinct fragment; the words come from its text.
+    asked = found.groupBy("anchor", "frag", "times", "frags").agg(F.min(F.struct("key", "s", "e")).alias("at"))
+    asked = asked.groupBy(F.col("at.key").alias("key2")).agg(F.collect_list(F.struct("anchor", "frag", F.col("times").alias("n"), (F.lit(not last) & (F.col("frags") > most)).cast("int").alias("many"), "at.s", "at.e")).alias("asked"))
+    parts = texts.join(asked, _same("key")).select("text", "asked").mapInArrow(worded, worded_as)
+
+    # Of anchors with too many fragments these are texts again, cut by longer anchors; in the end an anchor is a whole window and has one.
+    deep = None
+    if not last and (found.agg(F.max("frags")).first()[0] or 0) > most:
+        parts = written(parts, "parts")
+        again = parts.where("many = 1").dropDuplicates(["anchor", "frag"]).select(F.xxhash64("anchor", "frag").alias("key"), "n", F.col("words").cast("string").alias("text"))
+        deep = _spans(again, grams[1:], window, most, shard).select(F.col("key").alias("id"), F.col("s").alias("begin"), F.col("e").alias("stop"))
+        parts = parts.where("many = 0")
+    spans = parts.repartition("anchor").sortWithinPartitions("anchor", "frag").mapInArrow(_covered(window, shard), "anchor long, frag long, begin int, stop int")
+    spans = spans.select(F.xxhash64("anchor", "frag").alias("id"), "begin", "stop")
+    spans = spans.union(deep) if deep is not None else spans
+    out = found.join(spans, F.xxhash64("anchor", "frag") == F.col("id")).select("key", (F.col("s") + F.col("begin")).alias("s"), (F.col("s") + F.col("stop")).alias("e")).distinct()
+    out = written(out, "covered")
+    removed(spark, found)
+    return out
+
+
+def repeats(docs: DataFrame, *, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, most: int = MOST, shard: int = SHARD) -> DataFrame:
+    """documents (doc_id, text) -> key (the name of a text), spans (array of word spans s, e): what repeated windows cover; texts without any have no row."""
+    texts = _named(docs, "text", "key").where("text is not null").select("key", F.lit(1).alias("n"), "text")
+    return _spans(texts, (*grams, window), window, most, shard).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, *, window: int = WINDOW, **limits) -> DataFrame:
