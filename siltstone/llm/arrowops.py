@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Rows a step works on at once; keeps its arrays to some MB whatever the size of Spark's batches.
@@ -22,13 +23,14 @@ def steps(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Rec
     for b in batches:
         if not b.num_rows:
             continue
-        texts = text_bytes(b.column(text))
-        ends = np.cumsum([len(t) + 64 for t in texts])
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         at = 0
-        while at < len(texts):
+        while at < b.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BYTES, "right")))
-            yield b.slice(at, stop - at), texts[at:stop]
+            part = b.slice(at, stop - at)
+            yield part, text_bytes(part.column(text))
             at = stop
+        pa.default_memory_pool().release_unused()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -40,7 +40,7 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 #: Words that a worker keeps with their ids before it drops those met once; bounds memory, changes no result.
-CACHE = 600_000
+CACHE = 250_000
 _encoders: dict = {}
 #: Bytes beside which a space may stand in white space: ASCII space and controls, and the first bytes of all wider spaces.
 _UNSAFE = np.zeros(256, bool)
@@ -72,7 +72,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 class Numbers:
     """64-bit hash -> number, an open-addressing table in NumPy."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.mask, self.keys, self.values, self.n = np.uint64((1 << bits) - 1), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), 0
 
     def get(self, h: np.ndarray) -> np.ndarray:
