@@ -27,7 +27,7 @@ def numbered(df: DataFrame, *key, by: tuple[str, ...] = ("split",), place: str =
         *[F.col(c).alias(f"__{c}") for c in by],
         F.col(part).alias("__p"),
         F.coalesce(F.sum("__c").over(whole.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__c").over(whole).cast("int").alias("n"),
+        F.sum("__c").over(whole).alias("n"),
     )
     same = F.col(part) == F.col("__p")
     for c in by:

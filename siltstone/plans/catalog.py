@@ -380,14 +380,14 @@ def batch_plan(f):
     return x.groupBy("source", "batch_in_source", "batch_order").agg(F.count("*").alias("rows"))
 
 
-@query(f"WITH b AS (SELECT u.split, u.query_id, u.positive_id, row_number() OVER (ORDER BY u.split, u.query_id, u.positive_id) AS i FROM usable u), picked AS (SELECT * FROM b WHERE i <= 16), docs AS (SELECT i, 0 AS slot, split, positive_id AS document_id FROM picked UNION ALL SELECT p.i, n.pool_rank, p.split, n.document_id FROM picked p JOIN band n ON n.split = p.split AND n.query_id = p.query_id AND n.positive_id = p.positive_id WHERE n.pool_rank <= 7), s AS (SELECT p.i, (d.i = p.i AND d.slot = 0) AS own, {_maxsim('q.v', 'e.v', fx.MINER)} / 4 / 0.001::DOUBLE AS l FROM picked p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id, docs d JOIN fd e ON e.split = d.split AND e.document_id = d.document_id), m AS (SELECT *, max(l) OVER (PARTITION BY i) AS top FROM s) SELECT count(*) AS n, round(avg(x), 6) AS loss FROM (SELECT i, max(top) + ln(sum(exp(l - top))) - max(l) FILTER (WHERE own) AS x FROM m GROUP BY i)")
+@query(f"WITH b AS (SELECT u.split, u.query_id, u.positive_id, row_number() OVER (ORDER BY u.split, u.query_id, u.positive_id) - 1 AS i FROM usable u), picked AS (SELECT *, i // 16 AS batch FROM b), docs AS (SELECT i, batch, 0 AS slot, split, positive_id AS document_id FROM picked UNION ALL SELECT p.i, p.batch, n.pool_rank, p.split, n.document_id FROM picked p JOIN band n ON n.split = p.split AND n.query_id = p.query_id AND n.positive_id = p.positive_id WHERE n.pool_rank <= 7), s AS (SELECT p.i, (d.i = p.i AND d.slot = 0) AS own, {_maxsim('q.v', 'e.v', fx.MINER)} / 4 / 0.001::DOUBLE AS l FROM picked p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id JOIN docs d ON d.batch = p.batch JOIN fd e ON e.split = d.split AND e.document_id = d.document_id), m AS (SELECT *, max(l) OVER (PARTITION BY i) AS top FROM s) SELECT count(*) AS n, round(avg(x), 6) AS loss FROM (SELECT i, max(top) + ln(sum(exp(l - top))) - max(l) FILTER (WHERE own) AS x FROM m GROUP BY i)")
 def infonce_inbatch(f):
-    """Contrastive loss value of one batch: every query against all positives and negatives of the batch."""
-    picked = f.usable.withColumn("i", F.row_number().over(W.orderBy("split", "query_id", "positive_id"))).where("i <= 16").select("i", "split", "query_id", "positive_id")
-    negs = picked.join(f.band.where("pool_rank <= 7"), list(judging.PAIR)).select("i", "split", "document_id", F.col("pool_rank").alias("slot"))
-    docs = picked.select("i", "split", F.col("positive_id").alias("document_id"), F.lit(0).alias("slot")).union(negs)
-    docs = docs.join(f.documents.select("split", "document_id", F.col("v").alias("dv")), ["split", "document_id"]).select(F.col("i").alias("j"), "slot", "dv")
-    x = picked.join(f.queries.select("split", "query_id", F.col("v").alias("qv")), ["split", "query_id"]).select("i", "qv").crossJoin(F.broadcast(docs))
+    """Mean contrastive loss over all batches of 16 pairs: every query against all positives and negatives of its batch."""
+    picked = shards.numbered(f.usable.select(*judging.PAIR), *judging.PAIR, by=()).select(F.col("at").alias("i"), F.floor(F.col("at") / 16).alias("batch"), *judging.PAIR)
+    negs = picked.join(f.band.where("pool_rank <= 7"), list(judging.PAIR)).select("i", "batch", "split", "document_id", F.col("pool_rank").alias("slot"))
+    docs = picked.select("i", "batch", "split", F.col("positive_id").alias("document_id"), F.lit(0).alias("slot")).union(negs)
+    docs = docs.join(f.documents.select("split", "document_id", F.col("v").alias("dv")), ["split", "document_id"]).select(F.col("i").alias("j"), "batch", "slot", "dv")
+    x = picked.join(f.queries.select("split", "query_id", F.col("v").alias("qv")), ["split", "query_id"]).select("i", "batch", "qv").join(docs, "batch")
     s = vectors.meanmaxsim(vectors.chunks(F.col("qv"), *fx.MINER), vectors.chunks(F.col("dv"), *fx.MINER)) / F.lit(0.001)
     rows = x.select("i", s.alias("l"), ((F.col("i") == F.col("j")) & (F.col("slot") == 0)).alias("own"))
     per = rows.groupBy("i").agg((vectors.logsumexp(F.collect_list("l")) - F.max(F.when(F.col("own"), F.col("l")))).alias("x"))
@@ -493,10 +493,10 @@ def teacher_scores(f):
     return f.list_scores.select("query_id", "pos", "document_id", F.round("teacher", 6).alias("teacher"))
 
 
-@query("SELECT query_id, pos, round(teacher, 5) AS score FROM kdscores WHERE query_id % 20 = 0")
+@query("SELECT query_id, pos, round(teacher, 5) AS score FROM kdscores")
 def teacher_swap(f):
-    """Two shards of teacher rows, the later one right; only some lists have any."""
-    t = f.score_rows.where("query_id % 20 = 0").select("query_id", "teacher")
+    """Two shards of teacher rows, the later one right."""
+    t = f.score_rows.select("query_id", "teacher")
     right = t.select("query_id", "teacher", F.lit(1).alias("shard"))
     wrong = t.select("query_id", F.transform("teacher", lambda x: x * 0.0), F.lit(0))
     swapped = lists.swapped_teacher(lists.packed(f.lists), right.union(wrong).withColumnRenamed("teacher", "scores"))

@@ -208,6 +208,9 @@ def test_losses(spark):
     nce = (np.log(np.exp(masked).sum(1)) - logits[np.arange(6), y]).mean()
     got = losses.mixed_loss(df).first()
     assert (got.n, got.kl, got.nce) == (6, pytest.approx(kl), pytest.approx(nce)) and got.loss == pytest.approx(kl + 0.1 * nce)
+    cut = np.clip(t, np.quantile(t, 0.1, axis=1, keepdims=True), np.quantile(t, 0.9, axis=1, keepdims=True))
+    by_hand = spark.createDataFrame([(cut[i].tolist(), s[i].tolist()) for i in range(6)], "teacher array<double>, student array<double>")
+    assert losses.mixed_loss(df, clip_pct=0.1).first().loss == pytest.approx(losses.mixed_loss(by_hand).first().loss) != got.loss
     same = losses.mixed_loss(df.withColumn("student", F.col("teacher")), w_nce=0.0).first()
     assert same.loss == pytest.approx(0, abs=1e-12)
     q = losses.row_quantiles(df, "id", "teacher", 0.1).orderBy("id").collect()
