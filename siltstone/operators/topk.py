@@ -100,7 +100,7 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1
     asked, rows = queries.select("split", "query_id", "v").where("v is not null"), docs.select("split", "document_id", "v").where("v is not null")
     size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
     if size * 8 > most:
-        return ranked(_packed_topk(asked, rows, k, tokens, within_split), k)
+        return ranked(_packed_topk(asked, rows, k, tokens, within_split, most), k)
     held = asked.toArrow()
     sides = {}
     names = np.array(held.column("split").to_pylist(), object)
@@ -124,8 +124,15 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1
     return ranked(rows.mapInArrow(run, _SCORES), k)
 
 
-def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, within_split: bool, rows: int = 2000) -> DataFrame:
-    """Blocks of up to `rows` rows each, one row a block; every pair of blocks (of one split) is one matrix product."""
+def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, within_split: bool, most: int, rows: int = 2000) -> DataFrame:
+    """Blocks of up to `rows` rows each, one row a block; every pair of blocks (of one split) is one matrix product.
+
+    Blocks are dealt to a grid for each split, with a row for every `most` bytes of its queries and a column for every
+    `most` bytes of its documents: a query block goes to one row and all columns, a document block to one column and all
+    rows, and each pair meets in one cell. So a large split is spread over many tasks; documents are copied once for
+    each row of their own split's grid.
+    """
+    group = F.col("split") if within_split else F.lit("")
 
     def packed(df: DataFrame, id_: str, prefix: str) -> DataFrame:
         def run(batches):
@@ -142,7 +149,19 @@ def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, withi
         return df.mapInArrow(run, f"{prefix}s string, {prefix}i array<bigint>, {prefix}v array<double>, {prefix}n int")
 
     q, d = packed(queries, "query_id", "q"), packed(docs, "document_id", "d")
-    pairs = q.join(d, F.col("qs").eqNullSafe(F.col("ds"))) if within_split else q.crossJoin(d)
+
+    def lines(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(group.alias(f"{name}_g")).agg(F.ceil(F.sum(F.size("v")) * 8 / F.lit(most)).cast("int").alias(name))
+
+    def dealt(df: DataFrame, side: str, own: str, every: str) -> DataFrame:
+        at = df.join(F.broadcast(grid), (F.col(f"{side}s") if within_split else F.lit("")).eqNullSafe(F.col("g")))
+        place = F.pmod(F.xxhash64(f"{side}i"), F.col(own)).cast("int")
+        return at.select(*df.columns, F.col("g").alias(f"{side}g"), place.alias(f"{side}{own}"), F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias(f"{side}{every}"))
+
+    # A row a split: small enough to broadcast.
+    grid = lines(queries, "row").join(lines(docs, "col"), F.col("row_g").eqNullSafe(F.col("col_g"))).select(F.col("row_g").alias("g"), "row", "col")
+    q, d = dealt(q, "q", "row", "col"), dealt(d, "d", "col", "row").hint("merge")
+    pairs = q.join(d, F.col("qg").eqNullSafe(F.col("dg")) & (F.col("qrow") == F.col("drow")) & (F.col("qcol") == F.col("dcol")))
 
     def run(batches):
         for b in batches:

@@ -33,11 +33,16 @@ def test_similarity_join_is_exact_whatever_the_blocks(spark):
     for tokens in (1, 3):
         s = (q.reshape(-1, 12 // tokens) @ d.reshape(-1, 12 // tokens).T).reshape(30, tokens, 200, tokens).max(3).sum(1)
         want = {i: sorted((-round(s[i, j], 9), j) for j in range(200) if j % 2 == i % 2)[:9] for i in range(30)}
-        for most in (10**9, 1):
+        for most in (10**9, 3000, 1):
             got = topk.similarity_topk(qs, ds, 9, tokens, most=most).collect()
             assert sorted((r.query_id, r["rank"], r.document_id) for r in got) == sorted((i, k + 1, j) for i, w in want.items() for k, (_, j) in enumerate(w))
     assert topk.similarity_topk(qs, ds, 2, within_split=False).count() == 60
     assert topk.similarity_topk(qs.where("false"), ds, 2).count() == 0
+    assert topk.similarity_topk(qs, ds.where("false"), 2, most=3000).count() == 0
+    unsplit = [df.withColumn("split", F.when(F.col("split") == "s1", "s1")) for df in (qs, ds)]  # s0 becomes null, a split like any other
+    for within in (True, False):
+        few, many = (sorted((r.query_id, r["rank"], r.document_id) for r in topk.similarity_topk(*unsplit, 4, within_split=within, most=most).collect()) for most in (10**9, 3000))
+        assert few == many and len(few) == 120
 
 
 def test_shard_merges_agree(spark):
