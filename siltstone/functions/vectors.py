@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def total(xs: Column) -> Column:
     """Sum from left to right; null elements count nothing."""
     return F.aggregate(xs, F.lit(0.0).cast("double"), lambda a, x: a + F.coalesce(x, F.lit(0.0).cast("double")))
@@ -31,6 +30,16 @@ def meanmaxsim(q: Column, d: Column) -> Column:
     return maxsim(q, d) / F.greatest(F.size(q), F.lit(1))
 
 
+def unmasked(tokens: Column, mask: Column) -> Column:
+    """The tokens whose mask is true; a null or missing mask element masks its token."""
+    return F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m, t)), lambda t: t.isNotNull())
+
+
+def masked_maxsim(q: Column, d: Column, q_mask: Column, d_mask: Column, mean: bool = False) -> Column:
+    """MaxSim (or its mean over the query's unmasked tokens) of unmasked tokens only; 0 where either side has none."""
+    return (meanmaxsim if mean else maxsim)(unmasked(q, q_mask), unmasked(d, d_mask))
+
+
 def l2_normalized(v: Column) -> Column:
     """Unit length; a zero vector stays."""
     size = F.sqrt(dot(v, v))

@@ -231,6 +231,23 @@ def maxsim_padclamp(f):
     return x.select("split", "query_id", "document_id", F.round(s, 6).alias("score"))
 
 
+def _masked(n: int, w: int) -> str:
+    seen = lambda v, i: f"list_filter(range(0, {n}), lambda {i}: {v}[{i}*{w}+1] > 0)"
+    best = f"list_max(list_transform({seen('d.v', 'm')}, lambda j: list_dot_product(q.v[i*{w}+1:i*{w}+{w}], d.v[j*{w}+1:j*{w}+{w}])))"
+    return f"coalesce(list_sum(list_transform({seen('q.v', 'l')}, lambda i: coalesce({best}, 0))), 0) / greatest(len({seen('q.v', 'l')}), 1)"
+
+
+@query(f"SELECT c.split, c.query_id, c.document_id, round({_masked(*fx.MINER)}, 6) AS score FROM cand c JOIN fq q ON q.split = c.split AND q.query_id = c.query_id JOIN fd d ON d.split = c.split AND d.document_id = c.document_id WHERE c.rank <= 10")
+def meanmaxsim_masked(f):
+    """Tokens whose first component is not positive are masked on both sides, in place of skip lists and padding."""
+    q, d = f.queries.select("split", "query_id", F.col("v").alias("qv")), f.documents.select("split", "document_id", F.col("v").alias("dv"))
+    x = f.candidates.where("rank <= 10").join(q, ["split", "query_id"]).join(d, ["split", "document_id"])
+    x = x.select("split", "query_id", "document_id", vectors.chunks(F.col("qv"), *fx.MINER).alias("q"), vectors.chunks(F.col("dv"), *fx.MINER).alias("d"))
+    seen = lambda c: F.transform(c, lambda t: t[0] > 0)
+    s = vectors.masked_maxsim(F.col("q"), F.col("d"), seen("q"), seen("d"), mean=True)
+    return x.select("split", "query_id", "document_id", F.round(s, 6).alias("score"))
+
+
 def _parts(f):
     """Candidates of two overlapping shards: even and odd places, and the first ten in both."""
     s = f.candidates.select("split", "query_id", "document_id", "score", "rank")

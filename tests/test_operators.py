@@ -294,3 +294,19 @@ def test_evaluation_sources(spark, tmp_path):
     assert ids(c, "doc_id", "text") == [("1", "T x"), ("2", " y")] and ids(q, "query_id") == [("q1",)] and ids(r, "query_id", "doc_id", "rel") == [("q1", "1", 2)]
     with pytest.raises(FileNotFoundError):
         readers.read_kind(spark, found, "nothing", "test")
+
+
+def test_masked_tokens_have_no_part(spark):
+    vec = "array<array<double>>"
+    cases = [
+        ([[1.0, 0.0], [0.0, 1.0]], [[2.0, 5.0], [3.0, 1.0]], [True, True], [True, False], (7.0, 3.5)),
+        ([[1.0, 0.0], [0.0, 1.0]], [[2.0, 5.0], [3.0, 1.0]], [True, False], [True, True], (3.0, 3.0)),
+        ([[1.0, 0.0], [0.0, 1.0]], [[2.0, 5.0], [3.0, 1.0]], [None, True], [True], (5.0, 5.0)),
+        ([[1.0, 0.0]], [[2.0, 5.0]], [True], [False], (0.0, 0.0)),
+        ([[1.0, 0.0]], [[2.0, 5.0]], [False], [True], (0.0, 0.0)),
+        ([], [[2.0, 5.0]], [], [True], (0.0, 0.0)),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], f"i int, q {vec}, d {vec}, qm array<boolean>, dm array<boolean>")
+    args = [F.col(c) for c in ("q", "d", "qm", "dm")]
+    got = df.select("i", vectors.masked_maxsim(*args).alias("s"), vectors.masked_maxsim(*args, mean=True).alias("m")).orderBy("i").collect()
+    assert [(r.s, r.m) for r in got] == [c[4] for c in cases]
