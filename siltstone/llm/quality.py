@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,13 +64,22 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         ],
         1,
     ).astype(np.float64)
-    begin = np.zeros(n, bool)
-    begin[np.cumsum(sizes) - sizes] = True
-    stop = np.zeros(n, bool)
-    stop[np.cumsum(sizes) - 1] = True
-    before, after = np.roll(own, 1, 0), np.roll(own, -1, 0)
-    before[begin], after[stop] = 0, 0
-    return np.concatenate((own, before, after, begin[:, None], stop[:, None], np.ones((n, 1))), 1), length + 1, sizes
+    return beside(own, sizes), length + 1, sizes
+
+
+#: Features of a line that are its own.
+OWN = 19
+
+
+def beside(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All features of each line, of the type of `own`: its own, those of the line before and the line after, and whether it is the first or last."""
+    out = np.zeros((len(own), 3 * OWN + 3), own.dtype)
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
+    out[:, :OWN], out[1:, OWN : 2 * OWN], out[:-1, 2 * OWN : 3 * OWN] = own, own[:-1], own[1:]
+    out[first, OWN : 2 * OWN], out[last, 2 * OWN : 3 * OWN] = 0, 0
+    out[first, -3], out[last, -2], out[:, -1] = 1, 1, 1
+    return out
 
 
 def _by_place(sizes: np.ndarray):
@@ -139,9 +150,10 @@ class Model:
         self.ready = x is not None and len(sizes) > 1 and 0 < label.mean() < 1
         if not self.ready:
             return
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-6
         self.mean[-1], self.scale[-1] = 0, 1
-        z = (x - self.mean) / self.scale
+        z = x - self.mean
+        z /= self.scale
         inside = np.ones(len(z), bool)
         inside[np.cumsum(sizes) - 1] = False
         step = np.flatnonzero(inside)
@@ -160,15 +172,14 @@ class Model:
             p = _adam(gradient_for(lines, i > 0), p, n, 0.05)
             lines = relabelled(label, marginals(z @ p[4:], p[:4].reshape(2, 2), sizes)[0], weight, sizes)
         self.move, self.w, self.curve = p[:4].reshape(2, 2), p[4:], np.array([1.0, 0.0])
-        raw = self._raw(x, weight, sizes)
+        raw = self._raw(weight, sizes, marginals(z @ self.w, self.move, sizes)[0])
         fit = lambda q: np.array([((_sigmoid(q[0] * raw + q[1]) - label) * raw).mean(), (_sigmoid(q[0] * raw + q[1]) - label).mean()]) + 1e-3 * np.array([q[0] - 1, 0])
         self.curve = _adam(fit, self.curve, 500, 0.05)
 
     def line_logits(self, x) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.w
 
-    def _raw(self, x, weight, sizes, logit=None) -> np.ndarray:
-        logit = marginals(self.line_logits(x), self.move, sizes)[0] if logit is None else logit
+    def _raw(self, weight, sizes, logit) -> np.ndarray:
         at = np.cumsum(sizes) - sizes
         q = np.add.reduceat(_sigmoid(logit) * weight, at) / np.add.reduceat(weight.astype(np.float64), at)
         q = np.clip(q, 1e-4, 1 - 1e-4)
@@ -181,7 +192,7 @@ class Model:
             return np.ones(len(texts)), sizes, sizes
         logit = marginals(self.line_logits(x), self.move, sizes)[0]
         good = np.add.reduceat((logit >= 0).astype(np.int64), np.cumsum(sizes) - sizes)
-        return _sigmoid(self.curve[0] * self._raw(x, weight, sizes, logit) + self.curve[1]), sizes, good
+        return _sigmoid(self.curve[0] * self._raw(weight, sizes, logit) + self.curve[1]), sizes, good
 
     def lines(self, text: bytes) -> np.ndarray:
         """The probability of each line of being good."""
@@ -211,22 +222,24 @@ def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMP
     def featured(batches):
         for b, texts in steps(batches, t):
             x, weight, sizes = line_features(texts)
-            own = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            name = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").cast(pa.string()).take(pa.array(own)), b.column("good").take(pa.array(own)), pa.array(place.astype(np.int32)), pa.array(weight.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.float32).ravel()))],
-                ["id", "good", "line", "weight", "x"],
+                [b.column("id").cast(pa.string()), b.column("good"), pa.array(name), pa.ListArray.from_arrays(pa.array(ends), pa.array(weight.astype(np.int64))), pa.ListArray.from_arrays(pa.array(ends * OWN), pa.array(x[:, :OWN].astype(np.float32).ravel()))],
+                ["id", "good", "name", "weight", "x"],
             )
 
-    got = rows.mapInArrow(featured, "id string, good int, line int, weight long, x array<float>").toArrow().combine_chunks()
+    # A row a document, and only what is a line's own: neighbours' features are put beside it on the driver.
+    got = rows.mapInArrow(featured, "id string, good int, name long, weight array<long>, x array<float>").toArrow()
     if not got.num_rows:
         return Model()
-    got = got.sort_by([("id", "ascending"), ("line", "ascending")])  # one sum order, whatever came first
-    ids = got.column("id").to_numpy()
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1).astype(np.float64)
-    new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (np.diff(got.column("line").to_numpy()) != 1)))
-    sizes = np.diff(np.append(new, got.num_rows))
-    return Model(x, got.column("weight").to_numpy(), sizes, got.column("good").to_numpy()[new])
+    got = got.sort_by([("id", "ascending"), ("name", "ascending")])  # one sum order, whatever came first
+    flat = lambda c: pc.list_flatten(got.column(c).combine_chunks()).to_numpy()
+    sizes, weight, good = pc.list_value_length(got.column("weight")).to_numpy().astype(np.int64), flat("weight").copy(), got.column("good").to_numpy().copy()
+    x = beside(flat("x").reshape(-1, OWN), sizes)
+    del got
+    pa.default_memory_pool().release_unused()
+    return Model(x, weight, sizes, good)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score", counts: tuple[str, ...] = ()) -> DataFrame:
