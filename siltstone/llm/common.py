@@ -30,6 +30,22 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+#: Bytes of an Arrow batch to or from Python. A batch lies several times in the memory of the JVM (vectors double as they grow) and of the worker.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_BYTES at most, or one longer row. A smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def named(df: DataFrame, column: str) -> str:
+    """The name as the table has it, for Arrow, which tells case apart."""
+    return column if column in df.columns else next(c for c in df.columns if c.lower() == column.lower())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where the session has none (tests), a temporary one is set."""
     sc = spark.sparkContext

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrowops import hashed_spans, hashed_windows, mixed, placed_words, steps
-from siltstone.llm.common import fresh, table, written
+from siltstone.llm.common import bounded_batches, fresh, named, table, written
 
 SHINGLE, LEAST, RADIUS, PART = 5, 0.8, 40, 16_000_000
 _NEAR = {b: np.array([sum(1 << i for i in c) for n in range(b + 1) for c in combinations(range(16), n)], np.int64) for b in range(6)}
@@ -195,8 +195,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **h
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **how) -> DataFrame:
     """The documents that no item contaminates, all their columns."""
-    t = fresh(docs.columns, "text")[0]
-    names, passed = docs.columns, 0
+    bounded_batches(docs.sparkSession)
+    names, t, passed = docs.columns, named(docs, "text"), 0
     for items in _parts(benchmark, part):
         if passed:
             docs = written(docs, "clean")
@@ -208,7 +208,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, *
                 clean = pa.array([not h for h in index.hits(texts)])
                 yield pa.RecordBatch.from_arrays([b.column(n).filter(clean) for n in names], names)
 
-        docs = docs.withColumn(t, F.col("text")).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

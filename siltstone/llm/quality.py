@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrowops import hashed_spans, steps
-from siltstone.llm.common import fresh, table
+from siltstone.llm.common import bounded_batches, fresh, named, table
 
 SAMPLE, LINES, ROUNDS, RIDGE, THRESHOLD = 6000, 200_000, (150, 60, 60), 1e-4, 0.3
 
@@ -205,6 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMP
 
     Several labels of a document: the mean, good from one half. Null labels and ids are passed over.
     """
+    bounded_batches(docs.sparkSession)
     usable = F.lit(True) if usable is None else usable
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("good"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("id"), "good")
@@ -244,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, *, usable=None, sample: int = SAMP
 
 def scored(docs: DataFrame, model: Model, column: str = "score", counts: tuple[str, ...] = ()) -> DataFrame:
     """All columns of documents and the score of each whole text, 0 to 1; null text is empty, one empty line. counts: names for the numbers of lines and of good lines."""
-    t = fresh(docs.columns, "text")[0]
-    rows = docs.withColumn(t, F.col("text"))
+    bounded_batches(docs.sparkSession)
+    t = named(docs, "text")
     more = [T.StructField(column, T.DoubleType()), *[T.StructField(c, T.LongType()) for c in counts]]
     out = T.StructType([f for f in docs.schema if f.name.lower() not in {m.name.lower() for m in more}] + more)
     names = [f.name for f in out][: -len(more)]
@@ -255,7 +256,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score", counts: tuple[s
             made = model.score(texts)[: len(more)]
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(m) for m in made]], out.names)
 
-    return rows.mapInArrow(run, out)
+    return docs.mapInArrow(run, out)
 
 
 def op4_quality(spark, sf_dir):

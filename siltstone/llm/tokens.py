@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrowops import hashed_spans, steps
-from siltstone.llm.common import fresh, new_path, table
+from siltstone.llm.common import bounded_batches, fresh, new_path, table
 
 END_ID = 2
 LAYOUT = {
@@ -206,6 +206,7 @@ def write(docs: DataFrame, path: str, *, vocabulary: str = "byte_bpe_50k.json",
     empty table writes a table without rows. The range partitioning comes before the encoding: its sampling pass
     then reads texts but encodes nothing.
     """
+    bounded_batches(docs.sparkSession)
     t, extra = fresh(docs.columns, "text", "ids")[0], [c for c in keep if c not in ("doc_id", "bucket", "n_tokens", "ids")]
     rows = docs.select("doc_id", *extra, F.col("text").alias(t)).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     schema = docs.select("doc_id", *extra).schema.add("n_tokens", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType(), False))

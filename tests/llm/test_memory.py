@@ -1,10 +1,41 @@
-"""Memory of the driver: bounded by the sample, whatever the input."""
+"""Memory of the driver and of the Python workers: bounded by batches and by the sample, whatever the input."""
 
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from siltstone.llm import quality
+from siltstone.llm import common, contamination, quality
+
+KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_are_bounded(spark):
+    before = spark.conf.get(KEY)
+    try:
+        spark.conf.set(KEY, "64m")
+        docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcde fghi"), F.lit(500)).alias("text"))
+        quality.scored(docs, quality.Model())
+        sizes = docs.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect()
+        assert len(sizes) > 3 and max(r.n for r in sizes) < 2 * common.BATCH_BYTES  # 15 MB in one batch before
+        spark.conf.set(KEY, "1m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(KEY) == "1m"
+    finally:
+        spark.conf.set(KEY, before)
+
+
+def test_texts_go_to_python_once(spark):
+    docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id long, TEXT string, source string")
+    items = spark.createDataFrame([("a", "one two three four five six seven")], "item_id string, text string")
+    for out in (quality.scored(docs, quality.Model()), contamination.decontaminated(docs, items)):
+        assert "__text" not in plan(out) and out.columns[:3] == docs.columns
+        assert sorted((r.doc_id, r.TEXT) for r in out.collect()) == [(1, "some words"), (2, None)]
 
 
 def test_training_holds_two_matrices(spark):
