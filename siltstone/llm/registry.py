@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat, contamination, embeddings, lm, mixing, pii, quality, simhash, substrings, tokens
+from siltstone.llm import chat, contamination, embeddings, lm, mixing, neighbours, pii, quality, resampling, simhash, substrings, tokens, vectorcodes
 
 
 def queries() -> dict:
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op8_embeddings": embeddings.op8_embeddings,
         "op9_substrings": substrings.op9_substrings,
         "op10_mixing": mixing.op10_mixing,
+        "op11_vector_codes": vectorcodes.op11_vector_codes,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_neighbours": neighbours.op13_neighbours,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_embeddings": embeddings.SQL,
         "op9_substrings": substrings.SQL,
         "op10_mixing": mixing.SQL,
+        "op11_vector_codes": vectorcodes.SQL,
+        "op12_resampling": resampling.SQL,
+        "op13_neighbours": neighbours.SQL,
     }
