@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 QUERY = ("split", "query_id")
 #: Bytes of query vectors that go to every task.
 QUERY_BYTES = 64_000_000
+#: Bytes that a held document takes.
+HELD_BYTES = 24
 
 
 def best_first(score: Column | str = "score", doc: str = "document_id") -> list[Column]:
@@ -71,13 +73,51 @@ def rescored(rows: DataFrame, q: str, d: str, tokens: int, name: str) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def _block_topk(q: np.ndarray, ids: np.ndarray, names, doc: np.ndarray, d: np.ndarray, tokens: int, k: int) -> pa.RecordBatch:
-    """The k best documents of a batch (and ties at the edge: the final rank decides) for each query of a block."""
+class Held:
+    """The k best documents so far of each of n queries, over all blocks that a task meets; the order is that of `best_first`.
+
+    A block's scores join only where they reach a query's k-th best so far; what has joined is sorted when it outgrows what is
+    held, so a block costs little more than its product once the lists are full.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.edge = n, k, np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.held = 0
+
+    def add(self, score: np.ndarray, doc: np.ndarray, first: int = 0) -> None:
+        """Scores of the queries from `first` on against the documents `doc`."""
+        edge = self.edge[first : first + len(score), None]
+        if len(doc) > self.k:
+            edge = np.maximum(edge, np.partition(score, len(doc) - self.k, 1)[:, len(doc) - self.k, None])
+        row, at = np.nonzero(score >= edge - 2e-9)
+        self.parts.append((row + first, doc[at], score[row, at]))
+        self.size += len(row)
+        if self.size > 2 * self.held + (1 << 20):
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of the k best of each query."""
+        row, doc, score = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((doc, -np.round(score, 9), row))
+        begin = np.searchsorted(row[order], np.arange(self.n + 1))
+        order = order[np.arange(len(row)) - begin[row[order]] < self.k]
+        row, doc, score = row[order], doc[order], score[order]
+        sizes = np.minimum(np.diff(begin), self.k)
+        full = sizes == self.k
+        self.edge[full] = score[np.cumsum(sizes)[full] - 1]
+        self.parts, self.size, self.held = [(row, doc, score)], len(row), len(row)
+        return row, doc, score
+
+    def batch(self, ids: np.ndarray, names) -> pa.RecordBatch:
+        row, doc, score = self.best()
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in row], pa.string()), pa.array(ids[row]), pa.array(doc), pa.array(score)], ["split", "query_id", "document_id", "score"])
+
+
+def _maxsims(q: np.ndarray, d: np.ndarray, tokens: int) -> np.ndarray:
+    """MaxSim of every query with every document; rows of flat vectors."""
     width = d.shape[1] // tokens
-    s = (q.reshape(-1, width) @ d.reshape(-1, width).T).reshape(len(q), tokens, len(doc), tokens).max(3).sum(1)
-    keep = np.ones(s.shape, bool) if len(doc) <= k else s >= -np.partition(-s, k - 1, 1)[:, k - 1 : k] - 1e-9
-    qi, di = np.nonzero(keep)
-    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi], pa.string()), pa.array(ids[qi]), pa.array(doc[di]), pa.array(s[qi, di])], ["split", "query_id", "document_id", "score"])
+    return (q.reshape(-1, width) @ d.reshape(-1, width).T).reshape(len(q), tokens, len(d), tokens).max(3).sum(1)
 
 
 def _dense(lists) -> np.ndarray:
@@ -92,15 +132,23 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1
     """queries (split, query_id, v), documents (split, document_id, v) -> split, query_id, document_id, score, rank <= k.
 
     v: flat vectors of `tokens` token vectors; the score is MaxSim, for one token the dot product, in double precision.
-    Query blocks meet document batches in one matrix product each, and each product passes on its k best for each query
-    only, so what is shuffled is bounded by k x queries x batches, not by pairs. Up to `most` bytes of query vectors
-    (their size is counted first) go to the tasks as they are; more are packed into blocks, which meet packed document
-    blocks in a distributed product of blocks. Rows without vector have no part.
+    Rows without vector have no part.
+    """
+    return ranked(partial_topk(queries, docs, k, tokens, within_split, most), k)
+
+
+def partial_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1, within_split: bool = True, most: int = QUERY_BYTES) -> DataFrame:
+    """The k best documents of each query in each task: split, query_id, document_id, score.
+
+    Query blocks meet document batches in one matrix product each; a task merges the products into the k best a query so far
+    and passes them on once, so what is shuffled is bounded by k x queries x tasks, not by batches or pairs. Up to `most`
+    bytes of query vectors (their size is counted first), whose k best take up to 4 times as much, go to every task as a broadcast
+    variable; more are packed into blocks, which meet packed document blocks in a distributed product of blocks.
     """
     asked, rows = queries.select("split", "query_id", "v").where("v is not null"), docs.select("split", "document_id", "v").where("v is not null")
-    size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
-    if size * 8 > most:
-        return ranked(_packed_topk(asked, rows, k, tokens, within_split, most), k)
+    size, n = asked.agg(F.coalesce(F.sum(F.size("v")), F.lit(0)), F.count("*")).first()
+    if size * 8 > most or n * k * HELD_BYTES > 4 * most:
+        return _packed_topk(asked, rows, k, tokens, within_split, most)
     held = asked.toArrow()
     sides = {}
     names = np.array(held.column("split").to_pylist(), object)
@@ -109,65 +157,84 @@ def similarity_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int = 1
         if len(of):
             mine = held.take(pa.array(of))
             sides[key] = (_dense(mine.column("v").combine_chunks()), mine.column("query_id").to_numpy(), names[of])
+    sides = queries.sparkSession.sparkContext.broadcast(sides)
 
     def run(batches):
+        best = {key: Held(len(ids), k) for key, (_, ids, _) in sides.value.items()}
         for b in batches:
             splits = np.array(b.column("split").to_pylist(), object)
-            for key, (q, ids, own) in sides.items():
+            for key, (q, _, _) in sides.value.items():
                 at = np.flatnonzero(splits == key) if within_split else np.arange(b.num_rows)
                 if len(at):
                     part = b.take(pa.array(at))
                     d, doc = _dense(part.column("v")), part.column("document_id").to_numpy()
                     for i in range(0, len(q), 256):
-                        yield _block_topk(q[i : i + 256], ids[i : i + 256], own[i : i + 256], doc, d, tokens, k)
+                        best[key].add(_maxsims(q[i : i + 256], d, tokens), doc, i)
+        for key, (_, ids, own) in sides.value.items():
+            yield best[key].batch(ids, own)
 
-    return ranked(rows.mapInArrow(run, _SCORES), k)
+    return rows.mapInArrow(run, _SCORES)
 
 
-def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, within_split: bool, most: int, rows: int = 2000) -> DataFrame:
-    """Blocks of up to `rows` rows each, one row a block; every pair of blocks (of one split) is one matrix product.
+def packed(df: DataFrame, id_: str, prefix: str, rows: int = 2000) -> DataFrame:
+    """(split, id, v) -> one row for up to `rows` rows of a split: {prefix}s, {prefix}i (ids), {prefix}v (vectors, one after the other)."""
+
+    def run(batches):
+        for b in batches:
+            splits = np.array(b.column("split").to_pylist(), object)
+            for key in sorted(set(splits), key=str):
+                at = np.flatnonzero(splits == key)
+                for i in range(0, len(at), rows):
+                    part = b.take(pa.array(at[i : i + rows]))
+                    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), one(part.column(id_)), one(pa.array(_dense(part.column("v")).ravel()))], [f"{prefix}s", f"{prefix}i", f"{prefix}v"])
+
+    return df.mapInArrow(run, f"{prefix}s string, {prefix}i array<bigint>, {prefix}v array<double>")
+
+
+def grid(q: DataFrame, d: DataFrame, within_split: bool, most: int) -> DataFrame:
+    """Every pair of a query block (qs, qi, qv, ...) and a document block (ds, di, dv, ...), of one split each if so asked; a row a pair.
 
     Blocks are dealt to a grid for each split, with a row for every `most` bytes of its queries and a column for every
     `most` bytes of its documents: a query block goes to one row and all columns, a document block to one column and all
     rows, and each pair meets in one cell. So a large split is spread over many tasks; documents are copied once for
-    each row of their own split's grid.
+    each row of their own split's grid. The pairs of one query block come one after the other.
     """
-    group = F.col("split") if within_split else F.lit("")
-
-    def packed(df: DataFrame, id_: str, prefix: str) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                splits = np.array(b.column("split").to_pylist(), object)
-                for key in sorted(set(splits), key=str):
-                    at = np.flatnonzero(splits == key)
-                    for i in range(0, len(at), rows):
-                        part = b.take(pa.array(at[i : i + rows]))
-                        n = part.num_rows
-                        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), one(part.column(id_)), one(pa.array(_dense(part.column("v")).ravel())), pa.array([n], pa.int32())], [f"{prefix}s", f"{prefix}i", f"{prefix}v", f"{prefix}n"])
+    group = lambda side: F.col(f"{side}s") if within_split else F.lit("")
 
-        return df.mapInArrow(run, f"{prefix}s string, {prefix}i array<bigint>, {prefix}v array<double>, {prefix}n int")
-
-    q, d = packed(queries, "query_id", "q"), packed(docs, "document_id", "d")
-
-    def lines(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(group.alias(f"{name}_g")).agg(F.ceil(F.sum(F.size("v")) * 8 / F.lit(most)).cast("int").alias(name))
+    def lines(df: DataFrame, side: str, name: str) -> DataFrame:
+        return df.groupBy(group(side).alias(f"{name}_g")).agg(F.ceil(F.sum(F.size(f"{side}v")) * 8 / F.lit(most)).cast("int").alias(name))
 
     def dealt(df: DataFrame, side: str, own: str, every: str) -> DataFrame:
-        at = df.join(F.broadcast(grid), (F.col(f"{side}s") if within_split else F.lit("")).eqNullSafe(F.col("g")))
+        at = df.join(F.broadcast(sizes), group(side).eqNullSafe(F.col("g")))
         place = F.pmod(F.xxhash64(f"{side}i"), F.col(own)).cast("int")
         return at.select(*df.columns, F.col("g").alias(f"{side}g"), place.alias(f"{side}{own}"), F.explode(F.sequence(F.lit(0), F.col(every) - 1)).alias(f"{side}{every}"))
 
     # A row a split: small enough to broadcast.
-    grid = lines(queries, "row").join(lines(docs, "col"), F.col("row_g").eqNullSafe(F.col("col_g"))).select(F.col("row_g").alias("g"), "row", "col")
+    sizes = lines(q, "q", "row").join(lines(d, "d", "col"), F.col("row_g").eqNullSafe(F.col("col_g"))).select(F.col("row_g").alias("g"), "row", "col")
     q, d = dealt(q, "q", "row", "col"), dealt(d, "d", "col", "row").hint("merge")
-    pairs = q.join(d, F.col("qg").eqNullSafe(F.col("dg")) & (F.col("qrow") == F.col("drow")) & (F.col("qcol") == F.col("dcol")))
+    return q.join(d, F.col("qg").eqNullSafe(F.col("dg")) & (F.col("qrow") == F.col("drow")) & (F.col("qcol") == F.col("dcol")))
+
+
+def _packed_topk(queries: DataFrame, docs: DataFrame, k: int, tokens: int, within_split: bool, most: int) -> DataFrame:
+    """Every pair of blocks is one matrix product; the k best are held while the query block stays the same."""
+    pairs = grid(packed(queries, "query_id", "q"), packed(docs, "document_id", "d"), within_split, most)
 
     def run(batches):
+        last, held = None, None
         for b in batches:
             for r in range(b.num_rows):
                 cell = lambda c: b.column(c)[r].values.to_numpy()  # noqa: B023, E731
                 qi, di = cell("qi"), cell("di")
-                yield _block_topk(cell("qv").reshape(len(qi), -1), qi, [b.column("qs")[r].as_py()] * len(qi), di, cell("dv").reshape(len(di), -1), tokens, k)
+                name = (b.column("qs")[r].as_py(), qi.tobytes())
+                if name != last:
+                    if held:
+                        yield held.batch(ids, [last[0]] * len(ids))  # noqa: F821
+                    last, held, ids = name, Held(len(qi), k), qi.copy()
+                q, d = cell("qv").reshape(len(qi), -1), cell("dv").reshape(len(di), -1)
+                for i in range(0, len(qi), 256):
+                    held.add(_maxsims(q[i : i + 256], d, tokens), di, i)
+        if held:
+            yield held.batch(ids, [last[0]] * len(ids))
 
     return pairs.select("qs", "qi", "qv", "di", "dv").mapInArrow(run, _SCORES)

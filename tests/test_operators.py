@@ -310,3 +310,42 @@ def test_masked_tokens_have_no_part(spark):
     args = [F.col(c) for c in ("q", "d", "qm", "dm")]
     got = df.select("i", vectors.masked_maxsim(*args).alias("s"), vectors.masked_maxsim(*args, mean=True).alias("m")).orderBy("i").collect()
     assert [(r.s, r.m) for r in got] == [c[4] for c in cases]
+
+
+@pytest.mark.parametrize("most", [10**9, 3000])
+def test_topk_is_held_over_a_task(spark, most):
+    """What is shuffled is bounded by k x queries x tasks, however many batches a task reads; the result is that of brute force."""
+    rng = np.random.default_rng(4)
+    q, d = rng.normal(size=(30, 8)).round(1), rng.normal(size=(3000, 8)).round(1)  # rounded: many ties
+    qs = spark.createDataFrame([("a" if i % 2 else None, i, v.tolist()) for i, v in enumerate(q)], "split string, query_id bigint, v array<double>")
+    ds = spark.createDataFrame([("a" if i % 2 else None, i, v.tolist()) for i, v in enumerate(d)], "split string, document_id bigint, v array<double>").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "50")
+        partial = topk.partial_topk(qs, ds, 7, most=most)
+        assert partial.count() <= 7 * 30 * (3 if most > 3000 else partial.rdd.getNumPartitions() * 3)
+        got = ids(topk.ranked(partial, 7), "query_id", "rank", "document_id")
+    finally:
+        spark.conf.set(key, before)
+    want = []
+    for i, v in enumerate(q):
+        order = sorted((-round(float(v @ d[j]), 9), j) for j in range(i % 2, 3000, 2))[:7]
+        want += [(i, r + 1, j) for r, (_, j) in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_held_merges_blocks():
+    rng = np.random.default_rng(5)
+    held, all_ = topk.Held(4, 9), np.zeros((4, 0))
+    for i in range(40):
+        part = rng.normal(size=(4, 20)).round(1)
+        all_ = np.concatenate((all_, part), 1)
+        held.add(part[:2], np.arange(20) + 20 * i)
+        held.add(part[2:], np.arange(20) + 20 * i, 2)
+        if i % 7 == 0:
+            held.best()
+    row, doc, score = held.best()
+    for r in range(4):
+        want = sorted((-round(s, 9), j) for j, s in enumerate(all_[r]))[:9]
+        assert doc[row == r].tolist() == [j for _, j in want] and score[row == r].tolist() == [-s for s, _ in want]
