@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text, vectors
-from siltstone.operators import audits, judging, labels, lists, losses, metrics, mining, mixture, shards, topk
+from siltstone.operators import audits, index, judging, labels, lists, losses, metrics, mining, mixture, shards, topk
 from siltstone.plans import fixtures as fx
 from siltstone.plans.fixtures import Fixtures
 from siltstone.sources import readers, sinks
@@ -42,6 +42,17 @@ def _maxsim(q: str, d: str, kind: tuple[int, int], each: str = "{}") -> str:
     return f"list_sum(list_transform(range(0, {n}), lambda i: {each.format(best)}))"
 
 
+def _nearest(centroids: str) -> str:
+    """Each document token with its nearest centroid, distances to nine places."""
+    near = "round(list_dot_product(d.x, i.y) - list_dot_product(i.y, i.y) / 2, 9)"
+    return f"SELECT document_id, j, x, c FROM (SELECT d.document_id, d.j, d.x, i.c, row_number() OVER (PARTITION BY d.document_id, d.j ORDER BY {near} DESC, i.c) AS n FROM dtok d, {centroids} i) WHERE n = 1"
+
+
+def _means(centroids: str, tokens: str) -> str:
+    mean = f"SELECT c, list(a ORDER BY k) AS y FROM (SELECT c, k, round(avg(x[k]), 9) AS a FROM {tokens}, range(1, {fx.MINER[1] + 1}) r(k) GROUP BY c, k) GROUP BY c"
+    return f"SELECT i.c, coalesce(m.y, i.y) AS y FROM {centroids} i LEFT JOIN ({mean}) m ON m.c = i.c"
+
+
 def _ranked(source: str, k: int, score: str = "score", extra: str = "") -> str:
     return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, query_id ORDER BY round({score}, 9) DESC, document_id{extra}) AS rank FROM {source}) WHERE rank <= {k}"
 
@@ -54,6 +65,22 @@ VIEWS = {
     "fd": "SELECT split, vec_id AS document_id, text AS document, v, label FROM vec WHERE NOT is_query",
     "positives": "SELECT q.split, q.query_id, d.document_id, row_number() OVER (PARTITION BY q.split, q.query_id ORDER BY d.document_id) AS label_pos FROM fq q JOIN fd d ON q.split = d.split AND q.label = d.label WHERE d.document_id % 10 IN (1, 2)",
     "miner": f"SELECT q.split, q.query_id, d.document_id, {_maxsim('q.v', 'd.v', fx.MINER)} AS score FROM fq q JOIN fd d ON q.split = d.split",
+    "dtok": f"SELECT split, document_id, j, v[j*{fx.MINER[1]}+1:j*{fx.MINER[1]}+{fx.MINER[1]}] AS x FROM fd, range({fx.MINER[0]}) r(j)",
+    "icent": f"SELECT row_number() OVER (ORDER BY document_id, j) - 1 AS c, x AS y FROM dtok QUALIFY c < {fx.CENTROIDS}",
+    "inear": _nearest("icent"),
+    "icentb": _means("icent", "inear"),
+    "inearb": _nearest("icentb"),
+    "icentc": _means("icentb", "inearb"),
+    "inearc": _nearest("icentc"),
+    "ireach": "SELECT max(list_max(list_transform(list_zip(a.x, i.y), lambda z: abs(z[1] - z[2])))) AS w FROM inearc a JOIN icentc i ON i.c = a.c",
+    "icode": f"SELECT a.document_id, a.c, a.x, list_transform(list_zip(a.x, i.y), lambda z: z[2] + (-w + (least(floor((z[1] - z[2] + w) / (2 * w / {2**index.BITS})), {2**index.BITS - 1}) + 0.5::DOUBLE) * (2 * w / {2**index.BITS}))) AS y FROM inearc a JOIN icentc i ON i.c = a.c, ireach",
+    "ifar": "SELECT document_id, max(sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS far FROM icode GROUP BY document_id",
+    "iprobe": f"SELECT *, max(near) FILTER (WHERE n = {fx.PROBES + 1}) OVER (PARTITION BY query_id, t) AS missed FROM (SELECT q.split, q.query_id, q.t, q.q, i.c, list_dot_product(q.q, i.y) AS near, row_number() OVER (PARTITION BY q.query_id, q.t ORDER BY round(list_dot_product(q.q, i.y), 9) DESC, i.c) AS n FROM (SELECT split, query_id, t, v[t*{fx.MINER[1]}+1:t*{fx.MINER[1]}+{fx.MINER[1]}] AS q FROM fq, range({fx.MINER[0]}) r(t)) q, icentc i)",
+    "imet": f"SELECT p.split, p.query_id, p.t, k.document_id, greatest(coalesce(max(CASE WHEN p.n <= {fx.PROBES} THEN list_dot_product(p.q, k.y) END), any_value(p.missed)), any_value(p.missed)) AS best, any_value(sqrt(list_dot_product(p.q, p.q))) AS length FROM iprobe p JOIN icode k ON k.c = p.c JOIN fd d ON d.document_id = k.document_id AND d.split = p.split GROUP BY ALL",
+    "iscore": f"SELECT m.split, m.query_id, m.document_id, round(sum(best) - {index.SLACK}::DOUBLE * sum(length) * any_value(far), 9) AS low, round(sum(best) + {index.SLACK}::DOUBLE * sum(length) * any_value(far), 9) AS high FROM imet m JOIN ifar f ON f.document_id = m.document_id GROUP BY ALL",
+    "ileft": f"SELECT split, query_id, document_id FROM (SELECT *, max(low) FILTER (WHERE nth = {fx.INDEX_K}) OVER (PARTITION BY split, query_id) AS edge FROM (SELECT *, row_number() OVER (PARTITION BY split, query_id ORDER BY low DESC) AS nth FROM iscore)) WHERE edge IS NULL OR high >= edge",
+    "iexact": "SELECT l.split, l.query_id, l.document_id, m.score, count(*) OVER (PARTITION BY l.split, l.query_id) AS scored FROM ileft l JOIN miner m ON m.split = l.split AND m.query_id = l.query_id AND m.document_id = l.document_id",
+    "ifound": _ranked("iexact", fx.INDEX_K),
     "densepairs": "SELECT q.split, q.query_id, d.document_id, list_dot_product(q.v, d.v) AS score FROM fq q JOIN fd d ON q.split = d.split",
     "cand": _ranked("miner", fx.DEPTH),
     "dcand": _ranked("densepairs", fx.DEPTH),
@@ -215,6 +242,19 @@ def maxsim_topk(f):
     return f.search(fx.MINER, 100).select("split", "query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("SELECT split, query_id, document_id, round(score, 6) AS score, rank, scored FROM ifound")
+def index_topk(f):
+    """Centroids, lists and codes written to files, read back, probed; exact scores of what the bounds leave."""
+    return f.indexed.select("split", "query_id", "document_id", F.round("score", 6).alias("score"), "rank", "scored")
+
+
+@query(f"SELECT e.split, count(DISTINCT e.query_id) AS queries, round(avg((i.rank IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(any_value(w.scored) / any_value(n), 6) AS scored_share FROM (SELECT * FROM cand WHERE rank <= {fx.INDEX_K}) e LEFT JOIN ifound i ON i.split = e.split AND i.query_id = e.query_id AND i.document_id = e.document_id JOIN (SELECT split, avg(scored) AS scored FROM (SELECT DISTINCT split, query_id, scored FROM ifound) GROUP BY split) w ON w.split = e.split JOIN (SELECT split, count(*)::DOUBLE AS n FROM fd GROUP BY split) d ON d.split = e.split GROUP BY e.split")
+def index_recall(f):
+    """What the index finds of the exact top, and the share of the documents that it scores exactly."""
+    x = index.recall(f.indexed, f.search(fx.MINER, fx.INDEX_K), f.documents)
+    return x.select("split", "queries", F.round("recall", 6).alias("recall"), F.round("scored_share", 6).alias("scored_share"))
+
+
 @query("SELECT split, query_id, document_id, round(score / 4, 6) AS score FROM cand WHERE rank <= 10")
 def meanmaxsim(f):
     q, d = f.queries.select("split", "query_id", F.col("v").alias("qv")), f.documents.select("split", "document_id", F.col("v").alias("dv"))

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators import judging, labels, lists, mining, mixture
+from siltstone.operators import index, judging, labels, lists, mining, mixture
 from siltstone.operators.shards import numbered
 from siltstone.operators.topk import rescored, similarity_topk
-from siltstone.sources.sinks import staged
+from siltstone.sources.sinks import new_folder, staged
 
 #: Parameters of the fixtures; the production defaults stand in the operators.
 GOLD_CAP, TOP_N, LEAST, NEGATIVES, BAND, BUDGET, SEED, SKIP, TOP_K, WIDTH, DEPTH = 12, 64, 5, 7, 0.97, 1000, 42, 5, 50, 32, 2048
+#: The index: centroids, lists a query token probes, documents found a query.
+CENTROIDS, PROBES, INDEX_K = 64, 32, 10
 MINER, JUDGE, TEACHER, DENSE = (4, 16), (8, 8), (2, 32), (1, 64)
 
 
@@ -65,6 +67,18 @@ class Fixtures:
     def candidates(self) -> DataFrame:
         return staged(self.search(MINER), "candidates")
 
+    @cached_property
+    def index(self) -> tuple[DataFrame, index.Codec]:
+        """The quantised index of all splits, in files, and its codec."""
+        codec = index.trained(self.documents, MINER[0], centroids=CENTROIDS)
+        path = new_folder(self.spark, "index")
+        index.write_index(index.built(self.documents, codec, MINER[0]), codec, path)
+        return index.read_index(self.spark, path)
+
+    @cached_property
+    def indexed(self) -> DataFrame:
+        return staged(index.indexed_topk(self.queries, self.documents, *self.index, INDEX_K, MINER[0], PROBES), "indexed")
+
     @cached_property
     def dense(self) -> DataFrame:
         return self.search(DENSE)

@@ -42,16 +42,24 @@ def write_lists(queries: DataFrame, documents: DataFrame, train: DataFrame, fold
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session has none (tests), a temporary one is set."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a stage's output into the shared folder (spark.checkpoint.dir) and reads it again.
+    """Writes a stage's output into the shared folder and reads it again.
 
-    Later stages then plan over a table, not over all that made it, and a lost executor costs no recomputation. A
-    temporary folder is set only where the session names none.
+    Later stages then plan over a table, not over all that made it, and a lost executor costs no recomputation.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
