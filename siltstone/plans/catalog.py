@@ -14,7 +14,7 @@ from siltstone.functions import text, vectors
 from siltstone.operators import audits, index, judging, labels, lists, losses, metrics, mining, mixture, shards, topk
 from siltstone.plans import fixtures as fx
 from siltstone.plans.fixtures import Fixtures
-from siltstone.sources import readers, sinks
+from siltstone.sources import npz, readers, restart, sinks
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -187,6 +187,28 @@ def cand_valid(f):
     return topk.valid(f.candidates.select("split", "query_id", "document_id", s.alias("score")).union(padded)).select("split", "query_id", "document_id")
 
 
+@query("SELECT split, shard, query_id, document_id, round(score::FLOAT::DOUBLE, 6) AS score FROM (SELECT *, document_id % 3 AS shard FROM cand) WHERE split = 'c1' AND shard = 2")
+def padded_parts(f):
+    """Candidates written as padded files by (split, shard), of which one is opened."""
+    folder = sinks.new_folder(f.spark, "parts")
+    npz.write_padded(f.candidates.withColumn("shard", F.col("document_id") % 3), folder)
+    return npz.read_padded(f.spark, folder, "c1", 2).select("split", "shard", "query_id", "document_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT split, document_id % 4 AS shard, count(*) AS rows, sum(round(score, 6)::DECIMAL(18, 6))::DOUBLE AS score, (document_id % 4 >= 2 OR split = 'c3')::BIGINT AS computed_late FROM cand GROUP BY ALL")
+def parts_restart(f):
+    """A run by shards that stopped half way, begun again: the rest is computed, what stood stays."""
+    folder, late = sinks.new_folder(f.spark, "parts"), []
+    shard = lambda split, n: f.candidates.where((F.col("split") == split) & (F.col("document_id") % 4 == n)).drop("split")
+    parts = [(r.split, n) for r in f.splits.orderBy("split").collect() for n in range(4)]
+    restart.run_parts(f.spark, folder, [p for p in parts if p[1] < 2 and p[0] != "c3"], shard)
+    late = restart.run_parts(f.spark, folder, parts, shard)
+    mark = f.spark.createDataFrame([(*p, int(p in late)) for p in parts], "split string, shard int, computed_late int")
+    noted = restart.finished(f.spark, folder).join(mark, ["split", "shard"])
+    sums = readers.read_parts(f.spark, folder).groupBy("split", "shard").agg(F.sum(F.round("score", 6).cast("decimal(18,6)")).cast("double").alias("score"))
+    return noted.join(sums, ["split", "shard"]).select("split", "shard", "rows", "score", "computed_late")
+
+
 @query("SELECT document_id, substr(document, 1, 200) AS text FROM fd WHERE document IS NOT NULL")
 def text_truncate(f):
     return f.documents.where("document is not null").select("document_id", text.truncated(F.col("document"), 200).alias("text"))

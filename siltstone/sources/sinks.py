@@ -15,14 +15,6 @@ def done(spark: SparkSession, path: str) -> bool:
     return "_SUCCESS" in listed(spark, path)
 
 
-def write_parts(df: DataFrame, path: str, again: bool = False) -> bool:
-    """Candidates or judge scores, partitioned by (split, shard); False if they were there."""
-    if done(df.sparkSession, path) and not again:
-        return False
-    df.write.mode("overwrite").partitionBy("split", "shard").parquet(path)
-    return True
-
-
 def write_jsonl(df: DataFrame, path: str, again: bool = False) -> bool:
     """JSON lines in UTF-8; null fields are left out."""
     if done(df.sparkSession, path) and not again:

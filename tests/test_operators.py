@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone import schema
 from siltstone.functions import text, vectors
 from siltstone.operators import audits, judging, labels, lists, losses, metrics, mining, mixture, shards, topk
-from siltstone.sources import readers, sinks
+from siltstone.sources import readers, restart, sinks
 
 CAND = "split string, query_id long, document_id long, score double"
 
@@ -274,7 +274,7 @@ def test_files(spark, tmp_path):
     np.savez_compressed(tmp_path / "fiqa_3.npz", qids=np.array([1, 2]), ids=np.array([[4, -1], [5, 6]]), scores=np.array([[0.5, -np.inf], [0.25, 0.125]], np.float32))
     assert ids(readers.read_npz(spark, root), "split", "shard", "query_id", "document_id", "score") == [("fiqa", 3, 1, 4, 0.5), ("fiqa", 3, 2, 5, 0.25), ("fiqa", 3, 2, 6, 0.125)]
     parts = spark.createDataFrame([("a", 0, 1, 2, 0.5), ("b", 1, 1, 2, 0.5)], schema.CANDIDATES)
-    assert sinks.write_parts(parts, f"{root}/parts") and not sinks.write_parts(parts, f"{root}/parts")
+    assert restart.write_parts(parts, f"{root}/parts") == [("a", 0), ("b", 1)] and not restart.write_parts(parts, f"{root}/parts")
     assert readers.read_parts(spark, f"{root}/parts", "b").count() == 1
     assert sinks.write_jsonl(parts, f"{root}/lines") and readers.read_jsonl(spark, f"{root}/lines").count() == 2
 
