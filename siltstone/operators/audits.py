@@ -53,3 +53,10 @@ def gate_audit(rows: DataFrame) -> DataFrame:
 def weighted(report: DataFrame, count: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Means of per-split values (as rounded) weighted by their row counts."""
     return report.groupBy(*(by or [])).agg(F.sum(count).alias(count), *[F.round(F.sum(F.col(c) * F.col(count)) / F.sum(count), 6).alias(c) for c in columns])
+
+
+def pivoted(report: DataFrame, by: str, values: list[str], columns: list[str], key: str = "split") -> DataFrame:
+    """A row for each key with {value}_{column} for each of `values` of the column `by`, in this order; null where a directory lacks the key."""
+    wide = report.groupBy(key).pivot(by, values).agg(*[F.first(c).alias(c) for c in columns])
+    names = [f"{v}_{c}" for v in values for c in columns]
+    return wide.select(key, *[F.col(f"`{n if len(columns) > 1 else n.rsplit('_' + columns[0], 1)[0]}`").alias(n) for n in names])

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.topk import QUERY
+from siltstone.sources.readers import FILE_ORDER
 
 
 def first_element(labels: DataFrame, strict: bool = False) -> DataFrame:
@@ -32,7 +33,21 @@ def excluded(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     return candidates.join(positives.select("split", "query_id", "document_id").distinct(), ["split", "query_id", "document_id"], "left_anti")
 
 
+def in_file_order(labels: DataFrame) -> DataFrame:
+    """Numbers the label rows of a query by their place in the files (FILE_ORDER) as label_pos, from 1."""
+    return labels.withColumn("label_pos", F.row_number().over(W.partitionBy(*QUERY).orderBy(*FILE_ORDER)))
+
+
+def one_each(rows: DataFrame, keys: list[str], value: str, last: bool = False) -> DataFrame:
+    """One value for each key: the first or last in order of the files, if the rows carry it (FILE_ORDER); else the least or greatest."""
+    if set(FILE_ORDER) <= set(rows.columns):
+        pick = (F.max_by if last else F.min_by)(value, F.struct(*FILE_ORDER))
+    else:
+        pick = (F.max if last else F.min)(value)
+    return rows.groupBy(*keys).agg(pick.alias(value))
+
+
 def looked_up(rows: DataFrame, documents: DataFrame, key: str = "document_id") -> DataFrame:
-    """Adds each document's text; null if it is not there. Of repeated ids the first in order of text is taken."""
-    once = documents.groupBy("split", "document_id").agg(F.min("document").alias("document"))
+    """Adds each document's text; null if it is not there. Of repeated ids the first wins (`one_each`)."""
+    once = one_each(documents, ["split", "document_id"], "document")
     return rows.join(once.select("split", F.col("document_id").alias(key), "document"), ["split", key], "left")

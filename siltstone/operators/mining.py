@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators.labels import distinct_positives, excluded
+from siltstone.operators.labels import distinct_positives, excluded, one_each
 from siltstone.operators.topk import QUERY, exactly, ranked
+from siltstone.sources.sinks import write_text
 
 
 def mined_negatives(candidates: DataFrame, positives: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
@@ -17,10 +20,10 @@ def mined_negatives(candidates: DataFrame, positives: DataFrame, skip: int = 5,
 
 
 def mined_pairs(candidates: DataFrame, positives: DataFrame, queries: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
-    """A row for each query and positive with the query's negatives in order; a missing query text is empty, of repeated ids the last wins."""
+    """A row for each query and positive with the query's negatives in order; a missing query text is empty, of repeated ids the last wins (`one_each`)."""
     lists = mined_negatives(candidates, positives, skip, top_k).groupBy(*QUERY).agg(F.array_sort(F.collect_list(F.struct("neg_rank", "document_id"))).alias("x"))
     lists = lists.select(*QUERY, F.transform("x", lambda r: r["document_id"]).alias("negative_ids"))
-    text = queries.groupBy(*QUERY).agg(F.max("query").alias("query"))
+    text = one_each(queries, list(QUERY), "query", last=True)
     pairs = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"))
     return pairs.join(lists, list(QUERY)).join(text, list(QUERY), "left").withColumn("query", F.coalesce("query", F.lit("")))
 
@@ -42,6 +45,30 @@ def pair_stats(candidates: DataFrame, positives: DataFrame, skip: int = 5, top_k
     )
 
 
+def write_pairs(candidates: DataFrame, positives: DataFrame, queries: DataFrame, path: str, splits: list[str], skip: int = 5, top_k: int = 50) -> dict:
+    """Writes `mined_pairs` as JSON lines to `path` and what `pair_stats` counts, with the totals, to {path}.meta.json; gives the latter.
+
+    The counts are observed while the pairs are written, before those without negatives go, so they cost no pass of their own.
+    A split of `splits` without positives is left out.
+    """
+    spark = candidates.sparkSession
+    lists = mined_negatives(candidates, positives, skip, top_k).groupBy(*QUERY).agg(F.transform(F.array_sort(F.collect_list(F.struct("neg_rank", "document_id"))), lambda r: r["document_id"]).alias("negative_ids"))
+    x = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"), "label_pos", F.count("*").over(W.partitionBy(*QUERY)).alias("n_pos"))
+    x = x.join(lists, list(QUERY), "left").join(candidates.select(*QUERY).distinct().withColumn("has", F.lit(True)), list(QUERY), "left").join(one_each(queries, list(QUERY), "query", last=True), list(QUERY), "left")
+    kept, has, first = F.col("negative_ids").isNotNull(), F.coalesce("has", F.lit(False)), F.col("label_pos") == 1
+    counts = {"pairs_written": kept, "queries": kept & first, "multi_positive_queries": kept & first & (F.col("n_pos") > 1), "pairs_dropped_short_of_k": has & ~kept, "queries_without_candidates": first & ~has, "positives": F.lit(True)}
+    seen = Observation()
+    metrics = [F.count(F.when((F.col("split") == s) & cond, 1)).alias(f"{i}:{name}") for i, s in enumerate(splits) for name, cond in counts.items()]
+    rows = x.observe(seen, *metrics).where(kept).select("query_id", "split", F.coalesce("query", F.lit("")).alias("query"), "positive_id", "negative_ids")
+    rows.write.mode("overwrite").json(path)
+    got = seen.get
+    per_split = {s: {name: got[f"{i}:{name}"] for name in counts} for i, s in enumerate(splits)}
+    per_split = {s: {n: c for n, c in v.items() if n != "positives"} for s, v in per_split.items() if v["positives"]}
+    meta = {"out": path, "skip": skip, "top_k": top_k, "row_unit": "(query, positive) pair", "all_annotated_positives_excluded_from_negatives": True, "total_pairs": sum(v["pairs_written"] for v in per_split.values()), "per_split": per_split}
+    write_text(spark, f"{path}.meta.json", json.dumps(meta, indent=2))
+    return meta
+
+
 def ablation_pairs(multi: DataFrame, dense: DataFrame, positives: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
     """split, query_id, positive_id, source ('mv', 'dense'), neg_rank, document_id.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,6 +30,17 @@ def targets(usable: DataFrame, risk: DataFrame, budget: int) -> DataFrame:
     return x.withColumn("target", (F.col("low") + (place <= F.col("left")).cast("int")).cast("bigint")).select("split", "usable_pairs", "risk", "weight", "exact", "target")
 
 
+#: Numbers that one row is unfolded into at once.
+RUN = 1 << 16
+
+
+def numbers(rows: DataFrame, n: Column, name: str, run: int = RUN) -> DataFrame:
+    """Each row once for each of the numbers 1 .. n, as `name`: first dealt out by runs of numbers, then unfolded, so neither an array nor a task holds them all."""
+    runs = rows.withColumn("__n", n.cast("bigint")).where("__n > 0").withColumn("__run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(__n - 1) div {run}"))))
+    first = F.col("__run") * run + 1
+    return runs.repartition(*rows.columns, "__run").withColumn(name, F.explode(F.sequence(first, F.least(F.col("__n"), first + (run - 1))))).drop("__n", "__run")
+
+
 def sampled(usable: DataFrame, goal: DataFrame, seed: int = 42) -> DataFrame:
     """split, query_id, positive_id, copy_no: as many rows as the split's target.
 
@@ -41,7 +52,7 @@ def sampled(usable: DataFrame, goal: DataFrame, seed: int = 42) -> DataFrame:
     sizes = rows.groupBy("split").agg(F.count("*").alias("n"))
     goals = goal.select("split", "target").join(sizes, "split")
     base = rows.join(goals, "split").where("drawn <= target").select(*PAIR, F.lit(0).cast("bigint").alias("copy_no"))
-    draws = goals.where("target > n").select("split", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("target") - F.col("n"))).alias("copy_no"))
+    draws = numbers(goals.where("target > n"), F.col("target") - F.col("n"), "copy_no").select("split", "n", "copy_no")
     draws = draws.withColumn("at", F.pmod(integer(seed, "split", F.lit("draw"), "copy_no"), F.col("n")))
     return base.union(draws.join(rows.select(*PAIR, "at"), ["split", "at"]).select(*PAIR, "copy_no"))
 

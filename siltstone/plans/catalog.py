@@ -209,6 +209,50 @@ def parts_restart(f):
     return noted.join(sums, ["split", "shard"]).select("split", "shard", "rows", "score", "computed_late")
 
 
+def _files(f, config: str, *tables: DataFrame):
+    """Tables of split c1 as its files, one each, read back with the order of their rows."""
+    root = sinks.new_folder(f.spark, "files")
+    for i, df in enumerate(tables):
+        sinks.write_split(df.coalesce(1), f"{root}/{config}", "c1", i)
+    return readers.scan_split(f.spark, root, config, "c1", ordered=True)
+
+
+@query("SELECT document_id, length(CASE WHEN document_id % 2 = 1 THEN document ELSE 'again ' || coalesce(document, '') END) AS n_chars FROM fd WHERE split = 'c1'")
+def first_document_wins(f):
+    """Ids that stand in two files have the text of the first."""
+    docs = f.documents.where("split = 'c1'").select("document_id", "document")
+    again = docs.withColumn("document", F.concat(F.lit("again "), F.coalesce("document", F.lit(""))))
+    found = labels.looked_up(docs.select(F.lit("c1").alias("split"), "document_id"), _files(f, "documents", docs.where("document_id % 2 = 1"), again))
+    return found.select("document_id", F.length("document").alias("n_chars"))
+
+
+@query("SELECT p.split, p.query_id, p.positive_id, CASE WHEN p.query_id % 20 = 0 THEN 'late ' || p.query_id ELSE coalesce(q.query, '') END AS query FROM minedpairs p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id WHERE p.split = 'c1'")
+def last_query_wins(f):
+    """Queries that stand in two files have the text of the last in their pairs."""
+    queries = f.queries.where("split = 'c1'").select("query_id", "query")
+    late = queries.where("query_id % 20 = 0").withColumn("query", F.concat(F.lit("late "), F.col("query_id")))
+    c1 = lambda df: df.where("split = 'c1'")
+    return mining.mined_pairs(c1(f.candidates), c1(f.positives), _files(f, "queries", queries, late), fx.SKIP, fx.TOP_K).select("split", "query_id", "positive_id", "query")
+
+
+def _label_files(f):
+    """Labels of c1 in two files, each in descending order of document."""
+    rows = f.positives.where("split = 'c1'").select("query_id", F.array("document_id", F.lit(-7)).alias("document_ids"))
+    part = lambda i: rows.where(F.get("document_ids", F.lit(0)) % 10 == i).coalesce(1).sortWithinPartitions(F.get("document_ids", F.lit(0)).desc(), "query_id")
+    return labels.first_element(_files(f, "labels", part(1), part(2)))
+
+
+@query("SELECT query_id, gold_pos, document_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id % 10, document_id DESC) AS gold_pos FROM positives WHERE split = 'c1') WHERE gold_pos <= 3")
+def labels_in_files(f):
+    """The first three labels of a query are those that come first in the files."""
+    return labels.capped_gold(labels.in_file_order(_label_files(f)), 3).select("query_id", "gold_pos", "document_id")
+
+
+@query("SELECT query_id, document_id FROM (SELECT *, row_number() OVER (ORDER BY document_id % 10, document_id DESC, query_id) AS r FROM positives WHERE split = 'c1') WHERE r <= 25")
+def first_rows_in_files(f):
+    return mining.first_rows(_label_files(f), 25, order=readers.FILE_ORDER).select("query_id", "document_id")
+
+
 @query("SELECT document_id, substr(document, 1, 200) AS text FROM fd WHERE document IS NOT NULL")
 def text_truncate(f):
     return f.documents.where("document is not null").select("document_id", text.truncated(F.col("document"), 200).alias("text"))
@@ -362,11 +406,27 @@ def scan_pairs(f):
     return lines.select(F.from_json("json", schema.PAIRS).alias("r")).select("r.*").where(F.col("split").isin("c0", "c2")).select("split", "query_id", "positive_id")
 
 
-@query("SELECT p.split, coalesce(sum(CASE WHEN kept THEN np ELSE 0 END), 0)::BIGINT AS pairs_written, count(*) FILTER (WHERE kept) AS queries, count(*) FILTER (WHERE kept AND np > 1) AS multi_positive_queries, coalesce(sum(CASE WHEN there AND NOT kept THEN np ELSE 0 END), 0)::BIGINT AS pairs_dropped_short_of_k, count(*) FILTER (WHERE NOT there) AS queries_without_candidates FROM (SELECT split, query_id, count(*) AS np, (split, query_id) IN (SELECT split, query_id FROM mined) AS kept, (split, query_id) IN (SELECT split, query_id FROM cand) AS there FROM positives GROUP BY split, query_id) p GROUP BY p.split")
+_PAIR_STATS = "SELECT p.split, coalesce(sum(CASE WHEN kept THEN np ELSE 0 END), 0)::BIGINT AS pairs_written, count(*) FILTER (WHERE kept) AS queries, count(*) FILTER (WHERE kept AND np > 1) AS multi_positive_queries, coalesce(sum(CASE WHEN there AND NOT kept THEN np ELSE 0 END), 0)::BIGINT AS pairs_dropped_short_of_k, count(*) FILTER (WHERE NOT there) AS queries_without_candidates FROM (SELECT split, query_id, count(*) AS np, (split, query_id) IN (SELECT split, query_id FROM mined) AS kept, (split, query_id) IN (SELECT split, query_id FROM cand) AS there FROM positives GROUP BY split, query_id) p GROUP BY p.split"
+
+
+@query(_PAIR_STATS)
 def pairs_stats(f):
     return mining.pair_stats(f.candidates, f.positives, fx.SKIP, fx.TOP_K)
 
 
+@query(f"SELECT s.*, t.rows FROM ({_PAIR_STATS}) s JOIN (SELECT split, count(*) AS rows FROM minedpairs GROUP BY split) t ON t.split = s.split")
+def pairs_written(f):
+    """Pairs written as JSON lines, with the counts observed on the way in a file beside them; both are read back."""
+    from siltstone import schema
+
+    path = sinks.new_folder(f.spark, "pairs")
+    mining.write_pairs(f.candidates, f.positives, f.queries, path, [r.split for r in f.splits.collect()], fx.SKIP, fx.TOP_K)
+    names = ["pairs_written", "queries", "multi_positive_queries", "pairs_dropped_short_of_k", "queries_without_candidates"]
+    meta = f.spark.read.text(f"{path}.meta.json", wholetext=True).select(F.from_json("value", f"per_split map<string, struct<{', '.join(f'{n}: bigint' for n in names)}>>").alias("m"))
+    stats = meta.select(F.explode("m.per_split").alias("split", "x")).select("split", "x.*")
+    return stats.join(readers.read_pairs(f.spark, path).groupBy("split").agg(F.count("*").alias("rows")), "split")
+
+
 @query("SELECT to_json({'query_id': p.query_id, 'split': p.split, 'positive_id': p.positive_id, 'negative_ids': m.ids})::VARCHAR AS json FROM minedpairs p JOIN (SELECT split, query_id, list(document_id ORDER BY neg_rank) AS ids FROM mined GROUP BY ALL) m ON m.split = p.split AND m.query_id = p.query_id")
 def to_json_rows(f):
     return sinks.json_rows(f.pairs, "query_id", "split", "positive_id", "negative_ids")
@@ -532,6 +592,14 @@ def gate_compare(f):
     return audits.weighted(both, "rows", ["fn_rate", "pos_at_1"], ["dir"])
 
 
+@query(f"SELECT coalesce(a.split, b.split) AS split, a.fn_rate AS filtered_fn_rate, a.pos_at_1 AS filtered_pos_at_1, b.fn_rate AS unfiltered_fn_rate, b.pos_at_1 AS unfiltered_pos_at_1 FROM (SELECT * FROM {_gate('band')} WHERE split <> 'c2') a FULL JOIN {_gate(_OPEN)} b ON a.split = b.split")
+def gate_pivot(f):
+    """Splits against directories; the filtered one lacks a split."""
+    open_pool = judging.band_pool(f.judged, fx.NEGATIVES, fx.BAND, unfiltered=True)
+    both = _gated(f, f.band.where("split <> 'c2'")).withColumn("dir", F.lit("filtered")).unionByName(_gated(f, open_pool).withColumn("dir", F.lit("unfiltered")))
+    return audits.pivoted(both, "dir", ["filtered", "unfiltered"], ["fn_rate", "pos_at_1"])
+
+
 # Distillation lists and losses
 
 
@@ -636,6 +704,13 @@ def eval_run(f):
     return metrics.without_self(f.run).select("dataset", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("SELECT split AS dataset, query_id, document_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY split, query_id ORDER BY round(score, 9) DESC, document_id) AS rank FROM allpairs WHERE document_id <> query_id) WHERE rank <= 100")
+def eval_sharded(f):
+    """The whole corpus in shards of 200 vectors at most, merged one after the other."""
+    corpus = f.vec.select("split", F.col("vec_id").alias("document_id"), "v")
+    return metrics.sharded_run(f.queries, corpus, 100, 200).select(F.col("split").alias("dataset"), "query_id", "document_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT * FROM irm")
 def ir_metrics(f):
     return metrics.ir_metrics(metrics.without_self(f.run), f.qrels)

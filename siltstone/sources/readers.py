@@ -18,12 +18,22 @@ def listed(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
-def scan_split(spark: SparkSession, root: str, config: str, split: str) -> DataFrame:
-    """Parquet files `{root}/{config}/{split}-*.parquet` with a split column; an error if there is none."""
+#: Columns that give the order of rows in a split's files.
+FILE_ORDER = ("file", "row")
+
+
+def scan_split(spark: SparkSession, root: str, config: str, split: str, ordered: bool = False) -> DataFrame:
+    """Parquet files `{root}/{config}/{split}-*.parquet` with a split column; an error if there is none.
+
+    ordered: adds FILE_ORDER, the file's name and the row's place in it, by which first and last rows are told.
+    """
     names = [n for n in listed(spark, f"{root}/{config}") if n.startswith(f"{split}-") and n.endswith(".parquet")]
     if not names:
         raise FileNotFoundError(f"no Parquet files for split {split} in {root}/{config}")
-    return spark.read.parquet(*[f"{root}/{config}/{n}" for n in names]).withColumn("split", F.lit(split))
+    rows = spark.read.parquet(*[f"{root}/{config}/{n}" for n in names])
+    if ordered:
+        rows = rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return rows.withColumn("split", F.lit(split))
 
 
 def read_pairs(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:

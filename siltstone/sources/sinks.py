@@ -29,6 +29,45 @@ def write_sources(df: DataFrame, folder: str, source: str = "split") -> None:
         df.where(F.col(source).eqNullSafe(F.lit(r[0]))).drop(source).write.mode("overwrite").json(f"{folder}/train_{r[0]}.jsonl")
 
 
+def _path(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf), p
+
+
+def write_split(df: DataFrame, folder: str, split: str, first: int = 0) -> int:
+    """Files {folder}/{split}-00000.parquet and so on (numbered from `first`), one for each partition of `df` that has rows, in order; gives their number.
+
+    They are written beside and renamed when all are there.
+    """
+    spark = df.sparkSession
+    beside = f"{folder}/_writing-{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    names = [n for n in listed(spark, beside) if n.startswith("part-")]
+    fs, _ = _path(spark, beside)
+    for i, n in enumerate(names):
+        fs.rename(_path(spark, f"{beside}/{n}")[1], _path(spark, f"{folder}/{split}-{first + i:05d}.parquet")[1])
+    fs.delete(_path(spark, beside)[1], True)
+    return len(names)
+
+
+def write_text(spark: SparkSession, path: str, content: str) -> None:
+    """One small file in UTF-8, written over what was there."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that `staged` made and nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, p = _path(df.sparkSession, folder)
+        fs.delete(p, True)
+
+
 def write_lists(queries: DataFrame, documents: DataFrame, train: DataFrame, folder: str) -> None:
     for name, df in (("queries", queries), ("documents", documents), ("train", train)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
