@@ -82,35 +82,66 @@ def beside(own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_place(sizes: np.ndarray):
-    """Chains in order of length, longest first; for each place t the rows of those that have a line t."""
+#: Lines of a chain that are worked off one after the other; longer chains are cut into runs of so many, worked side by side.
+RUN = 512
+
+
+def _by_place(first: np.ndarray, sizes: np.ndarray):
+    """Runs in order of length, longest first; for each place t the lines of those that have a line t, and that order."""
     order = np.argsort(-sizes, kind="stable")
-    first = (np.cumsum(sizes) - sizes)[order]
     alive = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), "right")
-    return [first[:a] + t for t, a in enumerate(alive)]
+    return [first[order[:a]] + t for t, a in enumerate(alive)], order
 
 
 def marginals(score: np.ndarray, move: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward. score: of good against bad for each line; move[a, b]: of a step from a to b.
 
     Gives each line's log-odds of being good, the expected number of each step, and the sum of the chains' log partitions.
+    Chains over RUN lines are cut into runs. What a run makes of each state before it is a 2 x 2 matrix; the matrices of a chain are
+    multiplied from run to run, which gives what enters each run from either side, and then all runs are swept at once.
     """
-    places = _by_place(sizes)
+    onward = lambda x: np.stack([np.logaddexp(x[:, 0] + move[0, b], x[:, 1] + move[1, b]) for b in (0, 1)], 1)
+    backward = lambda y: np.stack([np.logaddexp(y[:, 0] + move[a, 0], y[:, 1] + move[a, 1]) for a in (0, 1)], 1)
+    runs = -(-sizes // RUN)
+    chain = np.repeat(np.arange(len(sizes)), runs)
+    nth = np.arange(len(chain)) - np.repeat(np.cumsum(runs) - runs, runs)
+    first = (np.cumsum(sizes) - sizes)[chain] + nth * RUN
+    length = np.minimum(sizes[chain] - nth * RUN, RUN)
+    places, order = _by_place(first, length)
     node = np.stack((np.zeros_like(score), score), 1)
     fwd, bwd = node.copy(), np.zeros_like(node)
+    if len(chain) > len(sizes):
+        through = []  # from a start, and from either state before the run, to the states of its last line
+        for x in (node[first], node[first] + move[0], node[first] + move[1]):
+            x = x[order]
+            for now in places[1:]:
+                x[: len(now)] = onward(x[: len(now)]) + node[now]
+            through.append(np.empty_like(x))
+            through[-1][order] = x
+        begin, low, high = through
+        at = np.argsort(nth, kind="stable")
+        cut = np.searchsorted(nth[at], np.arange(nth.max() + 2))
+        for i, j in zip(cut[1:-1], cut[2:]):
+            r = at[i:j]
+            before = begin[r - 1]
+            begin[r] = np.stack([np.logaddexp(before[:, 0] + low[r, b], before[:, 1] + high[r, b]) for b in (0, 1)], 1)
+            fwd[first[r]] += onward(before)
+        after = np.zeros_like(begin)
+        for i, j in zip(cut[-2:0:-1], cut[:0:-1]):
+            r = at[i:j]
+            after[r - 1] = np.stack([np.logaddexp(m[r, 0] + after[r, 0], m[r, 1] + after[r, 1]) for m in (low, high)], 1)
+        bwd[first + length - 1] = after
     for before, now in zip(places, places[1:]):
-        x = fwd[before[: len(now)]]
-        fwd[now] += np.stack([np.logaddexp(x[:, 0] + move[0, b], x[:, 1] + move[1, b]) for b in (0, 1)], 1)
-    pairs = np.zeros((2, 2))
+        fwd[now] += onward(fwd[before[: len(now)]])
+    for before, now in zip(places[-2::-1], places[:0:-1]):
+        bwd[before[: len(now)]] = backward(bwd[now] + node[now])
     last = np.cumsum(sizes) - 1
     total = np.logaddexp(fwd[last, 0], fwd[last, 1])
-    of = np.repeat(total, sizes)
-    for before, now in zip(places[-2::-1], places[:0:-1]):
-        row, y = before[: len(now)], bwd[now] + node[now]
-        bwd[row] = np.stack([np.logaddexp(y[:, 0] + move[a, 0], y[:, 1] + move[a, 1]) for a in (0, 1)], 1)
-        for a in (0, 1):
-            for b in (0, 1):
-                pairs[a, b] += np.exp(fwd[row, a] + move[a, b] + y[:, b] - of[row]).sum()
+    inside = np.ones(len(score), bool)
+    inside[last] = False
+    t = np.flatnonzero(inside)
+    of = np.repeat(total, sizes)[t]
+    pairs = np.array([[np.exp(fwd[t, a] + move[a, b] + node[t + 1, b] + bwd[t + 1, b] - of).sum() for b in (0, 1)] for a in (0, 1)])
     both = fwd + bwd
     return both[:, 1] - both[:, 0], pairs, float(total.sum())
 
@@ -129,7 +160,10 @@ def _adam(gradient, x: np.ndarray, rounds: int, rate: float) -> np.ndarray:
 
 
 def relabelled(label: np.ndarray, logit: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Labels of the lines: their document's, but for lines of the other sign, the surest first, up to half of the document's length."""
+    """Labels of the lines: their document's, but for lines of the other sign, the surest first, while at most half of the document's length has turned.
+
+    The first line that would pass the half ends it: what is less sure stays, however short it is. Half itself may turn.
+    """
     doc = np.repeat(np.arange(len(sizes)), sizes)
     agrees = np.where(label[doc] == 1, logit, -logit)
     order = np.lexsort((agrees, doc))

@@ -2,6 +2,8 @@
 
 from itertools import product
 
+import time
+
 import numpy as np
 import pytest
 
@@ -86,9 +88,51 @@ def test_lines_of_both_kinds():
 
 def test_relabelled_keeps_half():
     got = quality.relabelled(np.array([1, 0]), np.array([-3.0, -1.0, 2.0, 4.0, 3.0, -1.0]), np.array([2, 3, 5, 9, 1, 8]), np.array([3, 3]))
-    assert got.tolist() == [0, 0, 1, 0, 1, 0]  # 2 + 3 of 10 may turn; 9 of 18 could, but the surest is 9 itself
+    assert got.tolist() == [0, 0, 1, 1, 0, 0]  # 2 + 3 of 10 turn, and 9 of 18, the surest; then the half is reached
     got = quality.relabelled(np.array([0]), np.array([4.0, 3.0, -1.0]), np.array([10, 1, 8]), np.array([3]))
-    assert got.tolist() == [0, 0, 0]
+    assert got.tolist() == [0, 0, 0]  # the surest would pass the half, and ends it
+
+
+def by_loop(score, move, sizes):
+    """Forward-backward of each chain, line by line."""
+    logit, pairs, total, at = [], np.zeros((2, 2)), 0.0, 0
+    for n in sizes:
+        node = np.stack((np.zeros(n), score[at : at + n]), 1)
+        f, b = [node[0]], [np.zeros(2)]
+        for t in range(1, n):
+            f.append(node[t] + [np.logaddexp(f[-1][0] + move[0, s], f[-1][1] + move[1, s]) for s in (0, 1)])
+        for t in range(n - 2, -1, -1):
+            y = b[0] + node[t + 1]
+            b.insert(0, np.array([np.logaddexp(y[0] + move[a, 0], y[1] + move[a, 1]) for a in (0, 1)]))
+        z = np.logaddexp(*f[-1])
+        for t in range(n - 1):
+            pairs += np.exp(f[t][:, None] + move + node[t + 1] + b[t + 1] - z)
+        logit += [float((x + y)[1] - (x + y)[0]) for x, y in zip(f, b)]
+        total += z
+        at += n
+    return np.array(logit), pairs, total
+
+
+@pytest.mark.parametrize("run", [1, 2, 7, 512])
+def test_long_chains_in_runs(monkeypatch, run):
+    monkeypatch.setattr(quality, "RUN", run)
+    rng = np.random.default_rng(run)
+    sizes = np.array([1, 40, 2, 7, 8, 14, 1, 600 if run > 1 else 30, 15])
+    score, move = rng.normal(size=sizes.sum()) * 3, rng.normal(size=(2, 2)) * 2
+    for got, want in zip(quality.marginals(score, move, sizes), by_loop(score, move, sizes)):
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_a_text_of_200000_lines():
+    rng = np.random.default_rng(1)
+    sizes = np.array([200_000, 3, 5])
+    score = rng.normal(size=sizes.sum())
+    quality.marginals(score, np.eye(2), sizes)
+    began = time.perf_counter()
+    logit, _, _ = quality.marginals(score, np.eye(2), sizes)
+    assert time.perf_counter() - began < 1.5  # 6.5 s line by line
+    tail = quality.marginals(score[199_000:200_000], np.eye(2), np.array([1000]))[0]
+    assert np.allclose(logit[199_500:200_000], tail[500:])
 
 
 def test_edges(spark):
