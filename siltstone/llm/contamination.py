@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowops import hashed_spans, hashed_windows, mixed, placed_words, steps
+from siltstone.llm.arrowops import bounds, hashed_spans, hashed_windows, mixed, placed_words, steps
 from siltstone.llm.common import bounded_batches, fresh, named, table, written
 
 SHINGLE, LEAST, RADIUS, PART = 5, 0.8, 40, 16_000_000
@@ -55,33 +55,70 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 class Index:
-    """Benchmark items by number of words, with block tables over their fingerprints."""
+    """Benchmark items, with block tables over their fingerprints, and for each width of shingle which numbers of words its items have."""
+
+    #: Items whose shingles are held as words; made when a window comes near one.
+    HELD = 1000
 
     def __init__(self, items: list[tuple[object, str | None]], k: int = SHINGLE, least: float = LEAST, radius: int = RADIUS):
         self.k, self.least, self.radius = k, least, radius
         texts = [(t or "").encode().lower() for _, t in items]
         joined, starts, ends, sizes = placed_words(texts)
         hashes, first = hashed_spans(joined, starts, ends), np.cumsum(sizes) - sizes
-        self.items, prints, shingles = [], [], []
+        self.items, prints, shingles = [], [], {}
         for (i, _), text, at, n in zip(items, texts, first.tolist(), sizes.tolist()):
             if n:
                 w = min(k, n)
                 h = hashed_windows(hashes[at : at + n], w)
                 prints.append(simhash128(h, np.array([len(h)]))[0])
-                shingles.append(h)
-                self.items.append((i, n, worded(text.split(), w)))
-        self.prints = np.array(prints, np.uint64).reshape(-1, 2)
-        #: number of words -> (shingle width, distinct shingles of the items of that size, their numbers)
-        self.by_size = {}
-        for n in sorted({n for _, n, _ in self.items}):
-            own = [x for x, (_, m, _) in enumerate(self.items) if m == n]
-            self.by_size[n] = (min(k, n), np.unique(np.concatenate([shingles[x] for x in own])), own)
+                shingles.setdefault(w, []).append((n, h))
+                self.items.append((i, n, text))
+        self.prints, self.counts = np.array(prints, np.uint64).reshape(-1, 2), {}
+        self.own = {}
+        for x, (_, n, _) in enumerate(self.items):
+            self.own.setdefault(n, set()).add(x)
+        #: width -> (a table of the lowest bits, the shingles, where their lengths begin, the lengths): in order of shingle, each length once.
+        self.known = {}
+        for w, found in shingles.items():
+            value = np.concatenate([h for _, h in found])
+            length = np.repeat(np.array([n for n, _ in found]), [len(h) for _, h in found])
+            order = np.lexsort((length, value))
+            value, length = value[order], length[order]
+            new = np.concatenate(([True], (value[1:] != value[:-1]) | (length[1:] != length[:-1])))
+            value, length = value[new], length[new]
+            begin = bounds(value)
+            table = np.zeros(1 << 20, bool)
+            table[value & np.uint64((1 << 20) - 1)] = True
+            self.known[w] = (table, value[begin[:-1]], begin, length)
         self.blocks = []
         for b in range(8):
             value = (self.prints[:, b // 4] >> np.uint64(16 * (b % 4))).astype(np.int64) & 0xFFFF
             order = np.argsort(value, kind="stable")
             self.blocks.append((np.searchsorted(value[order], np.arange(65537)), order))
 
+    def worded(self, item: int) -> Counter:
+        """The item's shingles as words."""
+        if item not in self.counts:
+            if len(self.counts) >= self.HELD:
+                self.counts.clear()
+            _, n, text = self.items[item]
+            self.counts[item] = worded(text.split(), min(self.k, n))
+        return self.counts[item]
+
+    def members(self, shingles: np.ndarray, w: int) -> dict[int, np.ndarray]:
+        """For each number of words the places, ascending, whose shingle some item of so many words has."""
+        table, value, begin, length = self.known[w]
+        at = np.flatnonzero(table[shingles & np.uint64((1 << 20) - 1)])
+        found = np.minimum(np.searchsorted(value, shingles[at]), len(value) - 1)
+        there = value[found] == shingles[at]
+        at, found = at[there], found[there]
+        n = begin[found + 1] - begin[found]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        sizes, at = length[np.repeat(begin[found], n) + place], np.repeat(at, n)
+        order = np.argsort(sizes, kind="stable")
+        cut = bounds(sizes[order])
+        return {int(sizes[order[i]]): at[order[i:j]] for i, j in zip(cut[:-1], cut[1:])}
+
     def within(self, fp: np.ndarray) -> np.ndarray:
         """Numbers of all items within the radius of a fingerprint, by the multi-index: one block is within radius // 8 bits."""
         met = []
@@ -100,19 +137,13 @@ class Index:
         placed = joined, starts, ends, sizes = placed_words([t.lower() for t in texts])
         words, first = hashed_spans(joined, starts, ends), np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        shingles, members, memory = {}, {}, {}
-        for n, (w, known, own) in self.by_size.items():
-            if w not in shingles:
-                shingles[w] = hashed_windows(words, w)
-                every = np.unique(np.concatenate([x for v, x, _ in self.by_size.values() if v == w]))
-                table = np.zeros(1 << 20, bool)
-                table[every & np.uint64((1 << 20) - 1)] = True
-                maybe = np.flatnonzero(table[shingles[w] & np.uint64((1 << 20) - 1)])
-                maybe = maybe[np.isin(shingles[w][maybe], every)]
-                members[w] = maybe[maybe + w <= (first + sizes)[owner[maybe]]]
-            at = members[w][np.isin(shingles[w][members[w]], known)]
+        shingles = {w: hashed_windows(words, w) for w in self.known}
+        memory = {}
+        for w, n, at in [(w, n, at) for w in self.known for n, at in self.members(shingles[w], w).items()]:
+            at = at[at + w <= (first + sizes)[owner[at]]]
             if not len(at):
                 continue
+            own = self.own[n]
             of = owner[at]
             full = sizes[of] >= n
             m = n - w + 1
@@ -132,19 +163,20 @@ class Index:
 
     def _verify(self, out, shingles, begin, counts, own, owner, placed, w, memory) -> None:
         joined, starts, ends, sizes = placed
-        mine, first = set(own), np.cumsum(sizes) - sizes
+        first = np.cumsum(sizes) - sizes
         for i in range(0, len(begin), 256):
             s, c = begin[i : i + 256], counts[i : i + 256]
             runs = [shingles[x : x + n] for x, n in zip(s.tolist(), c.tolist())]
             for x, n, fp in zip(s.tolist(), c.tolist(), simhash128(np.concatenate(runs), c)):
                 key = fp.tobytes()
                 if key not in memory:
-                    memory[key] = [item for item in self.within(fp).tolist() if item in mine]
-                if memory[key]:
+                    memory[key] = self.within(fp).tolist()
+                near = [item for item in memory[key] if item in own]
+                if near:
                     window = worded(joined[starts[x] : ends[x + n + w - 2]].tobytes().split(), w)
                     doc = int(owner[x])
-                    for item in memory[key]:
-                        score, name = similarity(window, self.items[item][2]), self.items[item][0]
+                    for item in near:
+                        score, name = similarity(window, self.worded(item)), self.items[item][0]
                         if score >= self.least and score > out[doc].get(name, (0,))[0]:
                             out[doc][name] = (score, x - int(first[doc]), n + w - 1)
 
@@ -194,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **h
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, part: int = PART, **how) -> DataFrame:
-    """The documents that no item contaminates, all their columns."""
+    """The documents that no item contaminates, all their columns. Null and empty texts and repeated rows stay; without items all do; an empty table gives none."""
     bounded_batches(docs.sparkSession)
     names, t, passed = docs.columns, named(docs, "text"), 0
     for items in _parts(benchmark, part):

@@ -89,3 +89,38 @@ def test_empty(spark, which):
     df, bench = (df.where("false"), bench) if which else (df, bench.where("false"))
     assert contamination.contaminated(df, bench).count() == 0
     assert contamination.decontaminated(df, bench).count() == df.count()
+
+
+def test_a_short_document_meets_items_of_all_lengths(spark):
+    """One window, the whole document, stands against items of several numbers of words."""
+    words = [f"w{i}" for i in range(60)]
+    items = [(n, " ".join(words[:n])) for n in (50, 52, 53, 55, 60)]
+    docs = [(1, " ".join(words[:49])), (2, " ".join(words[:48])), (3, " ".join(words[:60]))]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start, r.n_words) for r in contamination.contaminated(df, bench).collect()}
+    want = {k: (round(v[0], 9), *v[1:]) for k, v in brute(docs, items).items()}
+    assert got == want and len([k for k in want if k[0] == 1]) == 5
+
+
+def test_many_lengths_and_long_texts():
+    """Items of 300 lengths, that share words and passages, in one very long text and in repeated ones."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(40)]
+    items = [(n, " ".join(passage[: n % 40] + [rng.choice(vocabulary) for _ in range(n)])) for n in range(5, 305)]
+    index = contamination.Index(items)
+    assert len(index.own) > 150
+    planted = {20: 17, 4000: 120, 9000: 299}
+    words = [rng.choice(vocabulary) for _ in range(20_000)]
+    for at, i in planted.items():
+        w = items[i - 5][1].split()
+        words[at : at + len(w)] = w
+    text = " ".join(words).encode()
+    got = index.hits([text, b"", text])
+    assert got[0] == got[2] and got[1] == {} and {i: got[0][i][1] for i in planted.values()} == {i: at for at, i in planted.items()}
+    few = random.Random(9).sample(items, 12) + [items[i - 5] for i in planted.values()]
+    part = [(1, " ".join(words[:700])), (2, " ".join(words[8900:9700]))]
+    want = brute(part, few)
+    found = contamination.Index(few).hits([t.encode() for _, t in part])
+    assert {(d + 1, i): (round(s, 9), at, n) for d, hit in enumerate(found) for i, (s, at, n) in hit.items()} == {k: (round(v[0], 9), *v[1:]) for k, v in want.items()} and want
