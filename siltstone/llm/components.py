@@ -42,7 +42,7 @@ def _small(edges: DataFrame, n: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges (a, b; long) -> node, root: the smallest node that each node with an edge reaches. Loops and repeats are ignored."""
+    """edges (a, b; long) -> node, root: the smallest node that each node with an edge reaches. Loops and repeats are ignored. Not done in `rounds`: an error."""
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark, n = None, now.count()
     for _ in range(rounds):
@@ -55,5 +55,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(seen) == mark:
             break
         mark, n = tuple(seen), seen["n"]
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
