@@ -56,19 +56,26 @@ def exactly(df: DataFrame, n: int, by=QUERY) -> DataFrame:
 
 def rescored(rows: DataFrame, q: str, d: str, tokens: int, name: str) -> DataFrame:
     """Pointwise MaxSim of two flat vectors (`tokens` token vectors each) in Arrow batches; replaces q and d by `name`. Null vectors: null."""
+    return rescored_by(rows, q, d, {name: tokens})
+
+
+def rescored_by(rows: DataFrame, q: str, d: str, kinds: dict[str, int]) -> DataFrame:
+    """Several scores of the same two vectors in one pass: a column for each name of `kinds`, with its number of token vectors."""
     kept = [f for f in rows.schema if f.name not in (q, d)]
-    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
+    schema = T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in kinds]])
 
     def run(batches):
         for b in batches:
             there = pc.and_(b.column(q).is_valid(), b.column(d).is_valid())
-            out = np.full(b.num_rows, np.nan)
-            part = b.filter(there)
-            if part.num_rows:
-                x, y = (part.column(c).flatten().to_numpy().reshape(part.num_rows, tokens, -1).astype(np.float64) for c in (q, d))
-                out[there.to_numpy(zero_copy_only=False)] = np.concatenate([np.einsum("naw,nbw->nab", x[i : i + 4096], y[i : i + 4096], optimize=True).max(2).sum(1) for i in range(0, len(x), 4096)])
-            score = pa.array(out, mask=~there.to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], score], [*[f.name for f in kept], name])
+            mask, part, scores = there.to_numpy(zero_copy_only=False), b.filter(there), []
+            flat = [part.column(c).flatten().to_numpy().astype(np.float64) for c in (q, d)]
+            for tokens in kinds.values():
+                out = np.full(b.num_rows, np.nan)
+                if part.num_rows:
+                    x, y = (v.reshape(part.num_rows, tokens, -1) for v in flat)
+                    out[mask] = np.concatenate([np.einsum("naw,nbw->nab", x[i : i + 4096], y[i : i + 4096], optimize=True).max(2).sum(1) for i in range(0, len(x), 4096)])
+                scores.append(pa.array(out, mask=~mask))
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], *scores], [*[f.name for f in kept], *kinds])
 
     return rows.mapInArrow(run, schema)
 

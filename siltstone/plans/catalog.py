@@ -542,12 +542,15 @@ def ablation_pairs(f):
 
 
 def _audited(f):
-    ready = f.documents.where(text.filled(F.col("document"))).select("split", "document_id")
-    scored = f.scored(f.ablation.join(ready, ["split", "document_id"], "left_semi"), fx.TEACHER, "score")
-    keys = ["split", "query_id", "positive_id", "source", "neg_rank", "document_id"]
-    pos = f.ablation.select("split", "query_id", "positive_id").distinct().withColumn("document_id", F.col("positive_id")).join(ready, ["split", "document_id"], "left_semi")
-    pos = f.scored(pos, fx.TEACHER, "positive_score").select("split", "query_id", "positive_id", "positive_score")
-    return audits.mining_audit(f.ablation.join(scored, keys, "left").join(pos, ["split", "query_id", "positive_id"], "left"), 10)
+    """Negatives and positives are scored in one pass; texts that are missing have no score."""
+    pair = ["split", "query_id", "positive_id"]
+    own = f.ablation.select(*pair).distinct().select(*pair, F.lit(None).cast("string").alias("source"), F.lit(0).alias("neg_rank"), F.col("positive_id").alias("document_id"))
+    rows = f.ablation.select(*pair, "source", "neg_rank", "document_id").unionByName(own)
+    q = f.queries.select("split", "query_id", F.col("v").alias("qv"))
+    d = f.documents.select("split", "document_id", F.when(text.filled(F.col("document")), F.col("v")).alias("dv"))
+    x = topk.rescored(rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"], "left"), "qv", "dv", fx.TEACHER[0], "score")
+    x = x.withColumn("positive_score", F.max(F.when(F.col("source").isNull(), F.col("score"))).over(W.partitionBy(*pair)))
+    return audits.mining_audit(x.where("source is not null"), 10)
 
 
 @query("SELECT * FROM audit")
@@ -573,11 +576,13 @@ _OPEN = f"(SELECT *, row_number() OVER (PARTITION BY split, query_id, positive_i
 
 
 def _gated(f, pool):
-    rows = pool.where(F.col("pool_rank") <= fx.NEGATIVES)
-    neg = f.scored(rows.select(*judging.PAIR, "document_id", "pool_rank"), fx.TEACHER, "t")
-    pos = f.scored(rows.select(*judging.PAIR).distinct().withColumn("document_id", F.col("positive_id")), fx.TEACHER, "pos").select(*judging.PAIR, "pos")
-    lists_ = neg.groupBy(*judging.PAIR).agg(F.transform(F.array_sort(F.collect_list(F.struct("pool_rank", "t"))), lambda r: r["t"]).alias("neg"))
-    return audits.gate_audit(lists_.join(pos, list(judging.PAIR)).select("split", "pos", "neg"))
+    """Negatives and positives are scored in one pass, the positive at rank 0."""
+    rows = pool.where(F.col("pool_rank") <= fx.NEGATIVES).select(*judging.PAIR, "document_id", "pool_rank")
+    own = rows.where("pool_rank = 1").withColumn("document_id", F.col("positive_id")).withColumn("pool_rank", F.lit(0))
+    scored = f.scored(rows.unionByName(own), fx.TEACHER, "t")
+    member = F.when(F.col("pool_rank") > 0, F.struct("pool_rank", "t"))
+    lists_ = scored.groupBy(*judging.PAIR).agg(F.max(F.when(F.col("pool_rank") == 0, F.col("t"))).alias("pos"), F.transform(F.array_sort(F.collect_list(member)), lambda r: r["t"]).alias("neg"))
+    return audits.gate_audit(lists_.where("pos is not null and size(neg) > 0").select("split", "pos", "neg"))
 
 
 @query(f"SELECT * FROM {_gate('band')}")

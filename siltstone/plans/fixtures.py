@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import index, judging, labels, lists, mining, mixture
 from siltstone.operators.shards import numbered
-from siltstone.operators.topk import rescored, similarity_topk
+from siltstone.operators.topk import rescored_by, similarity_topk
 from siltstone.sources.sinks import new_folder, staged
 
 #: Parameters of the fixtures; the production defaults stand in the operators.
@@ -85,9 +85,13 @@ class Fixtures:
 
     def scored(self, rows: DataFrame, kind: tuple[int, int], name: str) -> DataFrame:
         """Adds the MaxSim of each row's query and document."""
+        return self.scored_by(rows, {name: kind})
+
+    def scored_by(self, rows: DataFrame, kinds: dict[str, tuple[int, int]]) -> DataFrame:
+        """Adds several MaxSims, by name, of each row's query and document; their vectors are joined once."""
         q = self.queries.select("split", "query_id", F.col("v").alias("qv"))
         d = self.documents.select("split", "document_id", F.col("v").alias("dv"))
-        return rescored(rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"]), "qv", "dv", kind[0], name)
+        return rescored_by(rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"]), "qv", "dv", {name: kind[0] for name, kind in kinds.items()})
 
     @cached_property
     def judge_eligible(self) -> DataFrame:
@@ -146,7 +150,7 @@ class Fixtures:
         """query_id, pos, document_id, teacher, student of each list member."""
         own = self.lists.withColumn("q", F.col("query_id") % 1_000_000_000).withColumn("d", F.col("document_id") % 1_000_000_000)
         rows = own.select("split", F.col("q").alias("query_id"), F.col("d").alias("document_id"), "pos", F.col("query_id").alias("list_id"), F.col("document_id").alias("list_document"))
-        return self.scored(self.scored(rows, TEACHER, "teacher"), MINER, "student").select(F.col("list_id").alias("query_id"), "pos", F.col("list_document").alias("document_id"), "teacher", "student")
+        return self.scored_by(rows, {"teacher": TEACHER, "student": MINER}).select(F.col("list_id").alias("query_id"), "pos", F.col("list_document").alias("document_id"), "teacher", "student")
 
     @cached_property
     def score_rows(self) -> DataFrame:

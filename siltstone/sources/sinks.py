@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -74,10 +75,13 @@ def write_lists(queries: DataFrame, documents: DataFrame, train: DataFrame, fold
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session has none (tests), a temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where the session has none, a temporary one is set in local mode; a cluster must name it."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
