@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.judging import PAIR
@@ -60,3 +63,54 @@ def pivoted(report: DataFrame, by: str, values: list[str], columns: list[str], k
     wide = report.groupBy(key).pivot(by, values).agg(*[F.first(c).alias(c) for c in columns])
     names = [f"{v}_{c}" for v in values for c in columns]
     return wide.select(key, *[F.col(f"`{n if len(columns) > 1 else n.rsplit('_' + columns[0], 1)[0]}`").alias(n) for n in names])
+
+
+# The widths and places of the audits' printed lines.
+MINING_LINE = (("%-10s", "split", None), ("%4s", "n", None), ("%7s%%", "mv_false_negative_rate", 1), ("%10s%%", "dense_false_negative_rate", 1), ("%8s", "mv_mean_negative_score", 3), ("%10s", "dense_mean_negative_score", 3), ("%6s%%", "set_overlap", 1))
+MINING_FORM = "{} {} | {} {} | {} {} | {}"
+GATE_CELL = "%9s%% fn %5s%%@1"
+GATE_NAME, GATE_TOTAL, GATE_WIDTH = "%24s", "WEIGHTED %-24s fn=%s%%  pos@1=%s%%", 24
+
+
+def places(c: Column, n: int) -> Column:
+    """A number with n decimal places, rounded by its exact binary value, halves to even.
+
+    Java rounds the double nearest to half a unit down, whatever its exact value; it is told apart here.
+    """
+    half = 0.5 * 10**-n
+    if Decimal(half) > Decimal(5).scaleb(-n - 1):
+        c = F.when(F.abs(c) == half, F.signum(c) * 2 * half).otherwise(c)
+    return F.call_function("format_number", c, F.lit(f"0.{'0' * n}"))
+
+
+def mining_lines(report: DataFrame) -> DataFrame:
+    """line_no, line: `mining_audit` as it is printed, a line a split in order of name, a rule, and the means weighted by n.
+
+    The means are of the report's rounded values. The report has a row a split; an empty one gives no lines.
+    """
+    named = [c for _, c, _ in MINING_LINE[2:]]
+    total = report.agg(F.sum("n").alias("n"), *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in named]).where("n is not null")
+    rows = report.select("split", "n", *named).withColumn("line_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("split")))
+    last = total.withColumn("split", F.lit("WEIGHTED")).withColumn("line_no", F.lit(2**31 - 1))
+    shares = {c for f, c, p in MINING_LINE if f.endswith("%%")}
+    value = lambda c, p: F.col(c).cast("string") if p is None else places(F.col(c) * 100 if c in shares else F.col(c), p)
+    form = MINING_FORM.format(*[f for f, _, _ in MINING_LINE])
+    lines = rows.unionByName(last).select("line_no", F.format_string(form, *[value(c, p) for _, c, p in MINING_LINE]).alias("line"))
+    rule = total.select(F.lit(2**31 - 2).alias("line_no"), F.lit("-" * 74).alias("line"))
+    return lines.unionByName(rule).select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("line_no")).cast("bigint").alias("line_no"), "line")
+
+
+def gate_lines(report: DataFrame, dirs: list[str]) -> DataFrame:
+    """line_no, line: reports of `gate_audit` with a column `dir`, as they are printed: the directories' names, a line a split with a cell for each directory (blank where it lacks the split), and a weighted line a directory.
+
+    A directory without rows gets no weighted line.
+    """
+    wide = pivoted(report, "dir", dirs, ["fn_rate", "pos_at_1"])
+    cell = lambda d: F.when(F.col(f"{d}_fn_rate").isNotNull(), F.format_string(GATE_CELL, places(F.col(f"{d}_fn_rate") * 100, 1), places(F.col(f"{d}_pos_at_1") * 100, 1))).otherwise(" " * GATE_WIDTH)
+    splits = wide.select(F.lit(1).alias("part"), F.col("split").alias("key"), F.concat(F.format_string("%-10s", "split"), *[cell(d) for d in dirs]).alias("line"))
+    mean = lambda c: places(F.sum(F.col(c) * F.col("rows")) / F.sum("rows") * 100, 1)
+    totals = report.groupBy("dir").agg(mean("fn_rate").alias("fn"), mean("pos_at_1").alias("p"))
+    place = F.format_string("%09d", F.array_position(F.array(*[F.lit(d) for d in dirs]), F.col("dir")))
+    totals = totals.where(F.col("dir").isin(dirs)).select(F.lit(2), place, F.format_string(GATE_TOTAL, "dir", "fn", "p"))
+    head = report.sparkSession.range(1).select(F.lit(0), F.lit(""), F.concat(F.format_string("%-10s", F.lit("split")), *[F.format_string(GATE_NAME, F.lit(d)) for d in dirs]))
+    return splits.union(totals).union(head).select(F.row_number().over(W.partitionBy(F.lit(0)).orderBy("part", "key")).cast("bigint").alias("line_no"), "line")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import text, vectors
-from siltstone.operators import audits, index, judging, labels, lists, losses, metrics, mining, mixture, shards, topk
+from siltstone.operators import audits, index, judging, labels, lists, listwise, losses, metrics, mining, mixture, shards, topk
 from siltstone.plans import fixtures as fx
 from siltstone.plans.fixtures import Fixtures
 from siltstone.sources import npz, readers, restart, sinks
@@ -110,6 +110,9 @@ VIEWS = {
     "ranks": "SELECT split, query_id, document_id, section, row_number() OVER (PARTITION BY split, query_id ORDER BY section DESC, CASE WHEN section = 'gold' THEN rank END, round(judge_score, 9) DESC, document_id) AS pos FROM pool",
     "kd": f"SELECT split, substr(split, 2)::BIGINT * 1000000000 + query_id AS query_id, substr(split, 2)::BIGINT * 1000000000 + document_id AS document_id, pos, section, query_id AS q, document_id AS d, count(*) OVER (PARTITION BY split, query_id) AS n FROM ranks WHERE pos <= {fx.WIDTH} QUALIFY n = {fx.WIDTH}",
     "kdscores": f"SELECT k.query_id, k.pos, k.document_id, {_maxsim('q.v', 'd.v', fx.TEACHER)} AS teacher, {_maxsim('q.v', 'd.v', fx.MINER)} AS student FROM kd k JOIN fq q ON q.split = k.split AND q.query_id = k.q JOIN fd d ON d.split = k.split AND d.document_id = k.d",
+    "kdvec": "SELECT k.query_id, k.pos, k.document_id, q.v AS q, d.v AS d FROM kd k JOIN fq q ON q.split = k.split AND q.query_id = k.q JOIN fd d ON d.split = k.split AND d.document_id = k.d",
+    "kdatt": "SELECT i.query_id, i.pos, i.document_id, (list_dot_product(i.q, i.d) + sum(exp(list_dot_product(i.d, j.d) / 8) * list_dot_product(j.q, j.d)) / sum(exp(list_dot_product(i.d, j.d) / 8))) / 2 AS score FROM kdvec i JOIN kdvec j ON j.query_id = i.query_id AND j.pos <= i.pos GROUP BY i.query_id, i.pos, i.document_id, i.q, i.d",
+    "kdword": "SELECT DISTINCT k.query_id, k.pos, w.t FROM (SELECT k.query_id, k.pos, list_intersect(string_split(q.query, ' ')[:64], string_split(d.document, ' ')[:300]) AS ts FROM kd k JOIN fq q ON q.split = k.split AND q.query_id = k.q JOIN fd d ON d.split = k.split AND d.document_id = k.d) k, unnest(k.ts) w(t) WHERE w.t <> ''",
     "kdscaled": "SELECT *, (teacher - min(teacher) OVER w) / (max(teacher) OVER w - min(teacher) OVER w + 1e-8::DOUBLE) AS t, (student - min(student) OVER w) / (max(student) OVER w - min(student) OVER w + 1e-8::DOUBLE) AS s FROM kdscores WINDOW w AS (PARTITION BY query_id)",
     "kdlog": "SELECT *, t / 0.3::DOUBLE - ln(sum(exp(t / 0.3::DOUBLE)) OVER w) AS lt, s / 0.3::DOUBLE - ln(sum(exp(s / 0.3::DOUBLE)) OVER w) AS ls, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, pos) AS best FROM kdscaled WINDOW w AS (PARTITION BY query_id)",
     "kdloss": "SELECT query_id, sum(exp(lt) * (lt - ls)) AS kl, ln(sum(exp((s - 1) / 0.05::DOUBLE)) FILTER (WHERE best = 1 OR t <= 0.6::DOUBLE)) + 1 / 0.05::DOUBLE - max(s) FILTER (WHERE best = 1) / 0.05::DOUBLE AS nce FROM kdlog GROUP BY query_id",
@@ -432,6 +435,20 @@ def to_json_rows(f):
     return sinks.json_rows(f.pairs, "query_id", "split", "positive_id", "negative_ids")
 
 
+#: A text as a JSON string in ASCII; one letter becomes an emoji, another a backslash, so that there are some.
+_ASCII = "'\"' || array_to_string(list_transform(regexp_extract_all({}, '(?s).'), lambda c: CASE c WHEN '\"' THEN '\\\"' WHEN '\\' THEN '\\\\' WHEN chr(8) THEN '\\b' WHEN chr(9) THEN '\\t' WHEN chr(10) THEN '\\n' WHEN chr(12) THEN '\\f' WHEN chr(13) THEN '\\r' ELSE CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN format('\\u{{:04x}}', unicode(c)) ELSE format('\\u{{:04x}}\\u{{:04x}}', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END END), '') || '\"'"
+_MARKED = ("ns", "😀\\")
+
+
+@query("SELECT '{\"query_id\": ' || p.query_id || ', \"split\": \"' || p.split || '\", \"query\": ' || " + _ASCII.format(f"translate(coalesce(q.query, ''), '{_MARKED[0]}', '{_MARKED[1]}')") + " || ', \"positive_id\": ' || p.positive_id || ', \"negative_ids\": [' || array_to_string(m.ids, ', ') || ']}' AS json FROM minedpairs p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id JOIN (SELECT split, query_id, list(document_id ORDER BY neg_rank) AS ids FROM mined GROUP BY ALL) m ON m.split = p.split AND m.query_id = p.query_id")
+def ascii_json_lines(f):
+    """Pairs written as JSON lines in ASCII, and the lines read back."""
+    path = sinks.new_folder(f.spark, "ascii")
+    rows = f.pairs.withColumn("query", F.translate("query", *_MARKED))
+    sinks.write_ascii_jsonl(rows.select("query_id", "split", "query", "positive_id", "negative_ids"), path)
+    return f.spark.read.text(path).withColumnRenamed("value", "json")
+
+
 # Judging, veto, band
 
 
@@ -605,6 +622,27 @@ def gate_pivot(f):
     return audits.pivoted(both, "dir", ["filtered", "unfiltered"], ["fn_rate", "pos_at_1"])
 
 
+def _share(c: str, width: int) -> str:
+    return f"lpad(printf('%.1f', {c} * 100), {width}, ' ') || '%'"
+
+
+_NAMED = ("mv_false_negative_rate", "dense_false_negative_rate", "mv_mean_negative_score", "dense_mean_negative_score", "set_overlap")
+
+
+@query("SELECT row_number() OVER (ORDER BY part, split) AS line_no, CASE WHEN part = 1 THEN repeat('-', 74) ELSE rpad(split, 10, ' ') || ' ' || lpad(n::VARCHAR, 4, ' ') || ' | ' || " + f"{_share(_NAMED[0], 7)} || ' ' || {_share(_NAMED[1], 10)} || ' | ' || lpad(printf('%.3f', {_NAMED[2]}), 8, ' ') || ' ' || lpad(printf('%.3f', {_NAMED[3]}), 10, ' ') || ' | ' || {_share(_NAMED[4], 6)}" + " END AS line FROM (SELECT 0 AS part, * FROM audit UNION ALL SELECT unnest([1, 2]), 'WEIGHTED', sum(n), " + ", ".join(f"sum({c} * n) / sum(n)" for c in _NAMED) + " FROM audit HAVING count(*) > 0)")
+def audit_lines(f):
+    """The audit of negatives as printed lines."""
+    return audits.mining_lines(sinks.staged(_audited(f), "audited"))
+
+
+@query(f"WITH a AS (SELECT 'filtered' AS dir, * FROM {_gate('band')} WHERE split <> 'c2'), b AS (SELECT 'unfiltered' AS dir, * FROM {_gate(_OPEN)}) SELECT row_number() OVER (ORDER BY part, key) AS line_no, line FROM (SELECT 0 AS part, '' AS key, rpad('split', 10, ' ') || lpad('filtered', 24, ' ') || lpad('unfiltered', 24, ' ') AS line UNION ALL SELECT 1, coalesce(a.split, b.split), rpad(coalesce(a.split, b.split), 10, ' ') || CASE WHEN a.split IS NULL THEN repeat(' ', 24) ELSE {_share('a.fn_rate', 9)} || ' fn ' || {_share('a.pos_at_1', 5)} || '@1' END || CASE WHEN b.split IS NULL THEN repeat(' ', 24) ELSE {_share('b.fn_rate', 9)} || ' fn ' || {_share('b.pos_at_1', 5)} || '@1' END FROM a FULL JOIN b ON a.split = b.split UNION ALL SELECT 2, dir, 'WEIGHTED ' || rpad(dir, 24, ' ') || ' fn=' || printf('%.1f', sum(fn_rate * rows) / sum(rows) * 100) || '%  pos@1=' || printf('%.1f', sum(pos_at_1 * rows) / sum(rows) * 100) || '%' FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY dir)")
+def gate_lines(f):
+    """Both directories' audits as printed lines; the filtered one lacks a split."""
+    open_pool = judging.band_pool(f.judged, fx.NEGATIVES, fx.BAND, unfiltered=True)
+    both = _gated(f, f.band.where("split <> 'c2'")).withColumn("dir", F.lit("filtered")).unionByName(_gated(f, open_pool).withColumn("dir", F.lit("unfiltered")))
+    return audits.gate_lines(sinks.staged(both, "gates"), ["filtered", "unfiltered"])
+
+
 # Distillation lists and losses
 
 
@@ -655,6 +693,44 @@ def teacher_swap(f):
     return swapped.select("query_id", F.posexplode("scores").alias("pos", "score")).select("query_id", (F.col("pos") + 1).alias("pos"), F.round("score", 5).alias("score"))
 
 
+def _list_rows(scored):
+    return scored.select("query_id", F.posexplode(F.arrays_zip("document_ids", "scores")).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("pos"), F.col("x.document_ids").alias("document_id"), F.col("x.scores").cast("double").alias("score"))
+
+
+def _cells(f, column):
+    """Queries and documents in the lists' id space, with `column` of each as cell."""
+    own = lambda df, key, c: df.join(f.split_index, "split").select(shards.namespaced(F.col("split_index"), F.col(key)).alias(key), c.alias("cell"))
+    return own(f.queries, "query_id", column("query")), own(f.documents, "document_id", column("document"))
+
+
+@query("SELECT query_id, pos, document_id, round(score::FLOAT::DOUBLE, 5) AS score FROM kdatt")
+def listwise_scores(f):
+    """Each document is scored with those before it in its list."""
+    scored = listwise.list_scores(lists.packed(f.lists), *_cells(f, lambda side: F.col("v")), listwise.attention, fx.WIDTH)
+    return _list_rows(scored).withColumn("score", F.round("score", 5))
+
+
+@query("SELECT k.query_id, k.pos, k.document_id, count(m.t)::DOUBLE AS score FROM kd k LEFT JOIN (SELECT query_id, t, min(pos) AS pos FROM kdword GROUP BY query_id, t) m ON m.query_id = k.query_id AND m.pos = k.pos GROUP BY ALL")
+def listwise_texts(f):
+    """A list scorer over cut texts: tokens of the query that no earlier document of the list holds."""
+    most = {"query": listwise.QUERY_TOKENS, "document": listwise.DOCUMENT_TOKENS}
+    cells = _cells(f, lambda side: F.coalesce(text.truncated_tokens(F.col(side), most[side]), F.lit("")))
+    return _list_rows(listwise.list_scores(lists.packed(f.lists), *cells, listwise.newly_covered, fx.WIDTH))
+
+
+@query("SELECT query_id, pos, round(score::FLOAT::DOUBLE, 5) AS score FROM kdatt")
+def listwise_restart(f):
+    """Lists scored in three shards, each written once; a run begun again takes the finished ones. The scores then replace the lists' placeholders."""
+    packed, cells = lists.packed(f.lists), _cells(f, lambda side: F.col("v"))
+    dealt = sinks.staged(shards.proportional(packed.select("query_id", "document_ids"), "query_id", 3, by=()), "dealt")
+    path = sinks.new_folder(f.spark, "listwise")
+    score = lambda split, shard: listwise.list_scores(dealt.where(F.col("shard") == shard), *cells, listwise.attention, fx.WIDTH)
+    restart.run_parts(f.spark, path, [("train", 0), ("train", 2)], score)
+    restart.run_parts(f.spark, path, [("train", i) for i in range(3)], score)
+    swapped = lists.swapped_teacher(packed, readers.read_parts(f.spark, path, "train", "query_id bigint, scores array<float>, split string, shard int").select("query_id", "scores", "shard"))
+    return swapped.select("query_id", F.posexplode("scores").alias("pos", "score")).select("query_id", (F.col("pos") + 1).alias("pos"), F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
 @query("SELECT query_id, pos, round(t, 6) AS scaled FROM kdscaled")
 def row_minmax(f):
     return f.score_rows.select("query_id", F.posexplode(vectors.minmax(F.col("teacher"))).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("pos"), F.round("x", 6).alias("scaled"))

@@ -51,9 +51,12 @@ def read_jsonl(spark: SparkSession, path: str, ddl: str | None = None) -> DataFr
     return (spark.read.schema(ddl) if ddl else spark.read).json(path)
 
 
-def read_parts(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Candidate or judge parts, a table partitioned by (split, shard): only the split's files are listed and read."""
-    parts = spark.read.parquet(path)
+def read_parts(spark: SparkSession, path: str, split: str | None = None, ddl: str | None = None) -> DataFrame:
+    """Candidate or judge parts, a table partitioned by (split, shard): only the split's files are listed and read.
+
+    A table all of whose shards are empty can be read with a schema only.
+    """
+    parts = (spark.read.schema(ddl) if ddl else spark.read).parquet(path)
     return parts if split is None else parts.where(F.col("split") == split)
 
 

@@ -6,8 +6,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.sources.readers import listed
 
@@ -102,3 +103,52 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def json_rows(df: DataFrame, *columns: str):
     """One JSON object a row."""
     return df.select(F.to_json(F.struct(*columns)).alias("json"))
+
+
+# The escapes of JSON that have a letter.
+ESCAPES = {r"\u0008": r"\b", r"\u0009": r"\t", r"\u000a": r"\n", r"\u000c": r"\f", r"\u000d": r"\r"}
+
+
+def ascii_string(text: Column) -> Column:
+    """A text as a JSON string in ASCII: all but printable ASCII as UTF-16 units in lower-case hexadecimals, or by letter."""
+
+    def run(r: Column) -> Column:
+        units = F.regexp_replace(F.lower(F.hex(F.encode(r, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        for unit, letter in ESCAPES.items():
+            units = F.replace(units, F.lit(unit), F.lit(letter))
+        return F.when(r.rlike("^[ -~]"), F.regexp_replace(r, r'([\\"])', r"\\$1")).otherwise(units)
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]+"), 0), run), ""), F.lit('"'))
+
+
+def _ascii_value(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        value = ascii_string(c)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        value = c.cast("string")
+    elif isinstance(kind, T.ArrayType):
+        value = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _ascii_value(x, kind.elementType)), ", "), F.lit("]"))
+    else:
+        raise TypeError(f"no ASCII JSON for {kind.simpleString()}")
+    return F.coalesce(value, F.lit("null"))
+
+
+def ascii_json_rows(df: DataFrame, *columns: str, skip_null: bool = False) -> DataFrame:
+    """One JSON object a row in ASCII, with a space after each comma and colon, fields in order of `columns` (all, if none is named).
+
+    Texts, integers, booleans and lists of them. Nulls are written; with `skip_null` such fields are left out.
+    """
+    fields = []
+    for n in columns or df.columns:
+        c = F.col(f"`{n}`")
+        field = F.concat(ascii_string(F.lit(n)), F.lit(": "), _ascii_value(c, df.schema[n].dataType))
+        fields.append(F.when(c.isNotNull(), field) if skip_null else field)
+    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("json"))
+
+
+def write_ascii_jsonl(df: DataFrame, path: str, again: bool = False, skip_null: bool = False) -> bool:
+    """JSON lines in ASCII, as `ascii_json_rows` makes them."""
+    if done(df.sparkSession, path) and not again:
+        return False
+    ascii_json_rows(df, skip_null=skip_null).write.mode("overwrite").text(path)
+    return True
