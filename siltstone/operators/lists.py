@@ -13,11 +13,11 @@ from siltstone.operators.topk import QUERY
 def candidate_lists(pool: DataFrame, split_index: DataFrame, width: int = 32, cap: int = 0) -> DataFrame:
     """judged pool -> split, query_id, document_id (both in one id space), pos (1 .. width), section; lists short of `width` go whole.
 
-    Golds in stored order, then candidates by judge score, non-finite last; no veto. cap: at most so many queries of a split.
+    Golds in stored order, then candidates by judge score; rows without a finite score go, and there is no veto. cap: at most so many queries of a split.
     """
     s = F.col("judge_score")
     finite = F.when(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < F.lit(float("inf"))), s).otherwise(F.lit(float("-inf")))
-    x = pool.withColumn("s", F.round(finite, 9)).where("section = 'cand' or s > double('-infinity')")
+    x = pool.withColumn("s", F.round(finite, 9)).where("s > double('-infinity')")
     x = x.withColumn("seen", F.row_number().over(W.partitionBy(*QUERY, "document_id").orderBy(F.col("section").desc(), "rank"))).where("seen = 1")
     order = [F.col("section").desc(), F.when(F.col("section") == "gold", F.col("rank")), F.col("s").desc(), F.col("document_id")]
     x = x.withColumn("pos", F.row_number().over(W.partitionBy(*QUERY).orderBy(*order))).where(F.col("pos") <= width)

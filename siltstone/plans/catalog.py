@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone import schema, stages
 from siltstone.functions import text, vectors
 from siltstone.operators import audits, index, judging, labels, lists, listwise, losses, metrics, mining, mixture, shards, topk
 from siltstone.plans import fixtures as fx
@@ -298,6 +299,24 @@ def eval_load(f):
     return out.union(q.groupBy(split("query_id").alias("d")).agg(n).select("d", F.lit("queries"), "n", F.lit(0).cast("bigint")))
 
 
+@query("SELECT r.query_id, r.doc_id, r.rel, length(coalesce(q.text, '')) AS query, length(coalesce(d.text, '')) AS document FROM qrels r JOIN vec q ON q.vec_id::VARCHAR = r.query_id JOIN vec d ON d.vec_id::VARCHAR = r.doc_id")
+def eval_files(f):
+    """The last snapshot of a dataset in files: the corpus as Parquet, queries as JSON lines, judgements as shards of two splits."""
+    root = sinks.new_folder(f.spark, "eval")
+    old, new = f"{root}/beir/snapshots/a1", f"{root}/beir/snapshots/b2"
+    corpus = f.vec.select(F.col("vec_id").cast("string").alias("_id"), F.lit("").alias("title"), "text")
+    corpus.where("vec_id < 0").write.parquet(f"{old}/corpus.parquet")
+    corpus.write.parquet(f"{new}/corpus.parquet")
+    f.vec.select(F.col("vec_id").cast("string").alias("id"), "text").write.json(f"{new}/queries.jsonl")
+    rels = f.qrels.select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("rel").alias("score"))
+    sinks.write_split(rels, f"{new}/qrels", "test")
+    sinks.write_split(rels.withColumn("score", F.lit(9)), f"{new}/qrels", "dev")
+    at = readers.latest_snapshot(f.spark, root, "beir")
+    c, q, r = readers.load_dataset(*[readers.read_kind(f.spark, at, kind, readers.official_split("nfcorpus")) for kind in ("corpus", "queries", "qrels")])
+    x = r.join(q.select("query_id", F.length("text").alias("query")), "query_id").join(c.select("doc_id", F.length("text").alias("document")), "doc_id")
+    return x.select("query_id", "doc_id", "rel", "query", "document")
+
+
 # Top-k
 
 
@@ -403,8 +422,6 @@ def pairs(f):
 @query("SELECT split, query_id, positive_id FROM minedpairs WHERE split IN ('c0', 'c2')")
 def scan_pairs(f):
     """Pairs as JSON lines and back, for two splits."""
-    from siltstone import schema
-
     lines = sinks.json_rows(f.pairs, "query_id", "split", "query", "positive_id", "negative_ids")
     return lines.select(F.from_json("json", schema.PAIRS).alias("r")).select("r.*").where(F.col("split").isin("c0", "c2")).select("split", "query_id", "positive_id")
 
@@ -420,8 +437,6 @@ def pairs_stats(f):
 @query(f"SELECT s.*, t.rows FROM ({_PAIR_STATS}) s JOIN (SELECT split, count(*) AS rows FROM minedpairs GROUP BY split) t ON t.split = s.split")
 def pairs_written(f):
     """Pairs written as JSON lines, with the counts observed on the way in a file beside them; both are read back."""
-    from siltstone import schema
-
     path = sinks.new_folder(f.spark, "pairs")
     mining.write_pairs(f.candidates, f.positives, f.queries, path, [r.split for r in f.splits.collect()], fx.SKIP, fx.TOP_K)
     names = ["pairs_written", "queries", "multi_positive_queries", "pairs_dropped_short_of_k", "queries_without_candidates"]
@@ -777,6 +792,62 @@ def bica_rows(f):
     return mixture.upsampled_triples(vetoed, mixture.triple_target(vetoed), fx.NEGATIVES, fx.SEED)
 
 
+# The stages as commands, over files
+
+
+def _staged(f, stage: str, out: str, *options: str) -> str:
+    """Runs a stage over the fixtures' files; gives the folder it wrote."""
+    path = f"{sinks.new_folder(f.spark, stage)}/{out}"
+    splits = ",".join(sorted(r.split for r in f.splits.collect()))
+    stages.run(f.spark, [stage, "--splits", splits, *[o.format(root=f.files, out=path) for o in options]])
+    return path
+
+
+@query("SELECT p.split, p.query_id, p.positive_id, coalesce(q.query, '') AS query, m.ids AS negatives FROM minedpairs p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id JOIN (SELECT split, query_id, string_agg(document_id::VARCHAR, ',' ORDER BY neg_rank) AS ids FROM mined GROUP BY ALL) m ON m.split = p.split AND m.query_id = p.query_id")
+def stage_merge_pairs(f):
+    path = _staged(f, "merge-pairs", "pairs.jsonl", "--data-root", "{root}", "--work-dir", "{root}", "--out", "{out}")
+    return readers.read_pairs(f.spark, path).select("split", "query_id", "positive_id", "query", F.array_join("negative_ids", ",").alias("negatives"))
+
+
+@query("SELECT split, query_id, positive_id, string_agg(document_id::VARCHAR || source, ',' ORDER BY source DESC, neg_rank) AS negatives FROM arms GROUP BY ALL")
+def stage_merge_ablation(f):
+    path = _staged(f, "merge-ablation", "pairs.jsonl", "--data-root", "{root}", "--maxsim-parts", "{root}/parts", "--dense-parts", "{root}/dense", "--out", "{out}", "--top-k", "10")
+    rows = readers.read_jsonl(f.spark, path, schema.ABLATION)
+    return rows.select("split", "query_id", "positive_id", F.array_join(F.zip_with("negative_ids", "negative_sources", lambda d, s: F.concat(d.cast("string"), s)), ",").alias("negatives"))
+
+
+@query(f"SELECT s.split AS source, md5(coalesce(any_value(q.query), '')) AS query, length(any_value(p.document)) AS positive, " + ", ".join(f"length(max(d.document) FILTER (WHERE slot = {i + 1})) AS negative_{i + 1}" for i in range(fx.NEGATIVES)) + f" FROM sft s JOIN fq q ON q.split = s.split AND q.query_id = s.query_id JOIN fd p ON p.split = s.split AND p.document_id = s.positive_id AND p.document <> '' JOIN fd d ON d.split = s.split AND d.document_id = s.document_id AND d.document <> '' GROUP BY s.split, s.query_id, s.positive_id, s.copy_no HAVING count(*) = {fx.NEGATIVES}")
+def stage_prepare_judged(f):
+    """The rows of all train_{split}.jsonl, texts by their lengths."""
+    pairs = sinks.new_folder(f.spark, "pairs")
+    sinks.write_jsonl(f.pairs, pairs)
+    path = _staged(f, "prepare-judged", "train", "--data-root", "{root}", "--pairs", pairs, "--judge-dir", "{root}/pool", "--out-dir", "{out}", "--budget", str(fx.BUDGET))
+    rows = readers.read_training(f.spark, path)
+    return rows.select("source", F.md5("query").alias("query"), *[F.length(c).cast("bigint").alias(c) for c in ["positive", *readers.negatives(rows)]])
+
+
+def _mixture_files(f) -> str:
+    return _staged(f, "build-kd-mixture", "lists", "--data-root", "{root}", "--pool-dir", "{root}/pool", "--out", "{out}")
+
+
+@query("SELECT k.query_id, md5(q.query) AS query, k.pos, k.document_id, length(d.document) AS n_chars FROM kd k JOIN fd d ON d.split = k.split AND d.document_id = k.d JOIN fq q ON q.split = k.split AND q.query_id = k.q")
+def stage_kd_mixture(f):
+    """The three tables of the lists, joined again."""
+    t = readers.read_lists(f.spark, _mixture_files(f))
+    rows = t["train"].select("query_id", F.posexplode("document_ids").alias("pos", "document_id")).withColumn("pos", F.col("pos") + 1)
+    rows = rows.join(t["queries"].withColumnRenamed("text", "query"), "query_id").join(t["documents"], "document_id")
+    return rows.select("query_id", F.md5("query").alias("query"), "pos", "document_id", F.length("text").alias("n_chars"))
+
+
+@query("SELECT k.query_id, k.pos, k.document_id, count(m.t)::DOUBLE AS score FROM kd k LEFT JOIN (SELECT query_id, t, min(pos) AS pos FROM kdword GROUP BY query_id, t) m ON m.query_id = k.query_id AND m.pos = k.pos GROUP BY ALL")
+def stage_score_lists(f):
+    """Both shards of the lists' files, one run after the other."""
+    data, out = _mixture_files(f), sinks.new_folder(f.spark, "scores")
+    for shard in ("0", "1"):
+        stages.run(f.spark, ["score-lists", "--dataset-dir", data, "--out-dir", out, "--shard", shard, "--n-shards", "2", "--kernel", "siltstone.operators.listwise:newly_covered"])
+    return _list_rows(readers.read_parts(f.spark, out, "train", "query_id bigint, document_ids array<bigint>, scores array<float>, split string, shard int"))
+
+
 # Evaluation
 
 

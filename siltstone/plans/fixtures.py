@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from siltstone.operators import index, judging, labels, lists, mining, mixture
 from siltstone.operators.shards import numbered
 from siltstone.operators.topk import rescored_by, similarity_topk
-from siltstone.sources.sinks import new_folder, staged
+from siltstone.sources import npz, restart
+from siltstone.sources.sinks import new_folder, staged, write_split
 
 #: Parameters of the fixtures; the production defaults stand in the operators.
 GOLD_CAP, TOP_N, LEAST, NEGATIVES, BAND, BUDGET, SEED, SKIP, TOP_K, WIDTH, DEPTH = 12, 64, 5, 7, 0.97, 1000, 42, 5, 50, 32, 2048
@@ -83,6 +84,22 @@ class Fixtures:
     def dense(self) -> DataFrame:
         return self.search(DENSE)
 
+    @cached_property
+    def files(self) -> str:
+        """A folder of the stages' input files: queries, documents and labels by split, candidate parts of two retrievers, the judged pool by shard."""
+        root = new_folder(self.spark, "files")
+        order = {"queries": ["query_id"], "documents": ["document_id"], "scores": ["query_id", F.get("document_ids", F.lit(0))]}
+        tables = {"queries": self.queries.select("split", "query_id", "query"), "documents": self.documents.select("split", "document_id", "document"), "scores": self.positives.select("split", "query_id", F.array("document_id").alias("document_ids"))}
+        for name, df in tables.items():
+            df = staged(df.orderBy("split", *order[name]), name)
+            for r in self.splits.collect():
+                write_split(df.where(F.col("split") == r.split).drop("split").orderBy(*order[name]), f"{root}/{name}", r.split)
+        npz.write_padded(self.candidates.withColumn("shard", F.col("document_id") % 2), f"{root}/parts")
+        npz.write_padded(self.dense.withColumn("shard", F.col("document_id") % 3), f"{root}/dense")
+        pool = self.pool.select("split", F.expr("int((query_id div 10) % 2)").alias("shard"), "query_id", "section", "document_id", F.col("rank").cast("bigint").alias("rank"), "judge_score")
+        restart.write_parts(pool, f"{root}/pool")
+        return root
+
     def scored(self, rows: DataFrame, kind: tuple[int, int], name: str) -> DataFrame:
         """Adds the MaxSim of each row's query and document."""
         return self.scored_by(rows, {name: kind})

@@ -188,7 +188,7 @@ def test_triples(spark):
 
 
 def test_lists(spark):
-    pool = spark.createDataFrame([("a", 1, "gold", 5, 2, 0.1), ("a", 1, "gold", 6, 1, float("nan")), ("a", 1, "gold", 7, 3, 0.9)] + [("a", 1, "cand", 10 + d, d, d / 10) for d in range(4)] + [("a", 2, "cand", 1, 1, 0.1)], "split string, query_id long, section string, document_id long, rank int, judge_score double")
+    pool = spark.createDataFrame([("a", 1, "gold", 5, 2, 0.1), ("a", 1, "gold", 6, 1, float("nan")), ("a", 1, "gold", 7, 3, 0.9)] + [("a", 1, "cand", 10 + d, d, d / 10) for d in range(4)] + [("a", 1, "cand", 20, 9, float("inf")), ("a", 1, "cand", 21, 9, None), ("a", 1, "cand", 22, 9, float("nan"))] + [("a", 2, "cand", 1, 1, 0.1)], "split string, query_id long, section string, document_id long, rank int, judge_score double")
     index = spark.createDataFrame([("a", 3)], "split string, split_index long")
     got = lists.candidate_lists(pool, index, 5)
     base = 3 * shards.NAMESPACE
