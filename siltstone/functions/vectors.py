@@ -35,9 +35,17 @@ def unmasked(tokens: Column, mask: Column) -> Column:
     return F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m, t)), lambda t: t.isNotNull())
 
 
-def masked_maxsim(q: Column, d: Column, q_mask: Column, d_mask: Column, mean: bool = False) -> Column:
-    """MaxSim (or its mean over the query's unmasked tokens) of unmasked tokens only; 0 where either side has none."""
-    return (meanmaxsim if mean else maxsim)(unmasked(q, q_mask), unmasked(d, d_mask))
+def skiplist_mask(tokens: Column, skip: list, attention: Column | None = None) -> Column:
+    """True for each token that is not in the skip list and, with `attention` (1 or 0 a token), no padding; a null token is false."""
+    kept = lambda t: t.isNotNull() & (~F.coalesce(t.isin(skip), F.lit(False)) if skip else F.lit(True))
+    if attention is None:
+        return F.transform(tokens, kept)
+    return F.zip_with(tokens, attention, lambda t, a: kept(t) & F.coalesce(a.cast("boolean"), F.lit(False)))
+
+
+def masked_maxsim(q: Column, d: Column, q_mask: Column | None, d_mask: Column, mean: bool = False) -> Column:
+    """MaxSim (or its mean over the query's unmasked tokens) of unmasked tokens only; 0 where either side has none. Without a query mask, as with query expansion, all its tokens count."""
+    return (meanmaxsim if mean else maxsim)(q if q_mask is None else unmasked(q, q_mask), unmasked(d, d_mask))
 
 
 def l2_normalized(v: Column) -> Column:

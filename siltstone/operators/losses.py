@@ -38,11 +38,11 @@ def quantile(xs: Column, p: float) -> Column:
     return a + (b - a) * (place - low)
 
 
-def mixed_loss(rows: DataFrame, teacher: str = "teacher", student: str = "student", *, tau_teacher=0.3, tau_student=0.3, w_kl=1.0, w_nce=0.1, tau_nce=0.05, threshold=0.6, normalize=True, clip_pct=0.0) -> DataFrame:
-    """One row: n, kl, nce, loss; means over the rows as one batch. Both lists are min-max scaled first, the teacher's after a cut at its quantiles clip_pct and 1 - clip_pct."""
+def mixed_loss(rows: DataFrame, teacher: str = "teacher", student: str = "student", *, tau_teacher=0.3, tau_student=0.3, w_kl=1.0, w_nce=0.1, tau_nce=0.05, threshold=0.6, normalize=True, clip_pct=0.0, size_average=True) -> DataFrame:
+    """One row: n, kl, nce, loss; means over the rows as one batch. Both lists are min-max scaled first, the teacher's after a cut at its quantiles clip_pct and 1 - clip_pct. Without size_average kl is the sum over the rows; nce stays a mean."""
     told = F.col(teacher)
     if clip_pct > 0:
         told = clipped(told, quantile(told, clip_pct), quantile(told, 1 - clip_pct))
     t, s = minmax(told), minmax(F.col(student)) if normalize else F.col(student)
     x = rows.select(t.alias("t"), s.alias("s")).select(kl(F.col("t"), F.col("s"), tau_teacher, tau_student).alias("kl"), nce(F.col("t"), F.col("s"), tau_nce, threshold).alias("nce"))
-    return x.agg(F.count("*").alias("n"), F.avg("kl").alias("kl"), F.avg("nce").alias("nce")).withColumn("loss", F.lit(float(w_kl)) * F.col("kl") + F.lit(float(w_nce)) * F.col("nce"))
+    return x.agg(F.count("*").alias("n"), (F.avg if size_average else F.sum)("kl").alias("kl"), F.avg("nce").alias("nce")).withColumn("loss", F.lit(float(w_kl)) * F.col("kl") + F.lit(float(w_nce)) * F.col("nce"))

@@ -376,6 +376,21 @@ def meanmaxsim_masked(f):
     return x.select("split", "query_id", "document_id", F.round(s, 6).alias("score"))
 
 
+#: Words of a skip list.
+_SKIP = ["de", "the", "and", "la", "die", "der", "of", "le"]
+
+
+@query(f"SELECT c.split, c.query_id, c.document_id, round(list_sum(list_transform(range(0, 4), lambda i: coalesce(list_max(list_transform(list_filter(range(0, 4), lambda m: d.w[m+1] IS NOT NULL AND NOT list_contains({_SKIP}, d.w[m+1])), lambda j: list_dot_product(q.v[i*16+1:i*16+16], d.v[j*16+1:j*16+16]))), 0))) / 4, 6) AS score FROM cand c JOIN fq q ON q.split = c.split AND q.query_id = c.query_id JOIN (SELECT *, CASE WHEN document IS NOT NULL THEN string_split(document, ' ')[1:4] ELSE [] END AS w FROM fd) d ON d.split = c.split AND d.document_id = c.document_id WHERE c.rank <= 10")
+def meanmaxsim_skiplist(f):
+    """A document's first four words name its token vectors: those in a skip list and those that are missing are masked. Queries are expanded, so all their tokens count."""
+    n = fx.MINER[0]
+    q, d = f.queries.select("split", "query_id", F.col("v").alias("qv")), f.documents.select("split", "document_id", F.col("v").alias("dv"), F.split("document", " ").alias("w"))
+    x = f.candidates.where("rank <= 10").join(q, ["split", "query_id"]).join(d, ["split", "document_id"])
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(F.col("w"), i))
+    x = x.select("split", "query_id", "document_id", vectors.chunks(F.col("qv"), *fx.MINER).alias("q"), vectors.chunks(F.col("dv"), *fx.MINER).alias("d"), vectors.skiplist_mask(words, _SKIP).alias("mask"))
+    return x.select("split", "query_id", "document_id", F.round(vectors.masked_maxsim(F.col("q"), F.col("d"), None, F.col("mask"), mean=True), 6).alias("score"))
+
+
 def _parts(f):
     """Candidates of two overlapping shards: even and odd places, and the first ten in both."""
     s = f.candidates.select("split", "query_id", "document_id", "score", "rank")
@@ -773,6 +788,12 @@ def kd_mixed_loss(f):
     return losses.mixed_loss(f.score_rows).select("n", *[F.round(c, 6).alias(c) for c in ("kl", "nce", "loss")])
 
 
+@query("SELECT count(*) AS n, round(sum(kl), 6) AS kl, round(avg(nce), 6) AS nce, round(sum(kl) + 0.1::DOUBLE * avg(nce), 6) AS loss FROM kdloss HAVING count(*) > 0")
+def kd_summed_loss(f):
+    """The divergences summed up, not averaged."""
+    return losses.mixed_loss(f.score_rows, size_average=False).where("n > 0").select("n", *[F.round(c, 6).alias(c) for c in ("kl", "nce", "loss")])
+
+
 # Third-party triples
 
 

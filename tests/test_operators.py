@@ -216,6 +216,8 @@ def test_losses(spark):
     cut = np.clip(t, np.quantile(t, 0.1, axis=1, keepdims=True), np.quantile(t, 0.9, axis=1, keepdims=True))
     by_hand = spark.createDataFrame([(cut[i].tolist(), s[i].tolist()) for i in range(6)], "teacher array<double>, student array<double>")
     assert losses.mixed_loss(df, clip_pct=0.1).first().loss == pytest.approx(losses.mixed_loss(by_hand).first().loss) != got.loss
+    summed = losses.mixed_loss(df, size_average=False).first()
+    assert (summed.kl, summed.nce) == (pytest.approx(got.kl * got.n), pytest.approx(got.nce))
     same = losses.mixed_loss(df.withColumn("student", F.col("teacher")), w_nce=0.0).first()
     assert same.loss == pytest.approx(0, abs=1e-12)
     q = losses.row_quantiles(df, "id", "teacher", 0.1).orderBy("id").collect()
@@ -349,3 +351,14 @@ def test_held_merges_blocks():
     for r in range(4):
         want = sorted((-round(s, 9), j) for j, s in enumerate(all_[r]))[:9]
         assert doc[row == r].tolist() == [j for _, j in want] and score[row == r].tolist() == [-s for s, _ in want]
+
+
+def test_masks_of_a_skip_list(spark):
+    df = spark.createDataFrame([([5, 7, None, 9], [1, 1, 1, 0]), ([7, 5], [1]), ([], []), (None, None)], "ids array<int>, attention array<int>")
+    mask = lambda *a: [r[0] for r in df.select(vectors.skiplist_mask(F.col("ids"), *a)).collect()]
+    assert mask([7]) == [[True, False, False, True], [False, True], [], None]
+    assert mask([7], F.col("attention")) == [[True, False, False, False], [False, False], [], None]
+    assert mask([]) == [[True, True, False, True], [True, True], [], None]
+    two = spark.createDataFrame([([[1.0, 0.0], [0.0, 2.0]], [[3.0, 1.0], [4.0, 4.0]])], "q array<array<double>>, d array<array<double>>")
+    score = lambda qm: two.select(vectors.masked_maxsim(F.col("q"), F.col("d"), qm, F.array(F.lit(True), F.lit(False)))).first()[0]
+    assert score(None) == 5.0 and score(F.array(F.lit(True), F.lit(False))) == 3.0
