@@ -23,3 +23,16 @@ def test_shards_go_in_passes(spark, monkeypatch):
     rows = lambda *a, **k: sorted((r.split, r.query_id, r["rank"], r.document_id) for r in metrics.sharded_run(queries, corpus, 5, *a, **k).collect())
     whole = rows(10)
     assert len(calls) == 1 and rows(10, pass_bytes=10 * 64) == whole and len(calls) == 7
+
+
+def test_files_of_pairs_are_compressed(spark, tmp_path):
+    """A query's text stands in the file once for each of its positives."""
+    text = "".join(map(chr, np.random.default_rng(7).integers(97, 122, 3000)))
+    cand = spark.createDataFrame([("a", 0, 1, d, 1 - d / 100) for d in range(20)], schema.CANDIDATES)
+    pos = spark.createDataFrame([("a", 1, 100 + p, p) for p in range(200)], "split string, query_id long, document_id long, label_pos int")
+    meta = mining.write_pairs(cand, pos, spark.createDataFrame([("a", 1, text)], schema.QUERIES), f"{tmp_path}/pairs", ["a"], 2, 5)
+    size = lambda at: sum(os.path.getsize(f"{at}/{n}") for n in os.listdir(at) if n.startswith("part-"))
+    rows = readers.read_pairs(spark, f"{tmp_path}/pairs")
+    assert meta["total_pairs"] == 200 and {r.query for r in rows.collect()} == {text} and size(f"{tmp_path}/pairs") < 200 * len(text) / 10
+    sinks.write_ascii_jsonl(rows, f"{tmp_path}/ascii", compression="gzip")
+    assert spark.read.text(f"{tmp_path}/ascii").count() == 200 and size(f"{tmp_path}/ascii") < 200 * len(text) / 10
