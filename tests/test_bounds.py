@@ -15,6 +15,34 @@ def vectors(spark, n, key, seed):
     return spark.createDataFrame([("ab"[i % 2], i, v.tolist()) for i, v in enumerate(x)], f"split string, {key} bigint, v array<double>")
 
 
+def test_products_are_bounded(monkeypatch):
+    monkeypatch.setattr(topk, "PRODUCT", 4000)
+    q, d = np.random.default_rng(1).normal(size=(50, 8)), np.random.default_rng(2).normal(size=(100, 8))
+    parts = list(topk._scored(q, d, 2))
+    assert len(parts) == 5 and max(s.size for _, s in parts) * 4 <= 4000
+    assert np.allclose(np.concatenate([s for _, s in parts]), topk._maxsims(q, d, 2))
+
+
+def test_query_blocks_are_as_large_as_what_is_held_allows(spark, monkeypatch):
+    q, d = vectors(spark, 40, "query_id", 1), vectors(spark, 300, "document_id", 2)
+    rows = lambda: sorted((r.split, r.query_id, r["rank"], r.document_id, round(r.score, 9)) for r in topk.similarity_topk(q, d, 9, 2).collect())
+    whole, sizes, plain = rows(), [], topk.packed
+    monkeypatch.setattr(topk, "packed", lambda df, id_, prefix, n: sizes.append((prefix, n)) or plain(df, id_, prefix, n))
+    monkeypatch.setattr(topk, "HELD", 9 * 4 * topk.HELD_BYTES)
+    assert rows() == whole and sizes == [("q", 4), ("d", topk.DOC_BLOCK)]
+
+
+@pytest.mark.parametrize("most", [10**9, 100])
+def test_scores_of_pairs(spark, most):
+    q, d = vectors(spark, 30, "query_id", 3), vectors(spark, 50, "document_id", 4)
+    pairs = q.select("split", "query_id").join(d.select("split", "document_id"), "split").where("(query_id + document_id) % 3 > 0")
+    none = spark.createDataFrame([("a", 99, 2), ("a", 2, 99), ("c", 2, 2)], "split string, query_id bigint, document_id bigint")
+    got = topk.pair_scores(pairs.union(none), q, d, 2, "s", most)
+    want = topk.rescored(pairs.join(q.withColumnRenamed("v", "qv"), ["split", "query_id"]).join(d.withColumnRenamed("v", "dv"), ["split", "document_id"]), "qv", "dv", 2, "s")
+    rows = lambda df: sorted((r.split, r.query_id, r.document_id, round(r.s, 12)) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
 def test_shards_go_in_passes(spark, monkeypatch):
     assert metrics._passes([(0, 5), (1, 5), (2, 9), (3, None), (5, 1)], 10) == [(0, 1), (2, 5)] and metrics._passes([(0, 50), (1, 50)], 10) == [(0, 0), (1, 1)]
     corpus, calls, plain = vectors(spark, 60, "document_id", 6), [], metrics.similarity_topk
