@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.judging import PAIR
+from siltstone.operators.topk import QUERY
 
 
 def mining_audit(rows: DataFrame, top: int = 10) -> DataFrame:
@@ -29,7 +30,30 @@ def mining_audit(rows: DataFrame, top: int = 10) -> DataFrame:
         F.count_distinct(F.when(F.col("score").isNotNull(), F.col("document_id"))).alias("texts"),
         (F.lit(2 * top) - F.count_distinct("document_id")).alias("both"),
     )
-    per = per.where(f"mv_n = {top} and dense_n = {top} and ps is not null and texts >= 2 and mv_scored > 0 and dense_scored > 0")
+    return _mining_report(per.where(f"mv_n = {top} and dense_n = {top} and ps is not null and texts >= 2 and mv_scored > 0 and dense_scored > 0"), top)
+
+
+def mining_audit_by_query(arms: DataFrame, positives: DataFrame, top: int = 10) -> DataFrame:
+    """`mining_audit` from arms (split, query_id, source, neg_rank, document_id, score), which all pairs of a query share, and positives (split, query_id, positive_score).
+
+    A query's negatives are gathered once; what a pair moves is its positive's score.
+    """
+    arm = lambda s, what: F.when(F.col("source") == s, what)
+    per = arms.where(F.col("neg_rank") <= top).groupBy(*QUERY).agg(
+        *[F.count(arm(s, F.lit(1))).alias(f"{s}_n") for s in ("mv", "dense")],
+        *[F.collect_list(arm(s, F.col("score"))).alias(f"{s}_scores") for s in ("mv", "dense")],
+        *[F.avg(arm(s, F.col("score"))).alias(f"{s}_hard") for s in ("mv", "dense")],
+        F.size(F.collect_set(F.when(F.col("score").isNotNull(), F.col("document_id")))).alias("texts"),
+        (F.lit(2 * top) - F.size(F.collect_set("document_id"))).alias("both"),
+    )
+    per = per.where(f"mv_n = {top} and dense_n = {top} and texts >= 2 and size(mv_scores) > 0 and size(dense_scores) > 0")
+    over = lambda s: F.size(F.filter(f"{s}_scores", lambda x: x > F.col("positive_score"))) / F.size(f"{s}_scores")
+    pairs = positives.where("positive_score is not null").select(*QUERY, "positive_score").join(per, list(QUERY))
+    return _mining_report(pairs.withColumns({f"{s}_fn": over(s) for s in ("mv", "dense")}), top)
+
+
+def _mining_report(per: DataFrame, top: int) -> DataFrame:
+    """Means of audited pairs, a row a split."""
     mean = lambda c, name: F.round(F.avg(F.round(c, 12)), 4).alias(name)
     return per.groupBy("split").agg(
         F.count("*").alias("n"),

@@ -30,7 +30,7 @@ def capped_gold(labels: DataFrame, cap: int = 12) -> DataFrame:
 
 def excluded(candidates: DataFrame, positives: DataFrame) -> DataFrame:
     """Candidates that are no positive of their query."""
-    return candidates.join(positives.select("split", "query_id", "document_id").distinct(), ["split", "query_id", "document_id"], "left_anti")
+    return candidates.join(positives.select("split", "query_id", "document_id"), ["split", "query_id", "document_id"], "left_anti")
 
 
 def in_file_order(labels: DataFrame) -> DataFrame:

@@ -75,21 +75,26 @@ def ablation_pairs(multi: DataFrame, dense: DataFrame, positives: DataFrame, que
     multi, dense: merged candidates with `rank`. The cut to top_k comes before the positives go, and top_k must be left
     in both arms: a query with a positive in either cut is dropped whole. Queries need a text.
     """
+    pairs = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"))
+    return pairs.join(ablation_arms(multi, dense, positives, queries, top_k), list(QUERY))
+
+
+def ablation_arms(multi: DataFrame, dense: DataFrame, positives: DataFrame, queries: DataFrame, top_k: int = 50) -> DataFrame:
+    """The negatives of `ablation_pairs`, which all pairs of a query share: split, query_id, source, neg_rank, document_id. A row a query and negative, whatever the number of its positives."""
     arms = None
     for name, arm in (("mv", multi), ("dense", dense)):
         x = exactly(excluded(arm.where(F.col("rank") <= top_k), positives), top_k).select(*QUERY, F.lit(name).alias("source"), F.col("rank").alias("neg_rank"), "document_id")
         arms = x if arms is None else arms.union(x)
     both = arms.groupBy(*QUERY).agg(F.count_distinct("source").alias("arms")).where("arms = 2").select(*QUERY)
     texts = queries.where("query is not null").select(*QUERY).distinct()
-    pairs = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"))
-    return pairs.join(both, list(QUERY), "left_semi").join(texts, list(QUERY), "left_semi").join(arms, list(QUERY))
+    return arms.join(both, list(QUERY), "left_semi").join(texts, list(QUERY), "left_semi")
 
 
-def arm_lists(rows: DataFrame) -> DataFrame:
-    """The packed form: negative_ids, first one arm then the other, and negative_sources beside them."""
+def arm_lists(rows: DataFrame, by=("split", "query_id", "positive_id")) -> DataFrame:
+    """The packed form: negative_ids, first one arm then the other, and negative_sources beside them; a row for each `by`."""
     x = F.array_sort(F.collect_list(F.struct((F.col("source") != "mv").alias("arm"), "neg_rank", "document_id", "source")))
-    packed = rows.groupBy("split", "query_id", "positive_id").agg(x.alias("x"))
-    return packed.select("split", "query_id", "positive_id", F.transform("x", lambda r: r["document_id"]).alias("negative_ids"), F.transform("x", lambda r: r["source"]).alias("negative_sources"))
+    packed = rows.groupBy(*by).agg(x.alias("x"))
+    return packed.select(*by, F.transform("x", lambda r: r["document_id"]).alias("negative_ids"), F.transform("x", lambda r: r["source"]).alias("negative_sources"))
 
 
 def first_rows(df: DataFrame, n: int, by=("split",), order=("query_id", "positive_id")) -> DataFrame:

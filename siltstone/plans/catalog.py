@@ -589,15 +589,14 @@ def ablation_pairs(f):
 
 
 def _audited(f):
-    """Negatives and positives are scored in one pass; texts that are missing have no score."""
-    pair = ["split", "query_id", "positive_id"]
-    own = f.ablation.select(*pair).distinct().select(*pair, F.lit(None).cast("string").alias("source"), F.lit(0).alias("neg_rank"), F.col("positive_id").alias("document_id"))
-    rows = f.ablation.select(*pair, "source", "neg_rank", "document_id").unionByName(own)
+    """Negatives are scored once a query, positives once a pair; texts that are missing have no score."""
+    arms = sinks.staged(mining.ablation_arms(f.candidates, f.dense, f.positives, f.queries, 10), "arms")
     q = f.queries.select("split", "query_id", F.col("v").alias("qv"))
     d = f.documents.select("split", "document_id", F.when(text.filled(F.col("document")), F.col("v")).alias("dv"))
-    x = topk.rescored(rows.join(q, ["split", "query_id"]).join(d, ["split", "document_id"], "left"), "qv", "dv", fx.TEACHER[0], "score")
-    x = x.withColumn("positive_score", F.max(F.when(F.col("source").isNull(), F.col("score"))).over(W.partitionBy(*pair)))
-    return audits.mining_audit(x.where("source is not null"), 10)
+    scored = topk.rescored(arms.join(q, ["split", "query_id"]).join(d, ["split", "document_id"], "left"), "qv", "dv", fx.TEACHER[0], "score")
+    pairs = labels.distinct_positives(f.positives).join(arms.select("split", "query_id").distinct(), ["split", "query_id"], "left_semi")
+    own = topk.pair_scores(pairs, f.queries, d.withColumnRenamed("dv", "v"), fx.TEACHER[0], "positive_score")
+    return audits.mining_audit_by_query(scored, own, 10)
 
 
 @query("SELECT * FROM audit")

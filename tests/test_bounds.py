@@ -43,6 +43,21 @@ def test_scores_of_pairs(spark, most):
     assert rows(got) == rows(want)
 
 
+def test_audit_from_the_negatives_of_a_query(spark):
+    """The same report as from a row a pair and negative; the arms have a row a query and negative, however many positives."""
+    rng = np.random.default_rng(5)
+    ranks = lambda order: spark.createDataFrame([("ab"[q % 2], q, int(d), 1 - i / 50, i + 1) for q in range(6) for i, d in enumerate(order(q))], "split string, query_id bigint, document_id bigint, score double, rank int")
+    mv, dense = ranks(lambda q: rng.permutation(20)), ranks(lambda q: rng.permutation(20))
+    positives = spark.createDataFrame([("ab"[q % 2], q, 100 + p, p) for q in range(6) for p in range(7)], "split string, query_id bigint, document_id bigint, label_pos int")
+    queries = spark.createDataFrame([("ab"[q % 2], q, "t") for q in range(5)], schema.QUERIES)
+    arms, rows = mining.ablation_arms(mv, dense, positives, queries, 4).cache(), mining.ablation_pairs(mv, dense, positives, queries, 4)
+    assert arms.count() == 5 * 8 and rows.count() == 7 * arms.count()
+    score = lambda c: f"CASE WHEN {c} % 9 = 1 THEN NULL ELSE ({c} * 7 + query_id * 3) % 11 / 11 END"
+    full = rows.selectExpr("*", f"{score('document_id')} AS score", f"{score('positive_id')} AS positive_score")
+    by_query = audits.mining_audit_by_query(arms.selectExpr("*", f"{score('document_id')} AS score"), rows.select("split", "query_id", "positive_id").distinct().selectExpr("split", "query_id", f"{score('positive_id')} AS positive_score"), 4)
+    assert sorted(by_query.collect()) == sorted(audits.mining_audit(full, 4).collect()) and by_query.count() == 2
+
+
 def test_shards_go_in_passes(spark, monkeypatch):
     assert metrics._passes([(0, 5), (1, 5), (2, 9), (3, None), (5, 1)], 10) == [(0, 1), (2, 5)] and metrics._passes([(0, 50), (1, 50)], 10) == [(0, 0), (1, 1)]
     corpus, calls, plain = vectors(spark, 60, "document_id", 6), [], metrics.similarity_topk
