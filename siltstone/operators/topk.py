@@ -16,9 +16,9 @@ QUERY = ("split", "query_id")
 #: Bytes of query vectors that go to every task.
 QUERY_BYTES = 64_000_000
 #: Bytes that a held document takes, and of all that a task holds at a time (what joins them and their sort take some times as much).
-HELD_BYTES, HELD = 24, 16_000_000
+HELD_BYTES, HELD = 24, 4_000_000
 #: Rows of documents to a block, scores of one product, and rows of a split's grid that spread its query blocks.
-DOC_BLOCK, PRODUCT, SPREAD = 1000, 1 << 22, 16
+DOC_BLOCK, PRODUCT, SPREAD = 1000, 1 << 20, 16
 
 
 def best_first(score: Column | str = "score", doc: str = "document_id") -> list[Column]:
@@ -132,7 +132,7 @@ class Held:
     """The k best documents so far of each of n queries, over all blocks that a task meets; the order is that of `best_first`.
 
     A block's scores join only where they reach a query's k-th best so far; what has joined is sorted when it outgrows what is
-    held, so a block costs little more than its product once the lists are full.
+    held by as much again and HELD bytes, so a block costs little more than its product once the lists are full.
     """
 
     def __init__(self, n: int, k: int):
@@ -148,7 +148,7 @@ class Held:
         row, at = np.nonzero(score >= edge - 2e-9)
         self.parts.append((row + first, doc[at], score[row, at]))
         self.size += len(row)
-        if self.size > 2 * self.held + (1 << 19):
+        if self.size > 2 * self.held + HELD // HELD_BYTES:
             self.best()
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

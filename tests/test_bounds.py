@@ -1,6 +1,7 @@
 """What a step holds, moves and writes, beside its result."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -32,6 +33,25 @@ def test_query_blocks_are_as_large_as_what_is_held_allows(spark, monkeypatch):
     assert rows() == whole and sizes == [("q", 4), ("d", topk.DOC_BLOCK)]
 
 
+def test_memory_of_a_worker_in_the_similarity_join():
+    """As many queries as a block has, 2,048 documents held each, 40 blocks of documents: the traced memory is bounded and the result whole."""
+    rng, k, tokens = np.random.default_rng(3), 2048, 4
+    q, d = rng.normal(size=(topk.HELD // (k * topk.HELD_BYTES), 64)), rng.normal(size=(40 * topk.DOC_BLOCK, 64))
+    tracemalloc.start()
+    held = topk.Held(len(q), k)
+    for at in range(0, len(d), topk.DOC_BLOCK):
+        block = d[at : at + topk.DOC_BLOCK]
+        for i, score in topk._scored(q, block, tokens):
+            held.add(score, np.arange(at, at + len(block)), i)
+    held.batch(np.arange(len(q)), ["a"] * len(q))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    row, doc, _ = held.best()
+    some = topk._maxsims(q[:3], d, tokens)
+    assert len(row) == len(q) * k and all(set(doc[row == i]) == set(np.argsort(-some[i])[:k]) for i in range(3))
+    assert most < 64 << 20, most
+
+
 @pytest.mark.parametrize("most", [10**9, 100])
 def test_scores_of_pairs(spark, most):
     q, d = vectors(spark, 30, "query_id", 3), vectors(spark, 50, "document_id", 4)
