@@ -815,23 +815,24 @@ def bica_rows(f):
 # The stages as commands, over files
 
 
-def _staged(f, stage: str, out: str, *options: str) -> str:
-    """Runs a stage over the fixtures' files; gives the folder it wrote."""
+def _staged(f, stage: str, out: str, kinds: list[str], *options: str) -> str:
+    """Runs a stage over the fixtures' files, of the kinds that it reads; gives the folder it wrote."""
     path = f"{sinks.new_folder(f.spark, stage)}/{out}"
     splits = ",".join(sorted(r.split for r in f.splits.collect()))
-    stages.run(f.spark, [stage, "--splits", splits, *[o.format(root=f.files, out=path) for o in options]])
+    root = f.files(*kinds)
+    stages.run(f.spark, [stage, "--splits", splits, *[o.format(root=root, out=path) for o in options]])
     return path
 
 
 @query("SELECT p.split, p.query_id, p.positive_id, coalesce(q.query, '') AS query, m.ids AS negatives FROM minedpairs p JOIN fq q ON q.split = p.split AND q.query_id = p.query_id JOIN (SELECT split, query_id, string_agg(document_id::VARCHAR, ',' ORDER BY neg_rank) AS ids FROM mined GROUP BY ALL) m ON m.split = p.split AND m.query_id = p.query_id")
 def stage_merge_pairs(f):
-    path = _staged(f, "merge-pairs", "pairs.jsonl", "--data-root", "{root}", "--work-dir", "{root}", "--out", "{out}")
+    path = _staged(f, "merge-pairs", "pairs.jsonl", ["queries", "scores", "parts"], "--data-root", "{root}", "--work-dir", "{root}", "--out", "{out}")
     return readers.read_pairs(f.spark, path).select("split", "query_id", "positive_id", "query", F.array_join("negative_ids", ",").alias("negatives"))
 
 
 @query("SELECT split, query_id, positive_id, string_agg(document_id::VARCHAR || source, ',' ORDER BY source DESC, neg_rank) AS negatives FROM arms GROUP BY ALL")
 def stage_merge_ablation(f):
-    path = _staged(f, "merge-ablation", "pairs.jsonl", "--data-root", "{root}", "--maxsim-parts", "{root}/parts", "--dense-parts", "{root}/dense", "--out", "{out}", "--top-k", "10")
+    path = _staged(f, "merge-ablation", "pairs.jsonl", ["queries", "scores", "parts", "dense"], "--data-root", "{root}", "--maxsim-parts", "{root}/parts", "--dense-parts", "{root}/dense", "--out", "{out}", "--top-k", "10")
     rows = readers.read_jsonl(f.spark, path, schema.ABLATION)
     return rows.select("split", "query_id", "positive_id", F.array_join(F.zip_with("negative_ids", "negative_sources", lambda d, s: F.concat(d.cast("string"), s)), ",").alias("negatives"))
 
@@ -841,13 +842,13 @@ def stage_prepare_judged(f):
     """The rows of all train_{split}.jsonl, texts by their lengths."""
     pairs = sinks.new_folder(f.spark, "pairs")
     sinks.write_jsonl(f.pairs, pairs, compression="gzip")
-    path = _staged(f, "prepare-judged", "train", "--data-root", "{root}", "--pairs", pairs, "--judge-dir", "{root}/pool", "--out-dir", "{out}", "--budget", str(fx.BUDGET))
+    path = _staged(f, "prepare-judged", "train", ["documents", "pool"], "--data-root", "{root}", "--pairs", pairs, "--judge-dir", "{root}/pool", "--out-dir", "{out}", "--budget", str(fx.BUDGET))
     rows = readers.read_training(f.spark, path)
     return rows.select("source", F.md5("query").alias("query"), *[F.length(c).cast("bigint").alias(c) for c in ["positive", *readers.negatives(rows)]])
 
 
 def _mixture_files(f) -> str:
-    return _staged(f, "build-kd-mixture", "lists", "--data-root", "{root}", "--pool-dir", "{root}/pool", "--out", "{out}")
+    return _staged(f, "build-kd-mixture", "lists", ["queries", "documents", "pool"], "--data-root", "{root}", "--pool-dir", "{root}/pool", "--out", "{out}")
 
 
 @query("SELECT k.query_id, md5(q.query) AS query, k.pos, k.document_id, length(d.document) AS n_chars FROM kd k JOIN fd d ON d.split = k.split AND d.document_id = k.d JOIN fq q ON q.split = k.split AND q.query_id = k.q")

@@ -8,6 +8,7 @@ import pytest
 
 from siltstone import schema
 from siltstone.operators import audits, metrics, mining, topk
+from siltstone.plans import catalog, fixtures
 from siltstone.sources import readers, sinks
 
 
@@ -99,3 +100,13 @@ def test_files_of_pairs_are_compressed(spark, tmp_path):
     assert meta["total_pairs"] == 200 and {r.query for r in rows.collect()} == {text} and size(f"{tmp_path}/pairs") < 200 * len(text) / 10
     sinks.write_ascii_jsonl(rows, f"{tmp_path}/ascii", compression="gzip")
     assert spark.read.text(f"{tmp_path}/ascii").count() == 200 and size(f"{tmp_path}/ascii") < 200 * len(text) / 10
+
+
+def test_a_stage_has_only_the_files_that_it_reads(spark, sf, monkeypatch):
+    """Lists come from texts and the judged pool: no search by the whole vector, no padded parts, no labels in files."""
+    asked, search = [], fixtures.similarity_topk
+    monkeypatch.setattr(fixtures, "similarity_topk", lambda *a, tokens=1, **b: asked.append(tokens) or search(*a, tokens=tokens, **b))
+    monkeypatch.setattr(fixtures.npz, "write_padded", lambda *_, **__: asked.append("parts"))
+    monkeypatch.setattr(fixtures, "write_split", lambda df, folder, split: asked.append(folder.rsplit("/", 1)[1]) or sinks.write_split(df, folder, split))
+    catalog.queries()["stage_kd_mixture"](spark, sf)
+    assert asked.count(fixtures.MINER[0]) == 1 and set(asked) == {fixtures.MINER[0], "queries", "documents"}
