@@ -41,6 +41,8 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 #: Words that a worker keeps with their ids before it drops those met once; bounds memory, changes no result.
 CACHE = 250_000
+#: Bytes of new words that go through the library in one text.
+PIECE = 16_000
 _encoders: dict = {}
 #: Bytes beside which a space may stand in white space: ASCII space and controls, and the first bytes of all wider spaces.
 _UNSAFE = np.zeros(256, bool)
@@ -106,8 +108,9 @@ class Encoder:
     Words are looked up by 64-bit hashes and compared with the table's bytes; a step with a word that has another's hash goes
     through the library as it is. Special tokens in a text are ids of their own, as the library has them.
 
-    A word of letters alone, with one mark of `MARKS` or without, goes straight to the library's BPE model; the
-    pre-tokenizer would cut it into just these parts. All other words go through the whole tokenizer.
+    New words go through the tokenizer one behind the other, as texts of PIECE bytes whose cuts by `words_of` are the words' edges. The bytes that
+    each id stands for say which ids are whose. Words that this leaves open are encoded one by one: letters alone, with one mark of
+    `MARKS` or without, by the library's BPE model, since the pre-tokenizer would cut them into just these parts; others by the whole tokenizer.
     """
 
     MARKS = b",.;:!?"
@@ -125,6 +128,10 @@ class Encoder:
         shown = dict(zip(plain, plain)) | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.letters = str.maketrans({chr(b): chr(c) for b, c in shown.items()})  # bytes as the model's alphabet has them
         self.marks = {m: self.tokenizer.encode(chr(m), add_special_tokens=False).ids for m in self.MARKS}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        widths = {i: len(x) for x, i in vocab.items()} | {i: len(x.content.encode()) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.widths = np.zeros(max(widths) + 1, np.int64)
+        self.widths[list(widths)] = list(widths.values())
         self.newline, self.none = self.tokenizer.encode("\n", add_special_tokens=False).ids, []
         self.hashes = np.zeros(0, np.uint64)
         self.reset(np.zeros(0, np.int64))
@@ -161,6 +168,34 @@ class Encoder:
             return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return [*head, *[t.id for t in self.model.tokenize(core)], *tail]
 
+    def new_words(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these words in a row, and how many each has."""
+        blob = joined[gathered(starts, ends - starts)]
+        edges = np.concatenate(([0], np.cumsum(ends - starts)))
+        raw, cut = blob.tobytes(), np.zeros(len(blob) + 1, bool)
+        cut[words_of([raw])[1]] = cut[[0, -1]] = True
+        safe = edges[cut[edges]]
+        pieces = np.unique(np.append(safe[np.searchsorted(safe, np.arange(0, len(blob), PIECE))], len(blob)))
+        try:
+            got = [np.array(self.tokenizer.encode_batch_fast([raw[i:j].decode()], add_special_tokens=False)[0].ids, np.int32) for i, j in zip(pieces[:-1].tolist(), pieces[1:].tolist())]
+        except UnicodeDecodeError:
+            got = []
+        ids = np.concatenate(got) if got else np.zeros(0, np.int32)
+        over = np.concatenate(([0], np.cumsum(self.widths[ids])))
+        at = np.searchsorted(over, edges)
+        clear = cut[edges] & (over[np.minimum(at, len(ids))] == edges) & (over[-1] == len(blob))
+        known, sizes = clear[:-1] & clear[1:], np.diff(at)
+        if known.all():
+            return ids, sizes
+        single = [self.ids_of(raw[edges[i] : edges[i + 1]]) for i in np.flatnonzero(~known).tolist()]
+        before = at[:-1][known]
+        sizes[~known] = [len(x) for x in single]
+        place = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        out[gathered(place[known], sizes[known])] = ids[gathered(before, sizes[known])]
+        out[gathered(place[~known], sizes[~known])] = np.fromiter(chain.from_iterable(single), np.int32)
+        return out, sizes
+
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
         joined, starts, ends, counts = words_of(texts)
@@ -169,14 +204,14 @@ class Encoder:
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
             fresh_hashes, first, which = np.unique(h[unknown], return_index=True, return_inverse=True)
-            raw, of = joined.tobytes(), unknown[first]
-            new = [self.ids_of(raw[s:e]) for s, e in zip(starts[of].tolist(), ends[of].tolist())]
+            of = unknown[first]
+            new, sizes = self.new_words(joined, starts[of], ends[of])
             at[unknown] = self.numbers.n + which
             self.numbers.put(fresh_hashes)
             self.hashes = np.concatenate((self.hashes, fresh_hashes))
-            self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), np.int32)))
-            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum([len(x) for x in new])))
-            self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+            self.pool = np.concatenate((self.pool, new))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            self.seen = np.concatenate((self.seen, np.zeros(len(sizes), np.int64)))
             self.raw = np.concatenate((self.raw, joined[gathered(starts[of], ends[of] - starts[of])]))
             self.raw_ends = np.concatenate((self.raw_ends, self.raw_ends[-1] + np.cumsum(ends[of] - starts[of])))
         same = self.raw_ends[at + 1] - self.raw_ends[at] == ends - starts

@@ -149,6 +149,25 @@ def test_encoder_on_short_texts():
         assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+def test_new_words_go_through_the_library_together(monkeypatch):
+    """Words apart are few: those at a text's edges, and those that the library's ids do not cover byte for byte."""
+    import random
+
+    monkeypatch.setattr(tokens, "PIECE", 500)
+    rng, e, alone = random.Random(7), tokens.Encoder("byte_bpe_50k.json"), []
+    one = e.ids_of
+    monkeypatch.setattr(e, "ids_of", lambda word: alone.append(word) or one(word))
+    texts = [" ".join("".join(rng.choice("abcdeé中19.,'") for _ in range(rng.randint(1, 12))) for _ in range(300)) for _ in range(10)]
+    texts.append("begins <|endoftext|> within<|endoftext|>words  two spaces ")
+    ids, sizes = e([t.encode() for t in texts])
+    want = [x[:-1] for x in plain_tokens(texts)]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(alone) < 60  # one call a word before
+    broken = [b"fresh word\xff and others", b"more unseen words"]
+    got = e(broken)
+    assert [x.tolist() for x in got] == [x.tolist() for x in e.plain(broken)]
+
+
 def test_equal_hashes_change_no_ids(monkeypatch):
     """Were all words of one hash, the ids would still be the library's."""
     monkeypatch.setattr(tokens, "hashed_spans", lambda joined, starts, ends: np.full(len(starts), 5, np.uint64))
