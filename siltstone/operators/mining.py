@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.labels import distinct_positives, excluded, one_each
 from siltstone.operators.topk import QUERY, exactly, ranked
-from siltstone.sources.sinks import write_text
+from siltstone.sources.sinks import json_fields, shared_line, with_shared_fields, write_lines, write_text
 
 
 def mined_negatives(candidates: DataFrame, positives: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
@@ -19,13 +19,25 @@ def mined_negatives(candidates: DataFrame, positives: DataFrame, skip: int = 5,
     return exactly(ranked(free, top_k, name="neg_rank", skip=skip), top_k).select("split", "query_id", "document_id", "neg_rank")
 
 
-def mined_pairs(candidates: DataFrame, positives: DataFrame, queries: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
-    """A row for each query and positive with the query's negatives in order; a missing query text is empty, of repeated ids the last wins (`one_each`)."""
+def query_lists(candidates: DataFrame, positives: DataFrame, queries: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
+    """split, query_id, negative_ids, query: what all pairs of a query share. The negatives in order; a missing text is empty, of repeated ids the last wins (`one_each`)."""
     lists = mined_negatives(candidates, positives, skip, top_k).groupBy(*QUERY).agg(F.array_sort(F.collect_list(F.struct("neg_rank", "document_id"))).alias("x"))
     lists = lists.select(*QUERY, F.transform("x", lambda r: r["document_id"]).alias("negative_ids"))
     text = one_each(queries, list(QUERY), "query", last=True)
+    return lists.join(text, list(QUERY), "left").withColumn("query", F.coalesce("query", F.lit("")))
+
+
+def mined_pairs(candidates: DataFrame, positives: DataFrame, queries: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
+    """A row for each query and positive with what `query_lists` has of the query."""
     pairs = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"))
-    return pairs.join(lists, list(QUERY)).join(text, list(QUERY), "left").withColumn("query", F.coalesce("query", F.lit("")))
+    return pairs.join(query_lists(candidates, positives, queries, skip, top_k), list(QUERY))
+
+
+def pair_lines(positives: DataFrame, lists: DataFrame, fields=json_fields) -> DataFrame:
+    """json: the pairs of `mined_pairs` as JSON lines, from positives and `query_lists`; what the pairs of a query share is made into JSON once, and they come one after the other."""
+    shared = with_shared_fields(lists, list(QUERY), ["query_id", "split", "query"], ["negative_ids"], fields)
+    pairs = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id")).join(shared, list(QUERY))
+    return pairs.select(shared_line(pairs, "positive_id", fields=fields).alias("json"))
 
 
 def pair_stats(candidates: DataFrame, positives: DataFrame, skip: int = 5, top_k: int = 50) -> DataFrame:
@@ -46,21 +58,22 @@ def pair_stats(candidates: DataFrame, positives: DataFrame, skip: int = 5, top_k
 
 
 def write_pairs(candidates: DataFrame, positives: DataFrame, queries: DataFrame, path: str, splits: list[str], skip: int = 5, top_k: int = 50) -> dict:
-    """Writes `mined_pairs` as JSON lines (gzip: a query's pairs repeat its text and negatives, one after the other) to `path` and what `pair_stats` counts, with the totals, to {path}.meta.json; gives the latter.
+    """Writes `mined_pairs` as JSON lines (lz4: a query's pairs repeat its text and negatives, which are made into JSON once, one after the other) to `path` and what `pair_stats` counts, with the totals, to {path}.meta.json; gives the latter.
 
     The counts are observed while the pairs are written, before those without negatives go, so they cost no pass of their own.
     A split of `splits` without positives is left out.
     """
     spark = candidates.sparkSession
-    lists = mined_negatives(candidates, positives, skip, top_k).groupBy(*QUERY).agg(F.transform(F.array_sort(F.collect_list(F.struct("neg_rank", "document_id"))), lambda r: r["document_id"]).alias("negative_ids"))
+    lists = query_lists(candidates, positives, queries, skip, top_k)
+    shared = candidates.select(*QUERY).distinct().join(with_shared_fields(lists, list(QUERY), ["query_id", "split", "query"], ["negative_ids"]), list(QUERY), "left").withColumn("has", F.lit(True))
     x = distinct_positives(positives).select("split", "query_id", F.col("document_id").alias("positive_id"), "label_pos", F.count("*").over(W.partitionBy(*QUERY)).alias("n_pos"))
-    x = x.join(lists, list(QUERY), "left").join(candidates.select(*QUERY).distinct().withColumn("has", F.lit(True)), list(QUERY), "left").join(one_each(queries, list(QUERY), "query", last=True), list(QUERY), "left")
-    kept, has, first = F.col("negative_ids").isNotNull(), F.coalesce("has", F.lit(False)), F.col("label_pos") == 1
+    x = x.join(shared, list(QUERY), "left")
+    kept, has, first = F.col("tail").isNotNull(), F.coalesce("has", F.lit(False)), F.col("label_pos") == 1
     counts = {"pairs_written": kept, "queries": kept & first, "multi_positive_queries": kept & first & (F.col("n_pos") > 1), "pairs_dropped_short_of_k": has & ~kept, "queries_without_candidates": first & ~has, "positives": F.lit(True)}
     seen = Observation()
     metrics = [F.count(F.when((F.col("split") == s) & cond, 1)).alias(f"{i}:{name}") for i, s in enumerate(splits) for name, cond in counts.items()]
-    rows = x.observe(seen, *metrics).where(kept).select("query_id", "split", F.coalesce("query", F.lit("")).alias("query"), "positive_id", "negative_ids")
-    rows.write.mode("overwrite").json(path, compression="gzip")
+    rows = x.observe(seen, *metrics).where(kept)
+    write_lines(rows.select(shared_line(rows, "positive_id")), path, "lz4")
     got = seen.get
     per_split = {s: {name: got[f"{i}:{name}"] for name in counts} for i, s in enumerate(splits)}
     per_split = {s: {n: c for n, c in v.items() if n != "positives"} for s, v in per_split.items() if v["positives"]}

@@ -133,22 +133,50 @@ def _ascii_value(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(value, F.lit("null"))
 
 
-def ascii_json_rows(df: DataFrame, *columns: str, skip_null: bool = False) -> DataFrame:
-    """One JSON object a row in ASCII, with a space after each comma and colon, fields in order of `columns` (all, if none is named).
+def json_fields(df: DataFrame, *columns: str) -> Column:
+    """The fields of a JSON object without its braces; null fields are left out, without any it is null."""
+    whole = F.to_json(F.struct(*columns))
+    return F.nullif(F.substr(whole, F.lit(2), F.length(whole) - 2), F.lit(""))
 
-    Texts, integers, booleans and lists of them. Nulls are written; with `skip_null` such fields are left out.
-    """
+
+def ascii_fields(df: DataFrame, *columns: str, skip_null: bool = False) -> Column:
+    """The same in ASCII, with a space after each comma and colon. Nulls are written; with `skip_null` such fields are left out."""
     fields = []
-    for n in columns or df.columns:
+    for n in columns:
         c = F.col(f"`{n}`")
         field = F.concat(ascii_string(F.lit(n)), F.lit(": "), _ascii_value(c, df.schema[n].dataType))
         fields.append(F.when(c.isNotNull(), field) if skip_null else field)
-    return df.select(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("json"))
+    return F.nullif(F.concat_ws(", ", *fields), F.lit(""))
+
+
+def ascii_json_rows(df: DataFrame, *columns: str, skip_null: bool = False) -> DataFrame:
+    """One JSON object a row in ASCII, with a space after each comma and colon, fields in order of `columns` (all, if none is named).
+
+    Texts, integers, booleans and lists of them. Nulls are written; with `skip_null` such fields are left out.
+    """
+    fields = ascii_fields(df, *(columns or df.columns), skip_null=skip_null)
+    return df.select(F.concat(F.lit("{"), F.coalesce(fields, F.lit("")), F.lit("}")).alias("json"))
 
 
 def write_ascii_jsonl(df: DataFrame, path: str, again: bool = False, skip_null: bool = False, compression: str = "none") -> bool:
     """JSON lines in ASCII, as `ascii_json_rows` makes them. compression: as in `write_jsonl`."""
     if done(df.sparkSession, path) and not again:
         return False
-    ascii_json_rows(df, skip_null=skip_null).write.mode("overwrite").text(path, compression=compression)
+    write_lines(ascii_json_rows(df, skip_null=skip_null), path, compression)
     return True
+
+
+def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
+    """A table of one text column as lines, over what was there. lz4 (as Hadoop frames it) searches long for matches: lines that repeat one another take less space and less time than with gzip."""
+    lines.write.mode("overwrite").option("io.compression.codec.lz4.use.lz4hc", "true").text(path, compression=compression)
+
+
+def with_shared_fields(shared: DataFrame, by: list[str], head: list[str], tail: list[str], fields=json_fields) -> DataFrame:
+    """by, head, tail: the first and the last fields of the lines of many rows that share a row of `shared`, made into JSON once for all of them (`shared_line`)."""
+    return shared.select(*by, fields(shared, *head).alias("head"), fields(shared, *tail).alias("tail"))
+
+
+def shared_line(df: DataFrame, *own: str, fields=json_fields) -> Column:
+    """The JSON object of a row with `head` and `tail` of `with_shared_fields`, its own fields between them."""
+    comma = ", " if fields is ascii_fields else ","
+    return F.concat(F.lit("{"), F.concat_ws(comma, "head", fields(df, *own), "tail"), F.lit("}"))

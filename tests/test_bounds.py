@@ -102,6 +102,27 @@ def test_files_of_pairs_are_compressed(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/ascii").count() == 200 and size(f"{tmp_path}/ascii") < 200 * len(text) / 10
 
 
+def test_what_pairs_share_is_made_into_json_once(spark, tmp_path):
+    """The lines are those of whole rows; the text of a query is escaped where the queries are, before the join with its pairs."""
+    texts = {1: 'a "q"\n\\ é😀', 2: None, 3: "short of negatives"}
+    cand = spark.createDataFrame([("a", 0, q, d, 1 - d / 100) for q in texts for d in range(4 if q == 3 else 20)], schema.CANDIDATES)
+    pos = spark.createDataFrame([("a", q, 100 + p, p) for q in texts for p in range(9)], "split string, query_id long, document_id long, label_pos int")
+    queries = spark.createDataFrame([("a", q, x) for q, x in texts.items()], schema.QUERIES)
+    columns = ["query_id", "split", "query", "positive_id", "negative_ids"]
+    whole, lists = mining.mined_pairs(cand, pos, queries, 2, 5).select(columns), mining.query_lists(cand, pos, queries, 2, 5)
+    rows = lambda df: sorted(r[0] for r in df.collect())
+    assert whole.count() == 18
+    for fields, plain in ((sinks.json_fields, sinks.json_rows(whole, *columns)), (sinks.ascii_fields, sinks.ascii_json_rows(whole, *columns))):
+        lines = mining.pair_lines(pos, lists, fields)
+        assert rows(lines) == rows(plain)
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        above, join = plan.split("Join Inner", 1)
+        assert "negative_ids#" not in above and "query#" not in above and "tail" in join
+    mining.write_pairs(cand, pos, queries, f"{tmp_path}/pairs", ["a"], 2, 5)
+    assert rows(spark.read.text(f"{tmp_path}/pairs")) == rows(sinks.json_rows(whole, *columns))
+    assert all(".lz4" in n for n in os.listdir(f"{tmp_path}/pairs") if n.startswith("part-"))
+
+
 def test_a_stage_has_only_the_files_that_it_reads(spark, sf, monkeypatch):
     """Lists come from texts and the judged pool: no search by the whole vector, no padded parts, no labels in files."""
     asked, search = [], fixtures.similarity_topk
