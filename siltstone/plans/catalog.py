@@ -887,14 +887,19 @@ def eval_sharded(f):
     return metrics.sharded_run(f.queries, corpus, 100, 200).select(F.col("split").alias("dataset"), "query_id", "document_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _ir_metrics(f):
+    run = sinks.staged(metrics.without_self(f.run), "run")
+    return metrics.ir_metrics(run, f.qrels, f.judged(run))
+
+
 @query("SELECT * FROM irm")
 def ir_metrics(f):
-    return metrics.ir_metrics(metrics.without_self(f.run), f.qrels)
+    return _ir_metrics(f)
 
 
 @query("SELECT count(*) AS datasets, round(avg(ndcg_10), 6) AS macro_ndcg_10 FROM irm WHERE dataset IN ('c0', 'c1', 'c3')")
 def ir_macro(f):
-    return metrics.macro(metrics.ir_metrics(metrics.without_self(f.run), f.qrels), ["c0", "c1", "c3"])
+    return metrics.macro(_ir_metrics(f), ["c0", "c1", "c3"])
 
 
 def queries() -> dict[str, Callable]:

@@ -145,3 +145,23 @@ def test_judgements_stay_where_they_are_while_the_values_are_few(spark, most):
         assert ("hashpartitioning" in out._jdf.queryExecution().executedPlan().toString()) == (most < 4)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_judgements_are_counted_where_they_stand(spark, sf):
+    """The ideal gains are those of all judgements in order, without an exchange or sort of them; a run's judgements by label are those of the join."""
+    rng = np.random.default_rng(11)
+    rels = [("ab"[q % 2], str(q), str(d), int(rng.integers(1, 4))) for q in range(7) for d in range(int(rng.integers(1, 300)))]
+    qrels = spark.createDataFrame(rels, "dataset string, query_id string, doc_id string, rel int")
+    got = {r.query_id: r for r in metrics.ideal_gains(qrels).collect()}
+    for q in range(7):
+        best = sorted((r[3] for r in rels if r[1] == str(q)), reverse=True)
+        gain = [sum(x / np.log2(i + 2) for i, x in enumerate(best[:n])) for n in (10, 100)]
+        assert got[str(q)].n_rel == len(best) and np.allclose([got[str(q)].i10, got[str(q)].i100], gain)
+    plan = metrics.ideal_gains(qrels)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange") :]
+    assert "partial_count" in below and "Sort" not in below and "Window" not in plan
+    f = fixtures.Fixtures(spark, sf)
+    run = metrics.without_self(f.run)
+    rows = lambda df: sorted((r.dataset, r.query_id, r.doc_id, r["rank"], r.rel) for r in df.collect())
+    assert rows(f.judged(run)) == rows(run.join(f.qrels, ["dataset", "query_id", "doc_id"])) != []
+    assert metrics.ir_metrics(run, f.qrels, f.judged(run)).collect() == metrics.ir_metrics(run, f.qrels).collect()
