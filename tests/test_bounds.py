@@ -1,15 +1,17 @@
 """What a step holds, moves and writes, beside its result."""
 
+import io
 import os
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone import schema
 from siltstone.operators import audits, metrics, mining, topk
 from siltstone.plans import catalog, fixtures
-from siltstone.sources import readers, sinks
+from siltstone.sources import npz, readers, sinks
 
 
 def vectors(spark, n, key, seed):
@@ -165,3 +167,32 @@ def test_judgements_are_counted_where_they_stand(spark, sf):
     rows = lambda df: sorted((r.dataset, r.query_id, r.doc_id, r["rank"], r.rel) for r in df.collect())
     assert rows(f.judged(run)) == rows(run.join(f.qrels, ["dataset", "query_id", "doc_id"])) != []
     assert metrics.ir_metrics(run, f.qrels, f.judged(run)).collect() == metrics.ir_metrics(run, f.qrels).collect()
+
+
+def test_a_worker_holds_a_slice_of_the_part_that_it_writes(tmp_path):
+    """Lists go over the borders of slices; the file is whole, and what is held does not grow with it."""
+
+    def slices(n, width):
+        rng = np.random.default_rng(13)
+        for at in range(0, n, 1000):
+            q = np.arange(at, at + 1000) // width
+            yield pa.RecordBatch.from_arrays([pa.array(["a"] * 1000), pa.array(np.zeros(1000, np.int32)), pa.array(q), pa.array(np.arange(at, at + 1000)), pa.array(rng.normal(size=1000))], ["split", "shard", "query_id", "document_id", "score"])
+
+    most = {}
+    for n in (200_000, 2_000_000):
+        tracemalloc.start()
+        with open(tmp_path / f"{n}.npz", "wb") as out:
+            for split, shard, rows in npz._parts(slices(n, 300)):
+                npz.padded(rows, out)
+        most[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        with np.load(tmp_path / f"{n}.npz") as z:
+            there = z["ids"] >= 0
+            assert z["qids"].tolist() == list(range(-(-n // 300))) and z["ids"][there].tolist() == list(range(n)) and z["scores"].dtype == np.float32
+            assert there.sum(1).tolist() == [300] * (n // 300) + [n % 300] * (n % 300 > 0) and np.isneginf(z["scores"][~there]).all()
+            assert np.array_equal(z["scores"][there], np.concatenate([b.column("score").to_numpy() for b in slices(n, 300)]).astype(np.float32))
+    assert most[2_000_000] < 16 << 20, most
+    empty = io.BytesIO()
+    npz.padded([], empty)
+    with np.load(io.BytesIO(empty.getvalue())) as z:
+        assert z["qids"].shape == (0,) and z["ids"].shape == (0, 0)
