@@ -309,7 +309,7 @@ def eval_files(f):
     corpus.write.parquet(f"{new}/corpus.parquet")
     f.vec.select(F.col("vec_id").cast("string").alias("id"), "text").write.json(f"{new}/queries.jsonl")
     rels = f.qrels.select(F.col("query_id").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("rel").alias("score"))
-    sinks.write_split(rels, f"{new}/qrels", "test")
+    sinks.write_split(rels, f"{new}/qrels", "test", compression="zstd")
     # One judgement a query: nothing may read it, and any that is read would show.
     dev = f.queries.select(F.col("query_id").cast("string").alias("query-id"), F.col("query_id").cast("string").alias("corpus-id"), F.lit(9).alias("score"))
     sinks.write_split(dev, f"{new}/qrels", "dev")

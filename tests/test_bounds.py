@@ -196,3 +196,18 @@ def test_a_worker_holds_a_slice_of_the_part_that_it_writes(tmp_path):
     npz.padded([], empty)
     with np.load(io.BytesIO(empty.getvalue())) as z:
         assert z["qids"].shape == (0,) and z["ids"].shape == (0, 0)
+
+
+def test_judgements_take_little_space(spark, tmp_path):
+    """Ids that come again beyond what the format's own dictionary and a short window find."""
+    ids = np.random.default_rng(17).integers(10**9, 10**10, 6_000)
+    rels = spark.createDataFrame([(str(q), str(d)) for q in range(100) for d in ids], "`query-id` string, `corpus-id` string").coalesce(1)
+    spark.conf.set("parquet.dictionary.page.size", "1024")
+    try:
+        size = {}
+        for kind in ("snappy", "zstd"):
+            sinks.write_split(rels, f"{tmp_path}/{kind}", "test", compression=kind)
+            size[kind] = os.path.getsize(f"{tmp_path}/{kind}/test-00000.parquet")
+    finally:
+        spark.conf.unset("parquet.dictionary.page.size")
+    assert size["zstd"] < size["snappy"] / 2
