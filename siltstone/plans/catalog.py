@@ -889,7 +889,7 @@ def eval_sharded(f):
 
 def _ir_metrics(f):
     run = sinks.staged(metrics.without_self(f.run), "run")
-    return metrics.ir_metrics(run, f.qrels, f.judged(run))
+    return metrics.ir_metrics(run, f.qrels, f.run_judgements(run))
 
 
 @query("SELECT * FROM irm")

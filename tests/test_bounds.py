@@ -165,8 +165,8 @@ def test_judgements_are_counted_where_they_stand(spark, sf):
     f = fixtures.Fixtures(spark, sf)
     run = metrics.without_self(f.run)
     rows = lambda df: sorted((r.dataset, r.query_id, r.doc_id, r["rank"], r.rel) for r in df.collect())
-    assert rows(f.judged(run)) == rows(run.join(f.qrels, ["dataset", "query_id", "doc_id"])) != []
-    assert metrics.ir_metrics(run, f.qrels, f.judged(run)).collect() == metrics.ir_metrics(run, f.qrels).collect()
+    assert rows(f.run_judgements(run)) == rows(run.join(f.qrels, ["dataset", "query_id", "doc_id"])) != []
+    assert metrics.ir_metrics(run, f.qrels, f.run_judgements(run)).collect() == metrics.ir_metrics(run, f.qrels).collect()
 
 
 def test_a_worker_holds_a_slice_of_the_part_that_it_writes(tmp_path):
